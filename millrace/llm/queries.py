@@ -6,12 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import chat, licenses, lzprint, mixing, packing, quality, tokencount, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": mixing.op1_mixing}
+    return {
+        "op1_mixing": mixing.op1_mixing,
+        "op2_chat": chat.op2_chat,
+        "op3_licenses": licenses.op3_licenses,
+        "op4_warc": warc.op4_warc,
+        "op5_packing": packing.op5_packing,
+        "op6_quality": quality.op6_quality,
+        "op8_token_counts": tokencount.op8_token_counts,
+        "op9_fingerprints": lzprint.op9_fingerprints,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.OP1_SQL}
+    return {"op1_mixing": mixing.OP1_SQL, "op2_chat": chat.OP2_SQL, "op4_warc": warc.OP4_SQL, "op6_quality": quality.OP6_SQL}
