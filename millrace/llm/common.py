@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -38,11 +39,10 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def drop(self, name: str) -> None:
-        """Delete a table that no later plan reads."""
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path(name))
-        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of plans that ended: it does so when the driver collects garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
 
 
 def fresh(df: DataFrame, base: str) -> str:
