@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, licenses, lzprint, mixing, packing, quality, tokencount, warc
+import corpus_pipeline
+
+from . import chat, jaccard, langid, licenses, lzprint, mixing, packing, quality, tokencount, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,10 +19,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_warc": warc.op4_warc,
         "op5_packing": packing.op5_packing,
         "op6_quality": quality.op6_quality,
+        "op7_language": langid.op7_language,
         "op8_token_counts": tokencount.op8_token_counts,
         "op9_fingerprints": lzprint.op9_fingerprints,
+        "op10_jaccard": jaccard.op10_jaccard,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.OP1_SQL, "op2_chat": chat.OP2_SQL, "op4_warc": warc.OP4_SQL, "op6_quality": quality.OP6_SQL}
+    return {"op1_mixing": mixing.OP1_SQL, "op2_chat": chat.OP2_SQL, "op4_warc": warc.OP4_SQL, "op6_quality": quality.OP6_SQL, "op10_jaccard": jaccard.OP10_SQL}
