@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .plans import sequences  # noqa: F401  registers its queries
+from .plans.base import QUERIES, SQL
 
-from pyspark.sql import DataFrame, SparkSession
 
-Query = Callable[[SparkSession, str], DataFrame]
-
-
-def queries() -> dict[str, Query]:
-    return {}
+def queries() -> dict:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
