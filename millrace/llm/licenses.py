@@ -38,7 +38,7 @@ VERSIONED = [
     ("cpl", "common public", "common public licen[sc]e", "1"),
     ("osl", "open software", "open software licen[sc]e", "1 2 2.1 3"),
     ("afl", "academic free", "academic free licen[sc]e", "1.1 2 2.1 3"),
-    ("artistic", "artistic", "(?:the )?artistic licen[sc]e", "1 2"),
+    ("artistic", "artistic", "artistic licen[sc]e", "1 2"),
     ("eupl", "european union", "european union public licen[sc]e", "1 1.1 1.2"),
     ("eupl", "eupl", "eupl", "1 1.1 1.2"),
     ("bsl", "boost", "boost software licen[sc]e", "1"),
@@ -59,34 +59,34 @@ COMMONS = {"by": "attribution", "by-sa": "attribution share ?alike", "by-nd": "a
 COMMONS_VERSIONS = "1 2 2.5 3 4"
 #: Signatures written out: label, keyword, expression. A later one has no priority over an earlier one.
 SIGNATURES = [
-    ("mit", "mit ", "(?:the )?mit licen[sc]e"),
+    ("mit", "mit ", "mit licen[sc]e"),
     ("mit", "mit ", "licen[sc]ed under (?:the )?(?:terms of (?:the )?)?mit"),
     ("mit", "free of charge", "permission is hereby granted free of charge to any person obtaining a copy"),
-    ("bsd", "bsd", "(?:the )?bsd(?: style)? licen[sc]e"),
+    ("bsd", "bsd", "bsd(?: style)? licen[sc]e"),
     ("bsd-2-clause", "bsd", "(?:bsd (?:2|two) clause|(?:2|two) clause bsd|simplified bsd)(?: licen[sc]e)?"),
     ("bsd-3-clause", "bsd", "(?:bsd (?:3|three) clause|(?:3|three) clause bsd|(?:new|modified|revised) bsd)(?: licen[sc]e)?"),
     ("bsd-4-clause", "bsd", "(?:bsd (?:4|four) clause|(?:4|four) clause bsd|original bsd)(?: licen[sc]e)?"),
     ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
     ("bsd-3-clause", "endorse", "may be used to endorse or promote products derived from this software"),
-    ("isc", "isc ", "(?:the )?isc licen[sc]e"),
+    ("isc", "isc ", "isc licen[sc]e"),
     ("isc", "permission to use", "permission to use copy modify and or distribute this software for any purpose with or without fee"),
-    ("zlib", "zlib", "(?:the )?zlib(?: libpng)? licen[sc]e"),
-    ("unlicense", "unlicense", "(?:the )?unlicense"),
+    ("zlib", "zlib", "zlib(?: libpng)? licen[sc]e"),
+    ("unlicense", "unlicense", "unlicense"),
     ("unlicense", "unencumbered", "free and unencumbered software released into the public domain"),
     ("wtfpl", "wtfpl", "wtfpl"),
     ("cc0-1.0", "cc0", "cc0(?: 1 0)?(?: universal)?"),
     ("cc0-1.0", "creative commons", "creative commons zero(?: v?1 0)?"),
     ("public-domain", "public domain", "(?:in|into|to) the public domain"),
     ("apache-2.0", "apache", "licensed under the apache licen[sc]e version 2 0"),
-    ("apache", "apache", "(?:the )?apache(?: software)? licen[sc]e"),
-    ("gpl", "general public", "(?:the )?gnu general public licen[sc]e"),
+    ("apache", "apache", "apache(?: software)? licen[sc]e"),
+    ("gpl", "general public", "gnu general public licen[sc]e"),
     ("gpl", "redistribute it", "you can redistribute it and or modify it under the terms of the gnu general public licen[sc]e"),
-    ("lgpl", "lesser", "(?:the )?gnu lesser general public licen[sc]e"),
-    ("agpl", "affero", "(?:the )?gnu affero general public licen[sc]e"),
-    ("mpl", "mozilla", "(?:the )?mozilla public licen[sc]e"),
+    ("lgpl", "lesser", "gnu lesser general public licen[sc]e"),
+    ("agpl", "affero", "gnu affero general public licen[sc]e"),
+    ("mpl", "mozilla", "mozilla public licen[sc]e"),
     ("mpl-2.0", "mozilla", "subject to the terms of the mozilla public licen[sc]e v 2 0"),
-    ("epl", "eclipse", "(?:the )?eclipse public licen[sc]e"),
-    ("artistic", "artistic", "(?:the )?artistic licen[sc]e"),
+    ("epl", "eclipse", "eclipse public licen[sc]e"),
+    ("artistic", "artistic", "artistic licen[sc]e"),
     ("cc-by", "cc", "cc by"),
     ("cc-by-sa", "cc", "cc by sa"),
     ("cc-by-nc", "cc", "cc by nc"),
