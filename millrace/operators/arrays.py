@@ -111,7 +111,7 @@ def shaft_peak(df: DataFrame, spectrum: str, step: float, lo: float = 10.0, hi:
 
 #: Orders of interest and order bands.
 ORDERS = (0.5, 1.0, 2.0, 3.0, 4.0)
-BANDS = {"sub": (0.05, 0.9), "one": (0.9, 1.1), "low": (1.1, 2.5), "mid": (2.5, 6.0), "high": (6.0, 12.0)}
+BANDS = {"sub_synchronous": (0.05, 0.9), "around_1x": (0.9, 1.1), "around_2x": (1.9, 2.1), "inter_1x_2x": (1.1, 1.9), "above_2x": (2.1, 4.0)}
 
 
 def order_features(df: DataFrame, spectrum: str, step: float, width: float = 0.02, bands: dict | None = None) -> DataFrame:
