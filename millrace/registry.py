@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import evaluation, gates, scalars, sequences, waves  # noqa: F401  registers their queries
+from .plans import evaluation, gates, scalars, sequences, studies, waves  # noqa: F401  registers their queries
 from .plans.base import QUERIES, SQL
 
 
