@@ -125,9 +125,12 @@ def judged(m: DataFrame, limits: DataFrame) -> DataFrame:
 
 
 def good_documents(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """The documents that pass, with the columns of docs."""
-    base = measured(docs)
-    m = scratch.put(base, "quality_docs")
+    """The documents that pass, with the columns of docs.
+
+    Texts are measured once for the thresholds and once for the verdict: a table of measured
+    texts would take the disk of another copy of the corpus.
+    """
+    m = measured(docs)
     out = judged(m, thresholds(m, m.columns[-1], scratch))
     return out.where(F.col(f"{out.columns[-1]}.kept")).select(*docs.columns)
 
