@@ -250,7 +250,7 @@ class Join:
 
     def __init__(self, docs: DataFrame, scratch: Scratch, k: int, num: int, den: int):
         self.docs, self.scratch, self.k, self.num, self.den = docs, scratch, k, num, den
-        self.parts = max(1, 10 * (den - num) // den)
+        self.parts = max(1, 20 * (den - num) // den - 1)
         self.spread = sqrt(2 * log(max(docs.count(), 1000) / 500))
         for self.seed in range(SEEDS):
             self.sets = scratch.put(self.keyed(0), "sets")
@@ -315,6 +315,9 @@ class Join:
         """(node, component) of all nodes, component the smallest id of its documents."""
         s = self.scratch
         shared = self.shared_keys(self.sets, "shared0")
+        light = s.put(self.sets.drop("keys"), "light")
+        s.drop("sets")
+        self.sets = light
         for part in range(1, self.parts):
             shared = shared.unionByName(self.shared_keys(self.keyed(part), f"shared{part}"))
         met = s.put(shared.select("node").distinct(), "met")
@@ -366,7 +369,10 @@ def first_of_each(docs: DataFrame, scratch: Scratch, **rules) -> DataFrame:
 
     Rows that share an id are one document; the first in order of text stays.
     """
-    ids = scratch.put(linked(docs, scratch, **rules), "linked").where("doc_id is not null")
+    own = Scratch(docs.sparkSession)
+    ids = scratch.put(linked(docs, own, **rules), "linked").where("doc_id is not null")
+    own.drop()
+    own.release()
     per_id = ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies"), F.min("component_id").alias("c"))
     gone = scratch.put(per_id.where("c <> doc_id").select(F.col("doc_id").alias("gone")), "gone")
     twice = scratch.put(per_id.where("copies > 1").select(F.col("doc_id").alias("twice")), "twice")
