@@ -59,7 +59,11 @@ def repeated_words(w: Column) -> Column:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """docs with a last column, the struct of counts and ratios."""
+    """docs with a last column, the struct of counts and ratios.
+
+    The struct passes a generator of one row, through which the optimizer moves nothing:
+    filters and ratios would otherwise each carry their own copy of the whole measurement.
+    """
     text, w, name = whole(F.col("text")), fresh(docs, "w"), fresh(docs, "quality_")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     other = lambda kept: F.char_length(F.regexp_replace(text, f"[^{kept}]+", "")).cast("long")
@@ -73,7 +77,7 @@ def measured(docs: DataFrame) -> DataFrame:
         other("!?").alias("marks"),
         F.size(F.filter(w, lambda x: F.char_length(x) > 25)).cast("long").alias("long_words"),
     )
-    return docs.withColumn(w, words(F.col("text"))).withColumn(name, counts).drop(w)
+    return docs.withColumn(w, words(F.col("text"))).withColumn(name, F.explode(F.array(counts))).drop(w)
 
 
 def ratios(q: str) -> dict[str, Column]:
