@@ -291,7 +291,9 @@ class Join:
         a = self.whole.select(F.col("node").alias("u"), F.col("shingles").alias("x"))
         b = self.whole.select(F.col("node").alias("v"), F.col("shingles").alias("y"))
         both = pairs.join(a, "u").join(b, "v").select("u", "v", "nu", "nv", F.size(F.array_intersect("x", "y")).cast("long").alias("i"))
-        return self.scratch.put(both.where(F.col("i") * self.den >= (F.col("nu") + F.col("nv") - F.col("i")) * self.num).select(F.col("u").alias("a"), F.col("v").alias("b")), tag)
+        links = self.scratch.put(both.where(F.col("i") * self.den >= (F.col("nu") + F.col("nv") - F.col("i")) * self.num).select(F.col("u").alias("a"), F.col("v").alias("b")), tag)
+        self.scratch.release()  # the sets of a round's pairs were in its shuffle
+        return links
 
     def relabelled(self, links: DataFrame, tag: str) -> None:
         """Merge the components that the links join."""
