@@ -194,6 +194,26 @@ def label_coverage(spark, sf_dir):
     return splits.label_coverage(r_, "label").drop("share_lost")
 
 
+def relabelled(spark, sf_dir, rule, to):
+    """All rows; the label of those that meet the rule is another, so that classes are uneven and no row is lost."""
+    return rows(spark, sf_dir).withColumn("label", F.when(F.expr(rule), to).otherwise(F.col("label")))
+
+
+def relabelled_sql(rule, to):
+    return f"{ROWS}, s AS (SELECT row, machine, CASE WHEN {rule} THEN '{to}' ELSE label END AS label FROM r)"
+
+
+ERROR_ON_ONE = "label = 'error' and machine <> 1"
+
+
+@query("l5_label_coverage_whole", f"WITH {relabelled_sql(ERROR_ON_ONE, 'click')}, g AS (SELECT machine, (row_number() OVER (ORDER BY {HASH.format(x='machine')}, machine) - 1)::INT AS own FROM (SELECT DISTINCT machine FROM s)), c AS (SELECT f.own AS fold, label, count(*) FILTER (g.own = f.own) AS te, count(*) FILTER (g.own <> f.own) AS tr FROM s JOIN g USING (machine), g f GROUP BY ALL) SELECT fold, sum(te)::BIGINT AS n_test, coalesce(sum(te) FILTER (te > 0 AND tr = 0), 0)::BIGINT AS n_lost, coalesce(list_sort(list(label) FILTER (te > 0 AND tr = 0)), []) AS missing, coalesce(sum(te) FILTER (te > 0 AND tr = 0), 0) / sum(te) < 0.1 AS interpretable FROM c GROUP BY fold")
+def label_coverage_whole(spark, sf_dir):
+    """Test classes that training lacks, over all rows."""
+    df = relabelled(spark, sf_dir, ERROR_ON_ONE, "click")
+    r_ = splits.fold_roles(df, splits.group_folds(df, "machine", most=0), "machine")
+    return splits.label_coverage(r_, "label").drop("share_lost")
+
+
 def normalise_sql(key, inner):
     return f"WITH {FOLDS.format(k=10)}, m AS (SELECT {key}, {inner}) SELECT row, t.fold, role, round((x - mx) / CASE WHEN sx < 1e-9 THEN 1 ELSE sx END, 6) AS x, round((y - my) / CASE WHEN sy < 1e-9 THEN 1 ELSE sy END, 6) AS y FROM t JOIN m USING ({key})"
 
@@ -219,6 +239,15 @@ def nth_of_class(spark, sf_dir):
     return splits.nth_of_class(rows(spark, sf_dir).where("machine % 5 <> length(label) % 5"), "machine", "label").select("machine", "label", F.col("fold").cast("int").alias("fold"))
 
 
+UNEVEN = "machine % 5 = length(label) % 5"
+
+
+@query("l8_nth_of_class_whole", f"WITH {relabelled_sql(UNEVEN, 'signup')}, u AS (SELECT DISTINCT machine, label FROM s), k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY machine) - 1 AS fold FROM u), m AS (SELECT min(c) AS folds FROM (SELECT count(*) AS c FROM u GROUP BY label)) SELECT machine, label, fold::INT AS fold FROM k, m WHERE fold < folds")
+def nth_of_class_whole(spark, sf_dir):
+    """The k-th machine of every class as fold k, over all rows."""
+    return splits.nth_of_class(relabelled(spark, sf_dir, UNEVEN, "signup"), "machine", "label").select("machine", "label", F.col("fold").cast("int").alias("fold"))
+
+
 @query("l9_balanced", f"WITH {ROWS}, c AS (SELECT machine, label, count(*) AS c FROM r GROUP BY ALL HAVING count(*) >= 8), m AS (SELECT *, count(*) OVER (PARTITION BY machine) AS k, min(c) OVER (PARTITION BY machine) AS m FROM c), n AS (SELECT r.*, m.m, row_number() OVER (PARTITION BY machine, label ORDER BY {HASH.format(x='row')}, row) AS i FROM r JOIN m USING (machine, label) WHERE k >= 2) SELECT row, machine, label FROM n WHERE i <= m")
 def balanced(spark, sf_dir):
     """As many rows of each class on each machine."""
@@ -239,6 +268,17 @@ def stratified_context(spark, sf_dir):
     return splits.stratified_context(rows(spark, sf_dir).where("label <> 'error' or row % 100 = 0"), "label", "row", 500).select("row", "label")
 
 
+MOST_ERRORS = "label = 'error' and row % 100 <> 0"
+
+
+@query("l11_stratified_context_whole", f"""WITH {relabelled_sql(MOST_ERRORS, 'click')}, c AS (SELECT label, count(*) AS c FROM s GROUP BY label), b AS (SELECT *, least(500 // count(*) OVER (), c) AS base FROM c),
+e AS (SELECT *, coalesce(sum(c - base) OVER (ORDER BY c DESC, label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, 500 - sum(base) OVER () AS spare FROM b), q AS (SELECT label, base + greatest(0, least(c - base, spare - before)) AS quota FROM e),
+n AS (SELECT s.*, quota, row_number() OVER (PARTITION BY label ORDER BY {HASH.format(x='row')}, row) AS i FROM s JOIN q USING (label)) SELECT row, label FROM n WHERE i <= quota""")
+def stratified_context_whole(spark, sf_dir):
+    """500 of all rows, evenly by class."""
+    return splits.stratified_context(relabelled(spark, sf_dir, MOST_ERRORS, "click"), "label", "row", 500).select("row", "label")
+
+
 @query("l13_contingency", f"WITH {ROWS} SELECT label, machine, count(*)::BIGINT AS n FROM r GROUP BY ALL")
 def contingency(spark, sf_dir):
     """Rows by class and machine."""
@@ -257,6 +297,15 @@ def lomo_feasible(spark, sf_dir):
     return splits.lomo_feasible(rows(spark, sf_dir).where("label <> 'error' or machine < 5"), "machine", "label", "view")
 
 
+ERROR_ABOVE = "label = 'error' and machine >= 5"
+
+
+@query("l15_lomo_feasible_whole", f"WITH {relabelled_sql(ERROR_ABOVE, 'view')}, p AS (SELECT DISTINCT machine, label FROM s), m AS (SELECT count(DISTINCT machine) AS machines FROM p), t AS (SELECT label FROM p, m GROUP BY label, machines HAVING count(*) = machines) SELECT machines::BIGINT AS machines, list_sort(list(label)) AS shared, count(*) FILTER (label <> 'view')::BIGINT AS shared_faults, machines >= 2 AND count(*) FILTER (label <> 'view') >= 1 AS feasible FROM t, m GROUP BY machines")
+def lomo_feasible_whole(spark, sf_dir):
+    """Whether leaving one machine out makes sense, over all rows."""
+    return splits.lomo_feasible(relabelled(spark, sf_dir, ERROR_ABOVE, "view"), "machine", "label", "view")
+
+
 @query("s9_missing_fraction", "WITH t AS (SELECT user_id AS machine, ts, CASE WHEN event_id % 7 <> 0 THEN value END AS load FROM events) SELECT machine, count(*)::BIGINT AS n, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 3.6e9, 6) AS hours, round(avg((load IS NULL OR isnan(load))::INT), 6) AS missing FROM t GROUP BY machine")
 def missing_fraction(spark, sf_dir):
     """Span and missing share of each machine's telemetry."""
@@ -275,6 +324,16 @@ def channel_merge(spark, sf_dir):
     return both.withColumn("paired", F.when(F.col("vibration").isNotNull() & F.col("current").isNotNull(), F.least("vibration", "current")).otherwise(F.coalesce("vibration", "current")))
 
 
+@query("j1_j2_channel_merge_whole", "WITH b AS (SELECT user_id AS machine, CASE WHEN user_id % 3 = 0 THEN 'current' WHEN user_id % 3 = 2 THEN 'vibration' WHEN event_type IN ('view', 'purchase') THEN 'vibration' ELSE 'current' END AS channel FROM events), v AS (SELECT machine, count(*) AS n FROM b WHERE channel = 'vibration' GROUP BY 1), c AS (SELECT machine, count(*) AS n FROM b WHERE channel = 'current' GROUP BY 1) SELECT coalesce(v.machine, c.machine) AS machine, v.n::BIGINT AS vibration, c.n::BIGINT AS current, least(v.n, c.n)::BIGINT AS paired FROM v FULL JOIN c ON v.machine = c.machine")
+def channel_merge_whole(spark, sf_dir):
+    """Bursts of two channels by key, and how many pair up; every event is a burst, and two machines of three lack a channel."""
+    machine, kind = F.col("user_id"), F.col("event_type")
+    channel = F.when(machine % 3 == 0, "current").when(machine % 3 == 2, "vibration").when(kind.isin("view", "purchase"), "vibration").otherwise("current")
+    e = table(spark, sf_dir, "events").select(machine.alias("machine"), channel.alias("channel"))
+    count = lambda name: e.where(F.col("channel") == name).groupBy("machine").agg(F.count(F.lit(1)).alias(name))
+    return count("vibration").join(count("current"), "machine", "full_outer").withColumn("paired", F.least("vibration", "current"))
+
+
 @query("j11_model_pairs", "WITH m AS (SELECT DISTINCT event_type AS m FROM events) SELECT a.m AS first, b.m AS second FROM m a JOIN m b ON a.m < b.m")
 def model_pairs(spark, sf_dir):
     """Unordered pairs of models; there are as many as models, which are few."""

@@ -179,6 +179,14 @@ def collapse(spark, sf_dir):
     return lookups.collapse_labels(rows, "label").groupBy("class").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("p2_collapse_labels_whole", f"WITH {FOLDER_SQL}, w AS (SELECT CASE WHEN label = 'bearing_pump' THEN 'bearing_outer' ELSE label END AS label FROM d JOIN c USING (family)) SELECT class, count(*)::BIGINT AS n FROM w JOIN k USING (label) GROUP BY class")
+def collapse_whole(spark, sf_dir):
+    """Rows by class of all fault families; the one without a class is relabelled as an outer-race fault."""
+    label = F.when(F.col("label") == "bearing_pump", "bearing_outer").otherwise(F.col("label"))
+    rows = lookups.parse_condition(folders(spark, sf_dir), "folder").withColumn("label", label)
+    return lookups.collapse_labels(rows, "label").groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("p4_session_ids", f"WITH {FOLDER_SQL} SELECT p_partkey, 'NK80-250_' || family || '_' || coalesce(severity::VARCHAR, 'None') || '_100' AS session_id FROM d")
 def session_ids(spark, sf_dir):
     """Session keys from pump, condition, severity and speed."""
