@@ -19,7 +19,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by 0.8 of their five-word shingles or more, the one with the smallest id stays."""
+    """Of documents linked by 0.8 of their five-word shingles or more, the row with the smallest id stays."""
     return jaccard.first_of_each(docs, Scratch(spark), k=5, num=4, den=5)
 
 

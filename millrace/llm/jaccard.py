@@ -40,14 +40,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Scratch
+from .common import BROADCAST_ROWS, Scratch, fresh
 
 BAND = 13, 10  # a band's upper end over its lower one
 ROUNDS = 4
 CACHE_WORDS = 1_000_000
 SEEDS = 3
-SET_SCHEMA = "doc_id long, n long, node long, check long, b0 long, b1 long, b2 long, b3 long, keys array<long>"
-SET_FIELDS = pa.schema([*((x, pa.int64()) for x in ("doc_id", "n", "node", "check", "b0", "b1", "b2", "b3")), ("keys", pa.list_(pa.int64()))])
+SET_SCHEMA = "doc_id long, digest long, n long, node long, check long, b0 long, b1 long, b2 long, b3 long, keys array<long>"
+SET_FIELDS = pa.schema([*((x, pa.int64()) for x in ("doc_id", "digest", "n", "node", "check", "b0", "b1", "b2", "b3")), ("keys", pa.list_(pa.int64()))])
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -158,7 +158,7 @@ class Schemes:
 
 
 def set_rows(docs: DataFrame, k: int, seed: int, schemes: tuple) -> DataFrame:
-    """Of each document: size, digest (node), second digest, parity bitmap and keys.
+    """Of each document: digest of its text, size, digest of its set (node), second digest, parity bitmap and keys.
 
     Keys are null in rows whose set the task has already seen.
     """
@@ -166,7 +166,7 @@ def set_rows(docs: DataFrame, k: int, seed: int, schemes: tuple) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, made, seen = Shingles(k, seed), Schemes(*schemes), set()
         for batch in batches:
-            ids, texts = batch.column("doc_id").cast(pa.int64()), batch.column("text").cast(pa.binary())
+            ids, digests, texts = batch.column("doc_id").cast(pa.int64()), batch.column("digest"), batch.column("text").cast(pa.binary())
             head, keys = [], []
             for i in range(len(texts)):
                 h = shingles(texts[i].as_py())
@@ -180,19 +180,19 @@ def set_rows(docs: DataFrame, k: int, seed: int, schemes: tuple) -> DataFrame:
                 keys.append(None if node in seen else made.keys(h).view(np.int64))
                 seen.add(node)
                 if len(keys) >= 500:
-                    yield rows(ids.slice(i + 1 - len(keys), len(keys)), head, keys)
+                    yield rows(ids.slice(i + 1 - len(keys), len(keys)), digests.slice(i + 1 - len(keys), len(keys)), head, keys)
                     head, keys = [], []
             if keys:
-                yield rows(ids.slice(len(texts) - len(keys), len(keys)), head, keys)
+                yield rows(ids.slice(len(texts) - len(keys), len(keys)), digests.slice(len(texts) - len(keys), len(keys)), head, keys)
 
-    def rows(ids, head: list, keys: list) -> pa.RecordBatch:
+    def rows(ids, digests, head: list, keys: list) -> pa.RecordBatch:
         cols = [pa.array(c, pa.int64()) for c in zip(*head, strict=True)]
         sizes = np.cumsum([0, *(0 if x is None else len(x) for x in keys)])
         flat = np.concatenate([np.zeros(0, np.int64), *(x for x in keys if x is not None)])
         lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32(), mask=np.array([*(x is None for x in keys), False])), pa.array(flat))
-        return pa.RecordBatch.from_arrays([ids, *cols, lists], schema=SET_FIELDS)
+        return pa.RecordBatch.from_arrays([ids, digests, *cols, lists], schema=SET_FIELDS)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SET_SCHEMA)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("digest")).mapInArrow(run, SET_SCHEMA)
 
 
 def whole_sets(docs: DataFrame, nodes: DataFrame, k: int, seed: int) -> DataFrame:
@@ -314,7 +314,7 @@ class Join:
         return self.scratch.put(rows.select("key", "node", "comp", "lo", "hi"), tag)
 
     def run(self) -> DataFrame:
-        """(node, component) of all nodes, component the smallest id of its documents."""
+        """(node, comp, component_id) of all nodes: a node that stands for the component, and the smallest id of its documents."""
         s = self.scratch
         shared = self.shared_keys(self.sets, "shared0")
         light = s.put(self.sets.drop("keys"), "light")
@@ -354,38 +354,53 @@ class Join:
         named = s.put(named, "named")
         smallest = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
         smallest = s.put(smallest, "smallest")
-        return s.put(named.join(smallest, "comp").select("node", "component_id"), "components")
+        return s.put(named.join(smallest, "comp").select("node", "comp", "component_id"), "components")
 
 
-def linked(docs: DataFrame, scratch: Scratch, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of docs (doc_id, text)."""
+def linked_rows(docs: DataFrame, scratch: Scratch, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """doc_id, digest of the text, n, comp and component_id of every row of docs; both are null without shingles."""
     join = Join(docs, scratch, k, num, den)
     found = join.run().withColumnRenamed("node", "of")
-    rows = join.sets.select("doc_id", "n", "node")
-    out = rows.join(found, F.col("node") == F.col("of"), "left")
+    rows = join.sets.select("doc_id", "digest", "n", "node")
+    return rows.join(found, F.col("node") == F.col("of"), "left").drop("of")
+
+
+def linked(docs: DataFrame, scratch: Scratch, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of docs (doc_id, text)."""
+    out = linked_rows(docs, scratch, k, num, den)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def first_of_each(docs: DataFrame, scratch: Scratch, **rules) -> DataFrame:
-    """The documents of docs that have their component's id, with the columns of docs.
+    """One row of each component, with the columns of docs: the smallest id, null last, and of one id the smallest digest.
 
-    Rows that share an id are one document; the first in order of text stays.
+    Rows that share an id and differ in text are told apart by the digest of their text. Rows
+    without shingles are linked to nothing and stay; of those equal in id and text, one does.
     """
     own = Scratch(docs.sparkSession)
-    ids = scratch.put(linked(docs, own, **rules), "linked").where("doc_id is not null")
+    light = linked_rows(docs, own, **rules).select("doc_id", "digest", "comp")
+    ids = scratch.put(light, "linked").where("comp is not null or doc_id is not null")
     own.drop()
     own.release()
-    per_id = ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies"), F.min("component_id").alias("c"))
-    gone = scratch.put(per_id.where("c <> doc_id").select(F.col("doc_id").alias("gone")), "gone")
-    twice = scratch.put(per_id.where("copies > 1").select(F.col("doc_id").alias("twice")), "twice")
     hint = lambda t: F.broadcast(t) if t.count() <= BROADCAST_ROWS else t
-    kept = docs.join(hint(gone), F.col("doc_id") == F.col("gone"), "left_anti")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")).alias("first")
+    several = ids.where("comp is not null").groupBy("comp").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1")
+    several = scratch.put(several.select(F.col("comp").alias("of"), F.col("first.doc_id").alias("first_id"), F.col("first.digest").alias("first_digest")), "several")
+    member = ids.join(hint(several), F.col("comp") == F.col("of"))
+    stays = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("digest") == F.col("first_digest"))
+    key = [F.col("doc_id").alias("other_id"), F.col("digest").alias("other_digest")]
+    gone = scratch.put(member.where(~stays).select(*key).distinct(), "gone")
+    copies = member.where(stays).select(*key).unionByName(ids.where("comp is null").select(*key))
+    twice = scratch.put(copies.groupBy("other_id", "other_digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "twice")
+    name = fresh(docs, "digest")
+    same = F.col("doc_id").eqNullSafe(F.col("other_id")) & (F.col(name) == F.col("other_digest"))
+    kept = docs.withColumn(name, F.xxhash64("text")).join(hint(gone), same, "left_anti")
     if twice.isEmpty():
-        return kept
-    single = kept.join(hint(twice), F.col("doc_id") == F.col("twice"), "left_anti")
-    again = kept.join(hint(twice), F.col("doc_id") == F.col("twice"), "left_semi")
-    best = again.groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("row"))
-    return single.unionByName(best.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"row.{c}") for c in docs.columns]))
+        return kept.drop(name)
+    single = kept.join(hint(twice), same, "left_anti").drop(name)
+    again = kept.join(hint(twice), same, "left_semi")
+    best = again.groupBy("doc_id", name).agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias(row := fresh(again, "row")))
+    return single.unionByName(best.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"{row}.{c}").alias(c) for c in docs.columns]))
 
 
 def op10_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -132,3 +132,15 @@ def test_pipeline_stages(spark):
     words = sum(len(x[1].split()) for x in rows)
     assert abs(seen[3].select(F.sum(F.size(F.split("text", " ")))).first()[0] - 1.5 * words) <= 6
     assert seen[4].agg(F.sum("length")).first()[0] == sum(x["doc_tokens"] for x in seen[4].where("start = 0").collect())
+
+
+def test_first_of_each_decides_by_row(spark):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(60))
+    a, b, c, d, e, f = map(text, "abcdef")
+    rows = [(3, a), (5, a + " z"), (5, b), (9, c), (9, d), (7, e), (7, e), (None, f), (None, f + " z"), (None, f), (None, a), (1, None), (1, None), (2, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", F.lit("x")).withColumn("row", F.lit(1)).repartition(3)
+    out = jaccard.first_of_each(docs, Scratch(spark))
+    got = sorted(((x["doc_id"], x["text"]) for x in out.collect() if x["doc_id"] is not None), key=str)
+    assert out.columns == docs.columns
+    assert got == sorted([(3, a), (5, b), (9, c), (9, d), (7, e), (1, None), (2, "")], key=str)
+    assert [x["text"] in (f, f + " z") for x in out.where("doc_id is null").collect()] == [True]
