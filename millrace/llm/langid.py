@@ -6,7 +6,8 @@ logistic loss under the classifiers' margins, and the score is the softmax of th
 losses. A text is ambiguous where that is below AMBIGUOUS.
 
 The classifiers are fitted on the driver on a bounded sample: about ``per_lang`` labelled
-texts of each language of ``max_chars`` characters at most, chosen by a hash of doc_id.
+texts of each language, chosen by a hash of doc_id. Of a text of more than ``max_chars``
+characters, that many from its first letter on are taken.
 Prediction reads whole texts, lower-cased, with ASCII characters that are not letters taken
 as spaces. Texts that are null or have no letter, and all texts where nothing is labelled,
 are ``und`` with score 0. Null langs are never learned from.
@@ -108,7 +109,9 @@ def trained(docs: DataFrame, per_lang: int = PER_LANG, max_chars: int = MAX_CHAR
     for lang, n in counts.items():
         part = F.when(F.col("lang") == lang, F.lit(per_lang / n)).otherwise(part)
     draw = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where((draw < part) & (F.char_length("text") <= max_chars)).select("text", "lang").collect()
+    window = F.regexp_extract("text", rf"(?s)\p{{L}}.{{0,{max_chars - 1}}}", 0)
+    text = F.when(F.char_length("text") <= max_chars, F.col("text")).otherwise(window)
+    sample = rows.where(draw < part).select(text.alias("text"), "lang").collect()
     sample = sorted(r for r in sample if LETTER.search(r["text"]))
     return fitted([r["text"] for r in sample], [r["lang"] for r in sample]) if sample else None
 

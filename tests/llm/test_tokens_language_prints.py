@@ -97,6 +97,17 @@ def test_language_held_out(spark):
     assert [tuple(x) for x in langid.predicted(bare, langid.trained(bare)).select("language.*").collect()] == [("und", 0.0, True)]
 
 
+def test_long_texts_are_learned_from(spark):
+    r = random.Random(2)
+    vocab = {"aa": "bal dor min sel", "bb": "xuq zyx wov kyq"}
+    text = lambda v, n: " ".join(r.choice(vocab[v].split()) for _ in range(n))
+    rows = [(i, text("aa", 30), "aa") for i in range(60)] + [(100 + i, " \n" * 15_000 + text("bb", 8_000) + "\n", "bb") for i in range(12)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for part in (d, d.where("lang = 'bb'")):
+        out = langid.predicted(part, langid.trained(part)).select("lang", "language.lang_pred").collect()
+        assert all(x["lang_pred"] == x["lang"] for x in out)
+
+
 def test_codewords_are_apart():
     for n in (1, 2, 3, 4, 6, 9, 20):
         m = langid.codewords(n)
