@@ -12,7 +12,8 @@ moved, so a task that runs twice leaves one file. Of pages with equal payloads o
 ``min_bytes`` the smallest page_id is the response and the others revisit it; smaller
 payloads are all responses. Null html is an empty payload, null urls are empty. Pages with
 null ids sort last and each is a response. Rows that share the
-smallest id of a payload are all responses.
+smallest id of a payload are all responses; rows that share an id but not a payload are
+decided each for its own.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, Scratch
@@ -45,20 +46,24 @@ def open_at(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if ":/" in uri else f"file://{uri}")
 
 
+def payload_key() -> Column:
+    body = F.coalesce("html", F.lit(""))
+    return F.struct(F.unhex(F.sha1(body)).alias("sha"), F.xxhash64(body).alias("x"))
+
+
 def decisions(pages: DataFrame, scratch: Scratch, min_bytes: int = 0) -> DataFrame:
-    """The pages that revisit another one: page_id and refers_to.
+    """The pages that revisit another one: page_id, key of the payload and refers_to.
 
     Only the first page of each digest is gathered, by partial aggregation. The pages of a
     digest meet it under SALTS salts of their id, so that those of a hot digest are spread.
     """
     body = F.coalesce("html", F.lit(""))
-    key = F.struct(F.unhex(F.sha1(body)).alias("sha"), F.xxhash64(body).alias("x"))
-    light = scratch.put(pages.where(F.octet_length(body) >= min_bytes).select("page_id", key.alias("key")).where(F.col("page_id").isNotNull()), "warc_keys")
+    light = scratch.put(pages.where(F.octet_length(body) >= min_bytes).select("page_id", payload_key().alias("key")).where(F.col("page_id").isNotNull()), "warc_keys")
     first = light.groupBy("key").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1")
     first = scratch.put(first.select("key", "refers_to", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")), "warc_first")
     salted = light.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
     again = (salted.join(first, ["key", "salt"]).where(F.col("page_id") > F.col("refers_to")))
-    return scratch.put(again.select("page_id", "refers_to").distinct(), "warc_revisits")
+    return scratch.put(again.select("page_id", "key", "refers_to").distinct(), "warc_revisits")
 
 
 def record_id(page_id, again: int) -> str:
@@ -227,9 +232,9 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
 def archived(pages: DataFrame, scratch: Scratch, min_bytes: int = 0) -> DataFrame:
     """Write pages (page_id, url, html) as archives; return the written table of their paths."""
     again = decisions(pages, scratch, min_bytes)
-    right = again.withColumnRenamed("page_id", "again_id")
+    right = again.select(F.col("page_id").alias("again_id"), F.col("key").alias("again_key"), "refers_to")
     pages = pages.select("page_id", "url", "html")
-    joined = pages.join(F.broadcast(right) if right.count() <= BROADCAST_ROWS else right, F.col("page_id") == F.col("again_id"), "left").drop("again_id")
+    joined = pages.join(F.broadcast(right) if right.count() <= BROADCAST_ROWS else right, (F.col("page_id") == F.col("again_id")) & (payload_key() == F.col("again_key")), "left").drop("again_id", "again_key")
     root = scratch.root if ":/" in scratch.root else f"file://{scratch.root}"
     return scratch.put(write_archives(joined, f"{root}/archives"), "warc_archives")
 

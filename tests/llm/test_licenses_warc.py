@@ -83,3 +83,10 @@ def test_warc_small_payloads_and_no_pages(spark):
     out = {c["page_id"]: c["refers_to"] for c in warc.read_archives(warc.archived(pages, Scratch(spark), min_bytes=3)).where("last").collect()}
     assert out == {1: None, 2: None, 3: None, 4: 3}
     assert warc.archived(pages.limit(0), Scratch(spark)).count() == 0
+
+
+def test_warc_rows_that_share_an_id(spark):
+    rows = [(1, "u", "aa"), (2, "u", "bb"), (5, "u", "aa"), (5, "u", "own"), (6, "u", "aa"), (6, "u", "bb"), (6, "u", "bb")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    out = sorted(((c["page_id"], c["record_type"], c["refers_to"] or 0, bytes(c["data"])) for c in warc.read_archives(warc.archived(pages, Scratch(spark))).where("last").collect()))
+    assert out == [(1, "response", 0, b"aa"), (2, "response", 0, b"bb"), (5, "response", 0, b"own"), (5, "revisit", 1, b""), (6, "revisit", 1, b""), (6, "revisit", 2, b""), (6, "revisit", 2, b"")]
