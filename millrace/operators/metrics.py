@@ -122,16 +122,17 @@ def recall_at_far(df: DataFrame, hit: Column, score: Column, budgets: list[float
     return best.select(F.inline(F.array(*rows)))
 
 
-def log_binomials(n: Column) -> Column:
-    """ln C(n, k) for k from 0 to n div 2."""
-    ks = F.sequence(F.lit(0), F.floor(n / 2).cast("int"))
-    start = F.struct(F.lit(0.0).alias("l"), F.array().cast("array<double>").alias("out"))
+def binomial_tail(n: Column, k: Column) -> Column:
+    """The sum of C(n, i) / 2^n for i from 0 to k, by a running logarithm; linear in k."""
+    at = lambda l: F.exp(l - n * F.ln(F.lit(2.0)))
+    start = F.struct(F.lit(0.0).alias("l"), at(F.lit(0.0)).alias("p"))
 
-    def step(s: Column, k: Column) -> Column:
-        now = F.when(k == 0, F.lit(0.0)).otherwise(s["l"] + F.ln((n - k + 1).cast("double")) - F.ln(F.greatest(k, F.lit(1)).cast("double")))
-        return F.struct(now.alias("l"), F.concat(s["out"], F.array(now)).alias("out"))
+    def step(s: Column, i: Column) -> Column:
+        l = s["l"] + F.ln((n - i + 1).cast("double")) - F.ln(i.cast("double"))
+        return F.struct(l.alias("l"), (s["p"] + at(l)).alias("p"))
 
-    return F.aggregate(ks, start, step, lambda s: s["out"])
+    ks = F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>"))
+    return F.aggregate(ks, start, step, lambda s: s["p"])
 
 
 def mcnemar(df: DataFrame, true: str, a: str, b: str) -> DataFrame:
@@ -139,7 +140,7 @@ def mcnemar(df: DataFrame, true: str, a: str, b: str) -> DataFrame:
     right = lambda c: F.col(c) == F.col(true)
     n = df.agg(F.count(F.when(~right(a) & right(b), 1)).alias("n01"), F.count(F.when(right(a) & ~right(b), 1)).alias("n10"))
     n = n.withColumns({"n": F.col("n01") + F.col("n10"), "k": F.least("n01", "n10")})
-    tail = F.aggregate(F.slice(log_binomials(F.col("n")), F.lit(1), (F.col("k") + 1).cast("int")), F.lit(0.0), lambda s, l: s + F.exp(l - F.col("n") * F.ln(F.lit(2.0))))
+    tail = binomial_tail(F.col("n"), F.col("k"))
     return n.select("n01", "n10", F.when(F.col("n") == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail)).alias("p"))
 
 

@@ -126,6 +126,13 @@ def mcnemar_counts(spark, sf_dir):
     return metrics.mcnemar(predictions(spark, sf_dir), "y_true", "top", "other").select("n01", "n10")
 
 
+@query("e12_mcnemar_exact", f"""WITH {PREDICTIONS}, n AS (SELECT count(*) FILTER (top <> y_true AND other = y_true)::BIGINT AS n01, count(*) FILTER (top = y_true AND other <> y_true)::BIGINT AS n10 FROM p)
+SELECT n01, n10, round(CASE WHEN n01 + n10 = 0 THEN 1 ELSE least(1, 2 * list_sum(list_transform(range(0, least(n01, n10) + 1), lambda k: exp(lgamma(n01 + n10 + 1) - lgamma(k + 1) - lgamma(n01 + n10 - k + 1) - (n01 + n10) * ln(2))))) END, 6) AS p FROM n""")
+def mcnemar_exact(spark, sf_dir):
+    """The exact test of two models: rows that only one gets right, and p."""
+    return rounded(metrics.mcnemar(predictions(spark, sf_dir), "y_true", "top", "other"), "p")
+
+
 @query("e14_severity", f"WITH {PREDICTIONS} SELECT severity, count(*)::BIGINT AS n, round(avg((y_pred NOT IN ('view', 'ABSTAIN'))::INT), 6) AS detected, round(avg((y_pred = y_true)::INT), 6) AS right_class FROM p WHERE y_true <> 'view' AND severity IS NOT NULL GROUP BY severity")
 def severity(spark, sf_dir):
     """Detection of faults by severity."""

@@ -42,7 +42,7 @@ def trip_simulation(spark, sf_dir, trials: int = 40, noise: float = 0.8, seed: i
 
 
 @query("w18_seasonal_drift")
-def seasonal_drift(spark, sf_dir, p: int = 8, days: int = 180, per_day: int = 20, drift: float = 0.01, seed: int = 0):
+def seasonal_drift(spark, sf_dir, p: int = 20, days: int = 180, per_day: int = 20, drift: float = 0.01, seed: int = 0):
     """False alarms of a fixed baseline under a slow drift, by ten days."""
     names = [f"f{i}" for i in range(p)]
     fit = baseline.fit(spark.range(400).select(F.lit(1).alias("machine"), *[F.randn(seed + i).alias(n) for i, n in enumerate(names)]), ["machine"], names)
@@ -71,4 +71,4 @@ def context_folds(spark, sf_dir):
     """The same of the in-context vote with abstention."""
     df = event_rows(spark, sf_dir).withColumn("label", F.when(F.col("x") > 80, "high").otherwise("low"))
     roles = splits.fold_roles(df, splits.group_folds(df, "machine", most=3), "machine")
-    return metrics.report(models.evaluate(roles, lambda seed=0: models.InContext(seed, context=200, abstain=True), ["x", "y"], "label"))
+    return metrics.report(models.evaluate(roles, lambda seed=0: models.InContext(seed, abstain=True), ["x", "y"], "label"))

@@ -1,13 +1,17 @@
 """Queries over whole tables: every row enters, and the SQL says the same."""
 
+import inspect
+import math
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from millrace.operators import metrics, models
 
 KINDS = ["click", "error", "purchase", "signup", "view"]
-NAMES = ["l5_label_coverage_whole", "l8_nth_of_class_whole", "l11_stratified_context_whole", "l15_lomo_feasible_whole", "j1_j2_channel_merge_whole", "p2_collapse_labels_whole"]
+NAMES = ["l5_label_coverage_whole", "l8_nth_of_class_whole", "l11_stratified_context_whole", "l15_lomo_feasible_whole", "j1_j2_channel_merge_whole", "p2_collapse_labels_whole", "e12_mcnemar_exact"]
 
 
 @pytest.fixture(scope="module")
@@ -43,3 +47,21 @@ def test_every_row_enters(spark, tables):
     assert run("l15_lomo_feasible_whole")[0]["machines"] == 12
     assert sum((r["vibration"] or 0) + (r["current"] or 0) for r in run("j1_j2_channel_merge_whole")) == 480
     assert sum(r["n"] for r in run("p2_collapse_labels_whole")) == 200
+
+
+def test_mcnemar_of_many_rows(spark):
+    n = spark.createDataFrame([(0, 0), (30, 0), (30, 11), (5001, 2450), (200_001, 99_900)], "n long, k long")
+    for r in n.select("n", "k", metrics.binomial_tail(F.col("n"), F.col("k")).alias("p")).collect():
+        if r["n"] < 10_000:
+            want = sum(math.comb(r["n"], i) for i in range(r["k"] + 1)) / 2 ** r["n"] if r["n"] < 1000 else float(sum(math.comb(r["n"], i) for i in range(r["k"] + 1)) * 10**12 // 2 ** r["n"]) / 1e12
+            assert r["p"] == pytest.approx(want, rel=1e-7)
+        else:
+            assert 0.3 < r["p"] < 0.35
+
+
+def test_studies_run_at_the_operators_defaults(spark, tables, monkeypatch):
+    assert inspect.signature(entry.queries()["w18_seasonal_drift"]).parameters["p"].default == 20
+    seen, real = [], models.InContext.__init__
+    monkeypatch.setattr(models.InContext, "__init__", lambda self, *a, **k: (real(self, *a, **k), seen.append(self.context))[0])
+    entry.queries()["m4_context_folds"](spark, tables)
+    assert set(seen) == {models.CONTEXT_ROWS}
