@@ -6,7 +6,9 @@ The threshold is found without a sort: sizes are summed by source and the first
 the cell, the bucket in which the running sum passes the budget is refined by the next 10
 bits, and that one by the last 10. What the last cell holds beyond the budget (mostly one
 document) is cut pro rata, so that each source gives its budget less one word a document of
-that cell at most. All is DataFrame code; what is collected nowhere grows with the rows.
+that cell at most. The mix itself appends 30 bits of the MD5 of the text to the cell, so rows
+of null or repeated ids are told apart by their texts; ``op1_mixing`` gives what its SQL gives,
+where they share a cell. All is DataFrame code; what is collected nowhere grows with the rows.
 
 Null texts and texts of white space have size 0 and are taken 0 times. Null ids hash as the
 empty string; rows that share an id share a cell. Null sources are a source of their own, the
@@ -26,10 +28,12 @@ DIGIT = 10  # bits of the cell that one histogram resolves
 LEVELS = 3
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """docs with a struct column ``m``: size, source key and hash cell."""
-    md5 = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    cell = F.shiftright(F.conv(F.substring(md5, 1, 8), 16, 10).cast("long"), 32 - DIGIT * LEVELS)
+def measured(docs: DataFrame, by_text: bool = False) -> DataFrame:
+    """docs with a struct column ``m``: size, source key and hash cell, with ``by_text`` of id and text."""
+    bits = lambda x: F.shiftright(F.conv(F.substring(F.md5(F.coalesce(x, F.lit(""))), 1, 8), 16, 10).cast("long"), 32 - DIGIT * LEVELS)
+    cell = bits(F.col("doc_id").cast("string"))
+    if by_text:
+        cell = F.shiftleft(cell, DIGIT * LEVELS).bitwiseOR(bits(F.col("text")))
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-"))
     return docs.withColumn(fresh(docs, "m"), F.struct(n_words(F.col("text")).alias("size"), key.alias("skey"), cell.alias("cell")))
 
@@ -66,15 +70,15 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: tuple[int, int],
     return per.select("skey", F.col("s").alias("source_size"), "target", times.alias("times"), (F.col("budget") - times * F.col("s")).alias("left"))
 
 
-def thresholds(sizes: DataFrame, scratch: Scratch, weights=(3, 1, 2), share=(3, 2), most=2) -> DataFrame:
+def thresholds(sizes: DataFrame, scratch: Scratch, weights=(3, 1, 2), share=(3, 2), most=2, levels=LEVELS) -> DataFrame:
     """Of each source: source_size, target, times, and the cell up to which a document is taken once more.
 
     ``left`` of the words of that cell itself, which has ``held``, are to be taken.
     """
     at = scratch.put(targets(sizes, weights, share, most).withColumns({"cell": F.lit(0).cast("long"), "held": F.lit(0).cast("long")}), "mix_targets")
     cells = sizes.groupBy("skey", "cell").agg(F.sum("size").alias("size"))
-    for level in range(1, LEVELS + 1):
-        low = DIGIT * (LEVELS - level)
+    for level in range(1, levels + 1):
+        low = DIGIT * (levels - level)
         own = cells if level == 1 else lookup(cells, at.select("skey", F.col("cell").alias("within")), "skey").where(F.shiftright("cell", low + DIGIT) == F.col("within"))
         part = own.groupBy("skey", F.shiftright("cell", low).alias("bucket")).agg(F.sum("size").alias("held"))
         running = F.sum("held").over(Window.partitionBy("skey").orderBy("bucket"))
@@ -91,8 +95,9 @@ def mix(docs: DataFrame, at: DataFrame) -> DataFrame:
     pick = F.struct("source_size", "target", "times", F.col("cell").alias("edge"), "held", "left")
     out = lookup(docs, at.select(F.col("skey").alias(key := fresh(docs, "skey_")), pick.alias(t := fresh(docs, "t_"))), F.col(f"{m}.skey") == F.col(key))
     size, cell = F.col(f"{m}.size"), F.col(f"{m}.cell")
-    # size, left and held are below 2^31 for any cell of 30 bits, so the product stays in a long
-    edge = F.expr(f"if({t}.held > 0, {m}.size * {t}.left div {t}.held, 0L)")
+    # rows of null or repeated ids share a cell, so left and its product with size may be large
+    wide = lambda c: f"cast({c} as decimal(19, 0))"
+    edge = F.expr(f"if({t}.held > 0, {wide(f'{m}.size')} * {wide(f'{t}.left')} div {wide(f'{t}.held')}, 0L)")
     taken = F.col(f"{t}.times") * size + F.when(cell < F.col(f"{t}.edge"), size).when(cell == F.col(f"{t}.edge"), edge).otherwise(F.lit(0))
     return out.withColumn(name, F.struct(size.alias("size"), F.col(f"{t}.source_size").alias("source_size"), F.col(f"{t}.target").alias("target"), taken.cast("long").alias("taken"))).drop(m, key, t)
 
@@ -102,10 +107,10 @@ def mixed_documents(docs: DataFrame, scratch: Scratch, **rules) -> DataFrame:
 
     The extra piece of a document in the last cell is its first words, joined by spaces.
     """
-    base = measured(docs)
+    base = measured(docs, by_text=True)
     m = base.columns[-1]
     sizes = scratch.put(base.select(f"{m}.*"), "mix_sizes")
-    out = mix(base, thresholds(sizes, scratch, **rules))
+    out = mix(base, thresholds(sizes, scratch, levels=2 * LEVELS, **rules))
     name = out.columns[-1]
     size, taken = F.col(f"{name}.size"), F.col(f"{name}.taken")
     rest = taken % F.greatest(size, F.lit(1))

@@ -56,6 +56,12 @@ def test_mixed_documents_repeat_whole_texts(spark):
     assert sorted(map(key, got)) == sorted(map(key, again))
 
 
+def test_mix_of_rows_without_ids(spark):
+    rows = [(1, "x " * 100, "en", "a", 0)] + [(None, f"w{i}", "en", "b", 0) for i in range(200)]
+    out = mixing.mixed_documents(docs(spark, rows), Scratch(spark))
+    assert {x["source"]: x["n"] for x in out.groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " "))).alias("n")).collect()} == {"a": 200, "b": 250}
+
+
 def test_mix_of_nothing(spark):
     d = docs(spark, [])
     assert mixing.mixed_documents(d, Scratch(spark)).count() == 0
