@@ -15,18 +15,33 @@ covers what sets mostly lose, and more the more documents there are, so that key
 content stay rare. Low thresholds need many keys; their schemes are indexed in turns, so
 that only a share of the keys is in a shuffle at once.
 
+Which keys a set is looked up by is allocated by measured cost. A pair is looked for by its
+larger set alone, whose size, not the band's, bounds how far the two can be apart: what the
+scheme has beyond that is the set's spare, and as many keys may be left out of its lookups.
+They are those that most sets share, by count. All keys of all sets stay in the index; a key
+by which nobody looks is dropped.
+
 Equal sets are one node from the start. A key's nodes are linked in rounds: each node tries
 one partner a round, and only keys whose nodes are still in several components stay open;
-a large group of near copies thus costs a few pairs a node. What stays open after ROUNDS is
-joined pair by pair across components, sifted by sizes and by parity bitmaps (which can't
-differ in more bits than the sets in shingles). Every link is verified on the whole sets;
+a large group of near copies thus costs a few pairs a node. Groups that stay open after
+ROUNDS hold sets that are alike but mostly don't link, and share the keys of what they have
+in common. There each set is taken as its differences from the group's consensus, the
+shingles that more than half of its sets have: that keeps all distances, and leaves what a
+set has of its own. Sets at distances d and e from the consensus that link share (d + e - H) / 2
+differences or more, so that, from the rarest on, one of the first H / 2 + 1 of the nearer set
+is among the first H + 1 of the other; where d + e is H or less, both link with the set
+nearest to the consensus. Candidates are sifted by sizes and parity bitmaps (which can't
+differ in more bits than the sets in shingles) and every link is verified on the whole sets;
 components are found by contraction in written tables. The results are exact but for
 collisions of 64-bit shingle hashes within a pair; colliding set digests are detected, and
 the join starts over with another seed.
 
-Null texts and texts without words have no shingles and no links. Texts with fewer words
-than a shingle have one, the whole sequence. Rows that share an id are rows of their own;
-rows of null id can link others, and give their component's id only where it has no other.
+Null texts, empty texts and texts without words have no shingles and no links. Texts with
+fewer words than a shingle have one, the whole sequence; very long texts are whole sets like
+any other, of which a task holds one. Rows that share an id are rows of their own, repeated
+rows and ties (equal sets) are one node with several rows; rows of null id can link others,
+and give their component's id only where it has no other. An empty table gives an empty
+result. Only doc_id and text are read, so further columns may have any name.
 """
 
 from __future__ import annotations
@@ -44,10 +59,11 @@ from .common import BROADCAST_ROWS, Scratch, fresh
 
 BAND = 13, 10  # a band's upper end over its lower one
 ROUNDS = 4
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 50_000  # about 10 MB
+FLUSH_KEYS = 100_000
 SEEDS = 3
-SET_SCHEMA = "doc_id long, digest long, n long, node long, check long, b0 long, b1 long, b2 long, b3 long, keys array<long>"
-SET_FIELDS = pa.schema([*((x, pa.int64()) for x in ("doc_id", "digest", "n", "node", "check", "b0", "b1", "b2", "b3")), ("keys", pa.list_(pa.int64()))])
+SET_SCHEMA = "doc_id long, digest long, n long, node long, check long, b0 long, b1 long, b2 long, b3 long, spare long, own array<long>, over array<long>"
+SET_FIELDS = pa.schema([*((x, pa.int64()) for x in ("doc_id", "digest", "n", "node", "check", "b0", "b1", "b2", "b3", "spare")), *((x, pa.list_(pa.int64())) for x in ("own", "over"))])
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -62,21 +78,21 @@ class Shingles:
     def __init__(self, k: int, seed: int = 0):
         self.k, self.seed, self.known = k, seed, {}
 
+    def hashed(self, word: bytes) -> int:
+        h = xxhash.xxh3_64_intdigest(word, self.seed)
+        if len(word) <= 64:
+            if len(self.known) >= CACHE_WORDS:
+                self.known.clear()
+            self.known[word] = h
+        return h
+
     def __call__(self, text: bytes | None) -> np.ndarray:
         """Of UTF-8; bytes are lower-cased and split as ASCII, other letters stay as they are."""
         words = (text or b"").lower().split()
         if not words:
             return np.zeros(0, np.uint64)
         known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        try:
-            w = np.array([known[x] for x in words], np.uint64)
-        except KeyError:
-            for x in words:
-                if x not in known:
-                    known[x] = xxhash.xxh3_64_intdigest(x, self.seed)
-            w = np.array([known[x] for x in words], np.uint64)
+        w = np.fromiter((known.get(x) or self.hashed(x) for x in words), np.uint64, len(words))
         k = min(self.k, len(w))
         h = np.full(len(w) - k + 1, k, np.uint64)
         for j in range(k):
@@ -130,12 +146,15 @@ class Schemes:
             self.made[k] = m, slack
         return self.made[k]
 
-    def keys(self, h: np.ndarray) -> np.ndarray:
-        """All keys of a set of sorted hashes; segments are ranges of them."""
-        out = [np.zeros(0, np.uint64)]
+    def keys(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """The keys of a set of sorted hashes in its own band's scheme and in the next one's; segments are ranges of hashes.
+
+        Last, how many of its own keys it may leave out when it looks for sets of its size or smaller.
+        """
+        out, spare = [np.zeros(0, np.uint64)] * 2, 0
         content = mixed(h + np.uint64(0x632BE59BD9B4E019))
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(content, dtype=np.uint64)])
-        for k in self.of(len(h)):
+        for over, k in enumerate(self.of(len(h))):
             if k % self.parts != self.part:
                 continue
             m, slack = self.layout(k)
@@ -147,75 +166,93 @@ class Schemes:
             sums = total[ends[1:]] - total[ends[:-1]]
             loss = np.where(place < slack, np.maximum(2 - size, 0), size == 0)
             may_omit = np.cumsum(loss) <= slack
-            keep = (size > 0) | ~may_omit
-            out.append(mixed(sums + salt)[keep])
+            found = [mixed(sums + salt)[(size > 0) | ~may_omit]]
             if slack:
                 at = np.repeat(place[:slack], size[:slack])
                 less = sums[at] - content[: len(at)]
-                keep = (size[at] > 1) | ~may_omit[at]
-                out.append(mixed(less + salt[at])[keep])
-        return np.unique(np.concatenate(out))
+                found.append(mixed(less + salt[at])[(size[at] > 1) | ~may_omit[at]])
+            out[over] = np.unique(np.concatenate(found))
+            if not over:  # the key of an empty segment bears for its neighbourhood too
+                both = int(((size == 0) & (place < slack) & ~may_omit).sum())
+                spare = max(0, m - 1 - 2 * len(h) * (self.den - self.num) // (self.den + self.num) - both)
+        return *out, spare
+
+
+def lists(arrays: list[np.ndarray | None]) -> pa.ListArray:
+    """A column of int64 lists; None is null."""
+    sizes = np.cumsum([0, *(0 if x is None else len(x) for x in arrays)])
+    flat = np.concatenate([np.zeros(0, np.int64), *(x.view(np.int64) for x in arrays if x is not None)])
+    return pa.ListArray.from_arrays(pa.array(sizes, pa.int32(), mask=np.array([*(x is None for x in arrays), False])), pa.array(flat))
 
 
 def set_rows(docs: DataFrame, k: int, seed: int, schemes: tuple) -> DataFrame:
-    """Of each document: digest of its text, size, digest of its set (node), second digest, parity bitmap and keys.
+    """Of each document: digest of its text, size, digest of its set (node), second digest, parity bitmap, spare and keys.
 
-    Keys are null in rows whose set the task has already seen.
+    Keys are null in rows whose set the task has lately seen.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, made, seen = Shingles(k, seed), Schemes(*schemes), set()
+        head, keys, held = [], [], 0
         for batch in batches:
-            ids, digests, texts = batch.column("doc_id").cast(pa.int64()), batch.column("digest"), batch.column("text").cast(pa.binary())
-            head, keys = [], []
-            for i in range(len(texts)):
+            texts = batch.column("text").cast(pa.binary())
+            for i, (doc_id, digest) in enumerate(zip(batch.column("doc_id").cast(pa.int64()).to_pylist(), batch.column("digest").to_pylist(), strict=True)):
                 h = shingles(texts[i].as_py())
                 if not len(h):
-                    head.append((0, None, None, None, None, None, None))
-                    keys.append(None)
+                    head.append((doc_id, digest, 0, *[None] * 7))
+                    keys.append((None, None))
                     continue
                 node, check = np.array([mixed(h).sum(dtype=np.uint64), mixed(h ^ np.uint64(0xD1B54A32D192ED03)).sum(dtype=np.uint64) + np.uint64(len(h))]).view(np.int64).tolist()
                 odd = np.packbits((np.bincount((h & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)).view(np.int64).tolist()
-                head.append((len(h), node, check, *odd))
-                keys.append(None if node in seen else made.keys(h).view(np.int64))
+                own, over, spare = (None, None, None) if node in seen else made.keys(h)
+                head.append((doc_id, digest, len(h), node, check, *odd, spare))
+                keys.append((own, over))
+                held += 0 if own is None else len(own) + len(over)
+                if len(seen) >= CACHE_WORDS:
+                    seen.clear()
                 seen.add(node)
-                if len(keys) >= 500:
-                    yield rows(ids.slice(i + 1 - len(keys), len(keys)), digests.slice(i + 1 - len(keys), len(keys)), head, keys)
-                    head, keys = [], []
-            if keys:
-                yield rows(ids.slice(len(texts) - len(keys), len(keys)), digests.slice(len(texts) - len(keys), len(keys)), head, keys)
+                if held >= FLUSH_KEYS or len(keys) >= 2000:
+                    yield rows(head, keys)
+                    head, keys, held = [], [], 0
+        if keys:
+            yield rows(head, keys)
 
-    def rows(ids, digests, head: list, keys: list) -> pa.RecordBatch:
+    def rows(head: list, keys: list) -> pa.RecordBatch:
         cols = [pa.array(c, pa.int64()) for c in zip(*head, strict=True)]
-        sizes = np.cumsum([0, *(0 if x is None else len(x) for x in keys)])
-        flat = np.concatenate([np.zeros(0, np.int64), *(x for x in keys if x is not None)])
-        lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32(), mask=np.array([*(x is None for x in keys), False])), pa.array(flat))
-        return pa.RecordBatch.from_arrays([ids, digests, *cols, lists], schema=SET_FIELDS)
+        return pa.RecordBatch.from_arrays([*cols, *map(lists, zip(*keys, strict=True))], schema=SET_FIELDS)
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("digest")).mapInArrow(run, SET_SCHEMA)
 
 
-def whole_sets(docs: DataFrame, nodes: DataFrame, k: int, seed: int) -> DataFrame:
-    """(node, shingles) of the nodes, from the texts of their first documents. nodes is a written table."""
-    wanted = nodes.select(F.col("doc_id").alias("rep"), "node")
+def whole_sets(docs: DataFrame, nodes: DataFrame, k: int, seed: int, scratch: Scratch) -> DataFrame:
+    """(node, shingles) of the nodes, from the texts of their first rows. nodes is a written table."""
+    wanted = nodes.select(F.col("first.doc_id").alias("rep"), F.col("first.digest").alias("of"), "node")
     few = wanted.count() <= BROADCAST_ROWS
-    texts = docs.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
+    same = F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("digest") == F.col("of"))
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("digest")).join(F.broadcast(wanted) if few else wanted, same).select("node", "text")
     fields = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(k, seed)
+        found, sets, held = [], [], 0
         for batch in batches:
-            found, sets = [], []
-            for node, text in zip(batch.column("node").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
-                h = shingles(text.as_py())
-                if len(h) and int(mixed(h).sum(dtype=np.uint64).view(np.int64)) == node:  # ids may repeat
+            texts = batch.column("text").cast(pa.binary())
+            for i, node in enumerate(batch.column("node").to_pylist()):
+                h = shingles(texts[i].as_py())
+                if len(h) and int(mixed(h).sum(dtype=np.uint64).view(np.int64)) == node:  # digests of texts may collide
                     found.append(node)
-                    sets.append(h.view(np.int64))
-            if found:
-                sizes = np.cumsum([0, *map(len, sets)])
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(sets)))], schema=fields)
+                    sets.append(h)
+                    held += len(h)
+                if held >= FLUSH_KEYS:
+                    yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), lists(sets)], schema=fields)
+                    found, sets, held = [], [], 0
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), lists(sets)], schema=fields)
 
-    return texts.mapInArrow(run, "node long, shingles array<long>")
+    whole = scratch.put(texts.mapInArrow(run, "node long, shingles array<long>"), "whole")
+    if whole.count() > nodes.count():  # rows that are equal in id and text
+        whole = scratch.put(whole.dropDuplicates(["node"]), "whole_once")
+    return whole
 
 
 def components(edges: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
@@ -255,7 +292,8 @@ class Join:
         for self.seed in range(SEEDS):
             self.sets = scratch.put(self.keyed(0), "sets")
             first = lambda c: F.min(c).alias(c)
-            nodes = self.sets.where("node is not null").groupBy("node").agg(first("doc_id"), *map(first, ("n", "b0", "b1", "b2", "b3")), F.min("check").alias("c0"), F.max("check").alias("c1"))
+            row = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")).alias("first")
+            nodes = self.sets.where("node is not null").groupBy("node").agg(row, *map(first, ("n", "b0", "b1", "b2", "b3")), F.min("check").alias("c0"), F.max("check").alias("c1"))
             self.nodes = scratch.put(nodes, "nodes")
             if self.nodes.where("c0 <> c1").isEmpty():
                 break
@@ -266,11 +304,20 @@ class Join:
         return set_rows(self.docs, self.k, self.seed, (self.num, self.den, self.spread, part, self.parts))
 
     def shared_keys(self, sets: DataFrame, tag: str) -> DataFrame:
-        """(key, node, lo) of keys that several nodes have; lo is the first of them."""
+        """(key, node, looks, lo) of keys that several nodes have and one looks by; lo is the first of them.
+
+        Of its own keys a node leaves out, from its lookups, as many as it can spare: those that most nodes share.
+        """
         per = Window.partitionBy("key")
-        keys = sets.where("keys is not null").select(F.explode("keys").alias("key"), "node")
-        keys = keys.withColumns({"lo": F.min("node").over(per), "hi": F.max("node").over(per)}).where("lo < hi")
-        out = self.scratch.put(keys.select("key", "node", "lo"), tag)
+        side = lambda c: F.transform(c, lambda k: F.struct(k.alias("key"), F.lit(c == "own").alias("own")))
+        keys = sets.where("own is not null").select("node", "spare", F.explode(F.concat(side("own"), side("over"))).alias("k")).select("k.*", "node", "spare")
+        keys = keys.withColumns({"lo": F.min("node").over(per), "hi": F.max("node").over(per), "nodes": F.count(F.lit(1)).over(per), "looked": F.max("own").over(per)}).where("lo < hi and looked")
+        keys = self.scratch.put(keys.select("key", "node", "own", "spare", "nodes", "lo"), f"{tag}_all")
+        once = keys.repartition("node").groupBy("node", "key").agg(*[F.max(c).alias(c) for c in ("own", "spare", "nodes", "lo")])  # tasks may each have seen a set
+        rank = F.row_number().over(Window.partitionBy("node", "own").orderBy(F.desc("nodes"), "key"))
+        once = once.withColumn("looks", F.col("own") & (rank > F.col("spare"))).withColumn("looked", F.max("looks").over(per))
+        out = self.scratch.put(once.where("looked").select("key", "node", "looks", "lo"), tag)
+        self.scratch.drop(f"{tag}_all")
         self.scratch.release()
         return out
 
@@ -306,24 +353,57 @@ class Join:
             self.labels = self.scratch.put(self.labels.join(roots, F.col("comp") == F.col("x"), "left").select("node", F.coalesce("root", "comp").alias("comp")), f"{tag}_labels")
 
     def still_open(self, keys: DataFrame, tag: str) -> DataFrame:
-        """(key, node, comp, lo, hi) of keys with several components; lo and hi are nodes of the first and last."""
+        """(key, node, looks, comp, lo, hi) of keys with several components; lo and hi are nodes of the first and last."""
         per = Window.partitionBy("key")
-        rows = keys.select("key", "node").join(self.labels, "node")
+        rows = keys.select("key", "node", "looks").join(self.labels, "node")
         at = F.struct("comp", "node")
         rows = rows.withColumns({"lo": F.min(at).over(per), "hi": F.max(at).over(per)}).where("lo.comp < hi.comp")
-        return self.scratch.put(rows.select("key", "node", "comp", "lo", "hi"), tag)
+        return self.scratch.put(rows.select("key", "node", "looks", "comp", "lo", "hi"), tag)
+
+    def candidates(self, rows: DataFrame) -> DataFrame:
+        """(u, v, nu, nv) of pairs in several components of an open group that may link, by their differences from its consensus."""
+        s, den, num = self.scratch, self.den, self.num
+        edges = s.put(rows.select(F.col("lo.node").alias("a"), F.col("node").alias("b")).where("a <> b").distinct(), "group_edges")
+        groups = components(edges, s, "group").select(F.col("x").alias("node"), F.col("root").alias("g"))
+        member = rows.select("node", "comp").distinct().join(groups, "node").join(self.nodes.select("node", "n", "b0", "b1", "b2", "b3"), "node")
+        member = s.put(member, "member")
+        sets = member.join(self.whole, "node")
+        often = sets.select("g", F.explode("shingles").alias("e")).groupBy("g", "e").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+        often = often.join(member.groupBy("g").agg(F.count(F.lit(1)).alias("many")), "g").where("2 * c > many")
+        common = s.put(often.groupBy("g").agg(F.collect_list("e").alias("common")), "common")  # no more than twice a mean set
+        none = F.coalesce("common", F.array().cast("array<long>"))
+        differ = sets.join(common, "g", "left").withColumn("differ", F.concat(F.array_except("shingles", none), F.array_except(none, "shingles")))
+        differ = s.put(differ.drop("shingles", "common").withColumn("d", F.size("differ")), "differ")
+
+        each = differ.select("g", "node", F.explode("differ").alias("e"))
+        shared = each.groupBy("g", "e").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+        ranked = each.join(shared, ["g", "e"]).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "e"))).alias("rare"))
+        most = F.expr(f"n * {den - num} div {num}")  # the H of a set with its largest partner
+        alone = F.col("d") - F.size("rare")  # these come first
+        first = differ.drop("differ").join(ranked, "node").withColumns({"most": most, "alone": alone}).withColumn("rare", F.slice("rare", 1, F.greatest(F.lit(0), F.col("most") + 1 - F.col("alone")).cast("int")))
+        first = first.select("g", "node", "comp", "n", "d", "b0", "b1", "b2", "b3", "most", "alone", F.posexplode("rare").alias("at", "rare"))
+        first = s.put(first.withColumn("near", F.col("alone") + F.col("at") <= F.expr("most div 2")).withColumn("e", F.col("rare.e")).drop("rare", "most", "alone", "at"), "first")
+        side = lambda x, rows: rows.select("g", "e", F.col("node").alias(x), F.col("comp").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("d").alias(f"d{x}"), *[F.col(f"b{i}").alias(f"{x}{i}") for i in range(4)])
+        nearer = (F.col("dv") < F.col("du")) | ((F.col("dv") == F.col("du")) & (F.col("v") < F.col("u")))
+        pairs = side("u", first).join(side("v", first.where("near")), ["g", "e"]).where(nearer & (F.col("cu") != F.col("cv")) & self.may_link()).select("u", "v", "nu", "nv")
+
+        out = F.expr(f"d * {den + num} - n * {den - num}").alias("out")
+        least = differ.select("g", "node", "n", "comp", out)
+        head = least.groupBy("g").agg(F.min(F.struct("out", "node", "n", "comp")).alias("z"))
+        star = least.join(head, "g").where("comp <> z.comp and out + z.out <= 0").select(F.col("node").alias("u"), F.col("z.node").alias("v"), F.col("n").alias("nu"), F.col("z.n").alias("nv"))
+        return pairs.unionByName(star).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "nu", "nv").dropDuplicates(["u", "v"])
 
     def run(self) -> DataFrame:
         """(node, comp, component_id) of all nodes: a node that stands for the component, and the smallest id of its documents."""
         s = self.scratch
         shared = self.shared_keys(self.sets, "shared0")
-        light = s.put(self.sets.drop("keys"), "light")
+        light = s.put(self.sets.drop("spare", "own", "over"), "light")
         s.drop("sets")
         self.sets = light
         for part in range(1, self.parts):
             shared = shared.unionByName(self.shared_keys(self.keyed(part), f"shared{part}"))
         met = s.put(shared.select("node").distinct(), "met")
-        self.whole = s.put(whole_sets(self.docs, s.put(self.nodes.join(met, "node").select("node", "doc_id"), "wanted"), self.k, self.seed), "whole")
+        self.whole = whole_sets(self.docs, s.put(self.nodes.join(met, "node").select("node", "first"), "wanted"), self.k, self.seed, s)
         self.labels = s.put(met.select("node", F.col("node").alias("comp")), "labels")
         tries = shared.where("node <> lo").groupBy("node", F.col("lo").alias("other")).agg(F.count(F.lit(1)).alias("c"))
         tested, rows = None, shared
@@ -344,13 +424,9 @@ class Join:
         else:
             rows = self.still_open(rows, "open_last")
             if not rows.isEmpty():
-                full = rows.select("key", "node", "comp").join(self.nodes.select("node", "n", "b0", "b1", "b2", "b3"), "node")
-                full = s.put(full, "open_full")
-                side = lambda x: full.select("key", F.col("node").alias(x), F.col("comp").alias(f"c{x}"), F.col("n").alias(f"n{x}"), *[F.col(f"b{i}").alias(f"{x}{i}") for i in range(4)])
-                pairs = side("u").join(side("v"), "key").where((F.col("cu") < F.col("cv")) & self.may_link())
-                pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "nu", "nv").distinct().join(tested, ["u", "v"], "left_anti")
+                pairs = self.candidates(rows).join(tested, ["u", "v"], "left_anti")
                 self.relabelled(self.verified(s.put(pairs, "pairs"), "links_last"), "last")
-        named = self.nodes.select("node", "doc_id").join(self.labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        named = self.nodes.select("node", F.col("first.doc_id").alias("doc_id")).join(self.labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         named = s.put(named, "named")
         smallest = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
         smallest = s.put(smallest, "smallest")
