@@ -7,9 +7,15 @@ One array operation a document finds it. When the partition ends, the windows st
 are poured together, cut at the window's length, and the last one is cut into lengths that
 are powers of two, which need no padding. Nothing is shuffled or sorted.
 
-Ids are the tokenizer's, from a cache of words: its expressions never cross white space, so
-a word's ids don't depend on its neighbours. Null texts are empty and give the end id alone.
-A sequence's number is its task's and one of its own; reruns over the same files agree.
+Ids are the tokenizer's, from a bounded cache of words: its expressions never cross white
+space, so a word's ids don't depend on its neighbours.
+
+Null texts are empty; both, like an empty text, give the end id alone. Very long texts are
+tokenized whole, and so are very long words; a task holds one such text, and of the documents
+in its open windows their rests. Repeated rows, and rows that share an id or have none, are
+packed one by one; among levels that tie the fullest is taken. An empty table gives an empty
+result. Only doc_id and text are read, so further columns may have any name. A sequence's
+number is its task's and one of its own; reruns over the same files agree.
 """
 
 from __future__ import annotations
@@ -26,7 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 WINDOW, END_ID = 2048, 1
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 100_000  # about 20 MB, and as much of older ones
+LONG_WORD = 64  # beyond this, merging one pair at a time costs more than a call of the library
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 FIELDS = pa.schema([(x.split()[0], pa.int64()) for x in SCHEMA.split(", ")])
 
@@ -77,7 +84,8 @@ class WordIds(dict):
 
     Only distinct words are tokenized: letters and the punctuation after them are words of
     their own to the tokenizer, and case is lost, so "Word," shares the entry of "word".
-    Words of letters are merged here, all others by the library.
+    Short words of letters are merged here, all others by the library, whose cost is linear
+    but for a logarithm; long words are not kept.
     """
 
     def __init__(self, path: str):
@@ -85,9 +93,15 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         super().__init__({"": b""})
+        self.older: dict[str, bytes] = {}
         self.tokenizer, self.merges = Tokenizer.from_file(path), Merges(path)
 
     def __missing__(self, w: str) -> bytes:
+        if len(w) > LONG_WORD:
+            return np.asarray(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self.older.get(w)
+        if ids is not None:
+            return self.kept(w, ids)
         stem = w.rstrip(",.!?;:%&$*#")
         if not (stem.isalpha() and (stem.isascii() or unicodedata.is_normalized("NFC", stem)) and stem == stem.lower()):
             ids = np.asarray(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
@@ -95,13 +109,18 @@ class WordIds(dict):
             ids = array("I", self.merges(w)).tobytes()
         else:
             ids = self[stem] + self[w[len(stem) :]]
+        return self.kept(w, ids)
+
+    def kept(self, w: str, ids: bytes) -> bytes:
+        """Enter a word; of a full cache the words that were used since the last turn are found again."""
+        if len(self) >= CACHE_WORDS:
+            self.older = dict(self)
+            self.clear()
+            self[""] = b""
         self[w] = ids
         return ids
 
     def of(self, text: str) -> bytes:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-            self[""] = b""
         # the tokenizer lowers each letter by itself, which is what lower() does but for the final sigma
         text = text if "\u03a3" in text else text.lower()
         # these four are white space to the tokenizer; rarer kinds stay inside a word
