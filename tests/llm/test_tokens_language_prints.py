@@ -26,6 +26,20 @@ def test_ids_are_the_tokenizers(path):
         assert np.frombuffer(ids.of(t), "<u4").tolist() == e.ids, repr(t)
 
 
+def test_ids_of_very_long_words(path):
+    ids, r = packing.WordIds(path), random.Random(4)
+    for w in ("".join(r.choice("abcdefgh") for _ in range(1_000_000)), "語の" * 100_000, "a" * packing.LONG_WORD + ",", "b" * (packing.LONG_WORD + 1)):
+        assert np.frombuffer(ids.of(w), "<u4").tolist() == ids.tokenizer.encode(w, add_special_tokens=False).ids
+
+
+def test_words_stay_right_in_a_full_cache(path, monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_WORDS", 5)
+    ids, r = packing.WordIds(path), random.Random(5)
+    for _ in range(200):
+        t = " ".join(r.choice("one two, three four. five-six seven Eight! nine ten eleven".split()) for _ in range(12))
+        assert np.frombuffer(ids.of(t), "<u4").tolist() == ids.tokenizer.encode(t, add_special_tokens=False).ids
+
+
 def test_packing_is_whole_and_tight(spark, path):
     r = random.Random(2)
     rows = [(i, " ".join(r.choice("alpha beta gamma".split()) for _ in range(r.randint(1, 900)))) for i in range(300)] + [(1000 + i, t) for i, t in enumerate(TEXTS)] + [(None, "no id"), (1, "same id")]
@@ -136,6 +150,26 @@ def test_token_counts_match_brute_force(spark):
         assert (x["n_pretokens"], x["n_tokens"]) == (len(words), sum(viterbi(tokencount.MARK + w, pieces) for w in words))
 
 
+def test_very_long_words_are_scored_outside_the_trie(monkeypatch):
+    pieces = tokencount.scores(packing.tokenizer_path("piece_bpe_32k.model"))
+    r = random.Random(7)
+    words = {tokencount.MARK + "".join(r.choice("abeinrst語") for _ in range(n)) for n in (1, 5, 40, 999, 1000, 1001, 3000)}
+    want = {w: viterbi(w, pieces) for w in words}
+    assert tokencount.Trie(pieces).counts(words) == want
+    monkeypatch.setattr(tokencount, "LONG_WORD", 3)
+    monkeypatch.setattr(tokencount, "CACHE_WORDS", 2)
+    trie = tokencount.Trie(pieces)
+    assert [trie.counts({w}) for w in sorted(words) * 2] == [{w: want[w]} for w in sorted(words) * 2]
+    assert trie.rolled("ab" * 200_000) > 0
+
+
+def test_token_counts_of_odd_tables(spark):
+    voc = packing.tokenizer_path("piece_bpe_32k.model")
+    d = spark.createDataFrame([(1, "the same"), (1, "the same"), (None, "the same"), (2, None)], "doc_id long, text string")
+    assert sorted((x["n_pretokens"], x["n_tokens"] > 0) for x in tokencount.counted(d, voc).collect()) == [(0, False), (2, True), (2, True), (2, True)]
+    assert tokencount.counted(d.limit(0), voc).count() == 0
+
+
 def test_fingerprints_match_brute_force(spark):
     r = random.Random(6)
     rows = [(3 * i, "".join(r.choice("abcd é") for _ in range(r.randint(0, 300)))) for i in range(70)] + [(1, None), (2, ""), (4, "x" * 50_000), (5, "dup"), (7, "dup")]
