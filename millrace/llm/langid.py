@@ -5,12 +5,18 @@ learns which languages have it. A text's language is the one whose codeword has
 logistic loss under the classifiers' margins, and the score is the softmax of the negated
 losses. A text is ambiguous where that is below AMBIGUOUS.
 
+Up to six languages have all splits as their bits; of more, codewords are drawn, the draw with
+the largest least distance of fifty, with bits in proportion to the logarithm of their number.
+
 The classifiers are fitted on the driver on a bounded sample: about ``per_lang`` labelled
-texts of each language, chosen by a hash of doc_id. Of a text of more than ``max_chars``
-characters, that many from its first letter on are taken.
+texts of each language, and ``most`` of all, chosen by a hash of doc_id. Of a text of more
+than ``max_chars`` characters, that many from its first letter on are taken.
 Prediction reads whole texts, lower-cased, with ASCII characters that are not letters taken
 as spaces. Texts that are null or have no letter, and all texts where nothing is labelled,
-are ``und`` with score 0. Null langs are never learned from.
+are ``und`` with score 0. Null langs are never learned from. Codewords that tie give the first
+of the languages by name. Equal texts have equal predictions, whatever their ids, repeated rows
+count as often as they are there, and an empty table gives an empty result. Further columns
+may have any name.
 """
 
 from __future__ import annotations
@@ -27,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import fresh
 
 FEATURES = 1 << 13
-PER_LANG, MAX_CHARS = 400, 20_000
+PER_LANG, MOST, MAX_CHARS = 400, 8_000, 20_000  # 8,000 texts are 260 MB of features
 STEPS, RATE, DECAY = 60, 0.3, 1e-5
 AMBIGUOUS = 0.5
 CHUNK = 1 << 20
@@ -99,20 +105,18 @@ def held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def trained(docs: DataFrame, per_lang: int = PER_LANG, max_chars: int = MAX_CHARS) -> dict | None:
+def trained(docs: DataFrame, per_lang: int = PER_LANG, max_chars: int = MAX_CHARS, most: int = MOST) -> dict | None:
     """The model of the labelled documents; None without any."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "text", "lang")
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n_lang"))
+    langs = counts.count()
+    if not langs:
         return None
-    part = F.lit(0.0)
-    for lang, n in counts.items():
-        part = F.when(F.col("lang") == lang, F.lit(per_lang / n)).otherwise(part)
     draw = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     window = F.regexp_extract("text", rf"(?s)\p{{L}}.{{0,{max_chars - 1}}}", 0)
     text = F.when(F.char_length("text") <= max_chars, F.col("text")).otherwise(window)
-    sample = rows.where(draw < part).select(text.alias("text"), "lang").collect()
-    sample = sorted(r for r in sample if LETTER.search(r["text"]))
+    drawn = rows.join(counts, "lang").where(draw < min(per_lang, most / langs) / F.col("n_lang"))
+    sample = sorted(r for r in drawn.select(text.alias("text"), "lang").collect() if LETTER.search(r["text"]))
     return fitted([r["text"] for r in sample], [r["lang"] for r in sample]) if sample else None
 
 
