@@ -21,16 +21,22 @@ class Scratch:
     """Written tables in the shared folder, so that a lost executor costs no lineage.
 
     The folder is ``spark.checkpoint.dir``; a temporary one is set only where that is
-    unset, as in tests. Tables are Parquet: a later stage reads only the columns it needs.
+    unset and the master is local, as in tests. Tables are Parquet: a later stage reads only
+    the columns it needs. What no plan reads any more is dropped, the rest when the driver ends.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
         if not root:
+            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             root = tempfile.mkdtemp(prefix="millrace-")
             spark.sparkContext.setCheckpointDir(root)
         self.root = f"{root.rstrip('/')}/millrace-{uuid.uuid4().hex}"
+        folder, fs = self._at(self.root)
+        fs.mkdirs(folder)
+        fs.deleteOnExit(folder)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -42,8 +48,20 @@ class Scratch:
 
     def drop(self, name: str = "") -> None:
         """Delete a table that no later plan reads; all of them without a name."""
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
-        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        at, fs = self._at(self.path(name) if name else self.root)
+        fs.delete(at, True)
+
+    def keep(self, *names: str) -> None:
+        """Delete all other tables."""
+        folder, fs = self._at(self.root)
+        for x in fs.listStatus(folder):
+            if x.getPath().getName() not in names:
+                fs.delete(x.getPath(), True)
+
+    def _at(self, path: str):
+        """The path and its file system, of Hadoop."""
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def release(self) -> None:
         """Let Spark delete the shuffle files of plans that ended: it does so when the driver collects garbage."""

@@ -430,7 +430,9 @@ class Join:
         named = s.put(named, "named")
         smallest = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
         smallest = s.put(smallest, "smallest")
-        return s.put(named.join(smallest, "comp").select("node", "comp", "component_id"), "components")
+        out = s.put(named.join(smallest, "comp").select("node", "comp", "component_id"), "components")
+        s.keep("light", "components")
+        return out
 
 
 def linked_rows(docs: DataFrame, scratch: Scratch, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -452,6 +454,8 @@ def first_of_each(docs: DataFrame, scratch: Scratch, **rules) -> DataFrame:
 
     Rows that share an id and differ in text are told apart by the digest of their text. Rows
     without shingles are linked to nothing and stay; of those equal in id and text, one does.
+    Nulls, very long texts and empty tables are as for the join; further columns may be of any
+    type and have any name.
     """
     own = Scratch(docs.sparkSession)
     light = linked_rows(docs, own, **rules).select("doc_id", "digest", "comp")
@@ -475,7 +479,8 @@ def first_of_each(docs: DataFrame, scratch: Scratch, **rules) -> DataFrame:
         return kept.drop(name)
     single = kept.join(hint(twice), same, "left_anti").drop(name)
     again = kept.join(hint(twice), same, "left_semi")
-    best = again.groupBy("doc_id", name).agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias(row := fresh(again, "row")))
+    whole_row = F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
+    best = again.groupBy("doc_id", name).agg(F.min_by(whole_row, F.to_json(whole_row)).alias(row := fresh(again, "row")))  # maps have no order
     return single.unionByName(best.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"{row}.{c}").alias(c) for c in docs.columns]))
 
 
