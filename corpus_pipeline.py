@@ -53,4 +53,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = scratch.put(docs, f"stage{i}")
+            scratch.keep(f"stage{i}")
     return docs
