@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import Scratch, fresh, lookup
 
 FEATURES = 1 << 13
 PER_LANG, MOST, MAX_CHARS = 400, 8_000, 20_000  # 8,000 texts are 260 MB of features
@@ -108,14 +108,14 @@ def held_out() -> Column:
 def trained(docs: DataFrame, per_lang: int = PER_LANG, max_chars: int = MAX_CHARS, most: int = MOST) -> dict | None:
     """The model of the labelled documents; None without any."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "text", "lang")
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n_lang"))
+    counts = Scratch(docs.sparkSession).put(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n_lang")), "langs")
     langs = counts.count()
     if not langs:
         return None
     draw = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     window = F.regexp_extract("text", rf"(?s)\p{{L}}.{{0,{max_chars - 1}}}", 0)
     text = F.when(F.char_length("text") <= max_chars, F.col("text")).otherwise(window)
-    drawn = rows.join(counts, "lang").where(draw < min(per_lang, most / langs) / F.col("n_lang"))
+    drawn = lookup(rows, counts, "lang", "inner").where(draw < min(per_lang, most / langs) / F.col("n_lang"))
     sample = sorted(r for r in drawn.select(text.alias("text"), "lang").collect() if LETTER.search(r["text"]))
     return fitted([r["text"] for r in sample], [r["lang"] for r in sample]) if sample else None
 
