@@ -334,10 +334,16 @@ class Join:
         return (F.least("nu", "nv") * self.den >= F.greatest("nu", "nv") * self.num) & (apart <= self.most_apart())
 
     def verified(self, pairs: DataFrame, tag: str) -> DataFrame:
-        """The pairs (u, v, nu, nv) that link."""
+        """The pairs (u, v, nu, nv) that link.
+
+        The pairs are counted and go to the sets of their first nodes if they are few, which
+        saves an exchange of all sets.
+        """
+        pairs = self.scratch.put(pairs, f"{tag}_pairs")
+        pairs = F.broadcast(pairs) if pairs.count() <= BROADCAST_ROWS else pairs
         a = self.whole.select(F.col("node").alias("u"), F.col("shingles").alias("x"))
         b = self.whole.select(F.col("node").alias("v"), F.col("shingles").alias("y"))
-        both = pairs.join(a, "u").join(b, "v").select("u", "v", "nu", "nv", F.size(F.array_intersect("x", "y")).cast("long").alias("i"))
+        both = a.join(pairs, "u").join(b, "v").select("u", "v", "nu", "nv", F.size(F.array_intersect("x", "y")).cast("long").alias("i"))
         links = self.scratch.put(both.where(F.col("i") * self.den >= (F.col("nu") + F.col("nv") - F.col("i")) * self.num).select(F.col("u").alias("a"), F.col("v").alias("b")), tag)
         self.scratch.release()  # the sets of a round's pairs were in its shuffle
         return links
@@ -425,7 +431,7 @@ class Join:
             rows = self.still_open(rows, "open_last")
             if not rows.isEmpty():
                 pairs = self.candidates(rows).join(tested, ["u", "v"], "left_anti")
-                self.relabelled(self.verified(s.put(pairs, "pairs"), "links_last"), "last")
+                self.relabelled(self.verified(pairs, "links_last"), "last")
         named = self.nodes.select("node", F.col("first.doc_id").alias("doc_id")).join(self.labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         named = s.put(named, "named")
         smallest = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
