@@ -20,7 +20,6 @@ number is its task's and one of its own; reruns over the same files agree.
 
 from __future__ import annotations
 
-import json
 import os
 import unicodedata
 import zlib
@@ -32,60 +31,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 WINDOW, END_ID = 2048, 1
-CACHE_WORDS = 100_000  # about 20 MB, and as much of older ones
-LONG_WORD = 64  # beyond this, merging one pair at a time costs more than a call of the library
+CACHE_WORDS = 400_000  # about 80 MB, and as much of older ones
+LONG_WORD = 64  # longer words are not kept
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 FIELDS = pa.schema([(x.split()[0], pa.int64()) for x in SCHEMA.split(", ")])
 
 
-class Merges:
-    """The byte-pair merges of a tokenizer file, for words that are one pre-token.
+AFTER = ",.!?;:%&$*#"  # each a word of its own after letters
 
-    A call of the library costs far more than the merges of a short word. The pair of least
-    rank is merged first, of equal ones the leftmost, one at a time, as the library does;
-    tests hold this against it on every word of the test tables.
-    """
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        vocab, end = model["vocab"], model["end_of_word_suffix"]
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
-        spare = iter(range(256, 512))
-        shown = {b: chr(b) for b in plain} | {b: chr(next(spare)) for b in range(256) if b not in set(plain)}
-        self.inner, self.last = [vocab[shown[b]] for b in range(256)], [vocab[shown[b] + end] for b in range(256)]
-        self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
-        for i, pair in enumerate(model["merges"]):
-            x, y = pair.split(" ") if isinstance(pair, str) else pair
-            self.ranks[vocab[x], vocab[y]] = i, vocab[x + y]
-
-    def __call__(self, word: str) -> list[int]:
-        raw = word.encode()
-        ids = [self.inner[b] for b in raw]
-        ids[-1] = self.last[raw[-1]]
-        ranks = self.ranks.get
-        found = [ranks(p) for p in zip(ids, ids[1:], strict=False)]
-        while True:
-            live = [x for x in found if x]
-            if not live:
-                return ids
-            best = min(live)
-            i = found.index(best)
-            ids[i : i + 2] = [best[1]]
-            del found[i]
-            if i:
-                found[i - 1] = ranks((ids[i - 1], ids[i]))
-            if i < len(found):
-                found[i] = ranks((ids[i], ids[i + 1]))
+def plain(w: str) -> bool:
+    """Whether the tokenizer takes w as one word, as it is."""
+    return w.isalpha() and (w.isascii() or unicodedata.is_normalized("NFC", w)) and w == w.lower()
 
 
 class WordIds(dict):
     """Ids of words, and of texts, as bytes, little-endian and four a token.
 
     Only distinct words are tokenized: letters and the punctuation after them are words of
-    their own to the tokenizer, and case is lost, so "Word," shares the entry of "word".
-    Short words of letters are merged here, all others by the library, whose cost is linear
-    but for a logarithm; long words are not kept.
+    their own to the tokenizer, and case is lost, so "Word," shares the entry of "word". The
+    words of letters that a text brings are tokenized by one call, as a call costs more than
+    a word; all others by one each. Long words are not kept.
     """
 
     def __init__(self, path: str):
@@ -94,23 +60,20 @@ class WordIds(dict):
 
         super().__init__({"": b""})
         self.older: dict[str, bytes] = {}
-        self.tokenizer, self.merges = Tokenizer.from_file(path), Merges(path)
+        self.tokenizer = Tokenizer.from_file(path)
 
     def __missing__(self, w: str) -> bytes:
         if len(w) > LONG_WORD:
-            return np.asarray(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+            return self.encoded(w)
         ids = self.older.get(w)
-        if ids is not None:
-            return self.kept(w, ids)
-        stem = w.rstrip(",.!?;:%&$*#")
-        if not (stem.isalpha() and (stem.isascii() or unicodedata.is_normalized("NFC", stem)) and stem == stem.lower()):
-            ids = np.asarray(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-        elif stem == w:
-            ids = array("I", self.merges(w)).tobytes()
-        else:
-            ids = self[stem] + self[w[len(stem) :]]
+        if ids is None:
+            stem = w.rstrip(AFTER)
+            ids = self[stem] + self[w[len(stem) :]] if stem != w and plain(stem) else self.encoded(w)
         return self.kept(w, ids)
 
+    def encoded(self, w: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+
     def kept(self, w: str, ids: bytes) -> bytes:
         """Enter a word; of a full cache the words that were used since the last turn are found again."""
         if len(self) >= CACHE_WORDS:
@@ -120,11 +83,26 @@ class WordIds(dict):
         self[w] = ids
         return ids
 
+    def learn(self, words: list[str]) -> None:
+        """Enter the words of letters that aren't there, by one call."""
+        stems = dict.fromkeys(w.rstrip(AFTER) for w in dict.fromkeys(words) if w not in self and w not in self.older)
+        new = [w for w in stems if w not in self and w not in self.older and len(w) <= LONG_WORD and plain(w)]
+        if len(new) < 2:
+            return
+        found = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
+        ids, of = np.asarray(found.ids, "<u4"), np.asarray(found.word_ids)
+        starts = np.flatnonzero(np.diff(of, prepend=-1))
+        if len(starts) == len(new):
+            raw, ends = ids.tobytes(), [*(starts[1:] * 4).tolist(), len(ids) * 4]
+            for w, i, j in zip(new, (starts * 4).tolist(), ends, strict=True):
+                self.kept(w, raw[i:j])
+
     def of(self, text: str) -> bytes:
         # the tokenizer lowers each letter by itself, which is what lower() does but for the final sigma
         text = text if "\u03a3" in text else text.lower()
         # these four are white space to the tokenizer; rarer kinds stay inside a word
         words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        self.learn(words)
         return b"".join(map(self.__getitem__, words))
 
 
