@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import metrics, splits
+from ..sources import readers
 from ..tables import table
 from .base import query, r, rounded
 
@@ -341,7 +343,32 @@ def channel_merge_whole(spark, sf_dir):
     return count("vibration").join(count("current"), "machine", "full_outer").withColumn("paired", F.least("vibration", "current"))
 
 
-@query("j11_model_pairs", "WITH m AS (SELECT DISTINCT event_type AS m FROM events) SELECT a.m AS first, b.m AS second FROM m a JOIN m b ON a.m < b.m")
+CHANNELS = "SELECT user_id AS machine, CASE WHEN user_id % 3 = 0 THEN 'current' WHEN user_id % 3 = 2 THEN 'vibration' WHEN event_type IN ('view', 'purchase') THEN 'vibration' ELSE 'current' END AS channel, ts, event_id, value FROM events"
+BURSTS = f"b AS ({CHANNELS}), n AS (SELECT *, row_number() OVER (PARTITION BY machine, channel ORDER BY ts, event_id) - 1 AS burst FROM b), v AS (SELECT * FROM n WHERE channel = 'vibration'), c AS (SELECT * FROM n WHERE channel = 'current')"
+
+
+def bursts(spark, sf_dir):
+    """Every event as a burst of one of two channels; two machines of three lack one."""
+    machine, kind = F.col("user_id"), F.col("event_type")
+    channel = F.when(machine % 3 == 0, "current").when(machine % 3 == 2, "vibration").when(kind.isin("view", "purchase"), "vibration").otherwise("current")
+    e = table(spark, sf_dir, "events").select(machine.alias("machine"), channel.alias("channel"), "ts", "event_id", F.col("value").alias("wave"))
+    e = e.withColumn("burst", F.row_number().over(Window.partitionBy("machine", "channel").orderBy("ts", "event_id")) - 1)
+    return [e.where(F.col("channel") == c).select("machine", "burst", "wave") for c in ("vibration", "current")]
+
+
+@query("j1_channel_union", f"WITH {BURSTS} SELECT coalesce(v.machine, c.machine) AS machine, coalesce(v.burst, c.burst)::INT AS burst, v.value AS vibration, NULL::DOUBLE AS current FROM v FULL JOIN c ON v.machine = c.machine AND v.burst = c.burst")
+def channel_union(spark, sf_dir):
+    """Bursts of either channel by key, unpaired."""
+    return readers.paired_channels(*bursts(spark, sf_dir), key=["machine"])
+
+
+@query("j2_channel_pairs", f"WITH {BURSTS}, k AS (SELECT machine FROM v INTERSECT SELECT machine FROM c) SELECT coalesce(v.machine, c.machine) AS machine, coalesce(v.burst, c.burst)::INT AS burst, v.value AS vibration, c.value AS current FROM v FULL JOIN c ON v.machine = c.machine AND v.burst = c.burst WHERE coalesce(v.machine, c.machine) NOT IN (SELECT machine FROM k) OR (v.machine IS NOT NULL AND c.machine IS NOT NULL)")
+def channel_pairs(spark, sf_dir):
+    """Bursts paired by number where a machine has both channels, all of them where it has one."""
+    return readers.paired_channels(*bursts(spark, sf_dir), pair=True, key=["machine"])
+
+
+@query("j11_model_pairs","WITH m AS (SELECT DISTINCT event_type AS m FROM events) SELECT a.m AS first, b.m AS second FROM m a JOIN m b ON a.m < b.m")
 def model_pairs(spark, sf_dir):
     """Unordered pairs of models; there are as many as models, which are few."""
     m = table(spark, sf_dir, "events").select(F.col("event_type").alias("m")).distinct()

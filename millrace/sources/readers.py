@@ -7,6 +7,7 @@ What cannot be mapped or parsed raises; nothing is guessed.
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -96,14 +97,22 @@ def condition_bursts(spark: SparkSession, root: str, modality: str, channel: str
     return waves.drop("n", "span")
 
 
-def paired_channels(vibration: DataFrame, current: DataFrame, pair: bool = False) -> DataFrame:
-    """Both modalities by motor, speed and condition (J1), by burst only if ``pair`` (J2): they weren't sampled at once."""
-    key = ["motor", "speed_pct", "condition", "burst"]
-    a = vibration.withColumnRenamed("wave", "vibration")
-    b = current.select(*key, F.col("wave").alias("current"))
+def paired_channels(vibration: DataFrame, current: DataFrame, pair: bool = False, key: Sequence[str] = ("motor", "speed_pct", "condition"), burst: str = "burst") -> DataFrame:
+    """Bursts of both modalities by key and number (J1): vibration, current and the other columns of whichever is there.
+
+    The two weren't sampled at once, so current is null unless ``pair`` (J2); then a key that
+    both have gives the bursts that both have, and a key of one modality all of its own.
+    """
+    on = [*key, burst]
+    rest = [c for c in vibration.columns if c not in (*on, "wave")]
+    side = lambda df, wave, tag: df.select(*on, F.col("wave").alias(wave), F.lit(True).alias(f"__{tag}"), *[F.col(c).alias(f"__{tag}_{c}") for c in rest])
+    both = side(vibration, "vibration", "v").join(side(current, "current", "c"), on, "full_outer")
     if pair:
-        return a.join(b, key)
-    return a.unionByName(current.withColumnRenamed("wave", "current").join(a.select(*key), key, "left_anti"), allowMissingColumns=True).select(*a.columns, *(["current"] if "current" not in a.columns else []))
+        shared = vibration.select(*key).distinct().join(current.select(*key).distinct(), list(key)).withColumn("__shared", F.lit(True))
+        both = both.join(shared, list(key), "left").where("__shared is null or (__v and __c)").drop("__shared")
+    else:
+        both = both.withColumn("current", F.when(F.lit(False), F.col("current")))
+    return both.select(*on, "vibration", "current", *[F.coalesce(f"__v_{c}", f"__c_{c}").alias(c) for c in rest])
 
 
 def number(text: Column, decimal: str) -> Column:
