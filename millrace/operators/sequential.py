@@ -169,6 +169,41 @@ def trip_outcome(first: DataFrame, onset: Column, expected: Column) -> DataFrame
     return first.withColumns({"delay": F.when(expected & (t >= onset), t - onset), "false_trip": t.isNotNull() & (~expected | (t < onset)), "detected": t.isNotNull() & expected & (t >= onset)})
 
 
+def trip_sweep(df: DataFrame, key: Names, order: Names, current: str, at: str, mu: Column | float, sigma: Column | float, floors: Sequence[float], persists: Sequence[int], levels: Sequence[float], k: float = 0.5) -> DataFrame:
+    """First trip of each key at every floor, persistence and level (W15): key, floor, persist, h, detected_at.
+
+    The cumulative sums are made once. A run's length is the row number less that of the last
+    row whose flag fails, so the runs of all floors and levels share one window.
+    """
+    run, pairs = _so_far(key, order), [(h, f) for h in levels for f in floors]
+    df = cusum(df, key, order, F.col(current), mu, sigma, k).withColumn("__n", F.row_number().over(_order(key, order)))
+    flag = lambda h, f: F.coalesce((F.col("score") >= h) & (F.col(current) < f), F.lit(False))
+    df = df.withColumns({f"__r{i}": F.col("__n") - F.coalesce(F.max(F.when(~flag(h, f), F.col("__n"))).over(run), F.lit(0)) for i, (h, f) in enumerate(pairs)})
+    points = [(i, h, f, p) for i, (h, f) in enumerate(pairs) for p in persists]
+    first = df.groupBy(*key).agg(*[F.min(F.when(F.col(f"__r{i}") >= p, F.col(at))).alias(f"__t{i}_{p}") for i, _, _, p in points])
+    rows = F.array(*[F.struct(F.lit(float(f)).alias("floor"), F.lit(p).alias("persist"), F.lit(float(h)).alias("h"), F.col(f"__t{i}_{p}").alias("detected_at")) for i, h, f, p in points])
+    return first.select(*key, F.inline(rows))
+
+
+def operating_points(first: DataFrame, kind: Column, onset: Column) -> DataFrame:
+    """Rates of every operating point over trials that are dry_run, closed_valve or healthy.
+
+    A dry run counts as detected from its onset on; any trip of the others is a false one.
+    """
+    t = F.col("detected_at")
+    hit = (kind == "dry_run") & (t >= onset)
+    rate = lambda of, what: F.avg(F.when(kind == of, F.coalesce(what, F.lit(False)).cast("double")))
+    return first.groupBy("floor", "persist", "h").agg(
+        rate("dry_run", hit).alias("detection_rate"), rate("closed_valve", t.isNotNull()).alias("closed_valve_rate"), rate("healthy", t.isNotNull()).alias("healthy_rate"),
+        F.percentile(F.when(hit, t - onset), F.lit(0.5)).alias("median_delay"))
+
+
+def select_operating_point(points: DataFrame, most_false: float = 0.02, most_delay: float = 30.0) -> DataFrame:
+    """The point that detects most, of these the fastest, within the budgets of false trips and delay; no row if none is."""
+    fits = (F.greatest("closed_valve_rate", "healthy_rate") <= most_false) & (F.col("median_delay") <= most_delay)
+    return points.where(fits).orderBy(F.desc("detection_rate"), "median_delay", "floor", "persist", "h").limit(1)
+
+
 def kth_largest(df: DataFrame, key: Names, order: Names, score: str, k: int, n: int, out: str = "kth") -> DataFrame:
     """k-th largest of the last n scores; minus infinity before there are k."""
     frame = _order(key, order).rowsBetween(1 - n, 0)

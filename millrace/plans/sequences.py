@@ -166,6 +166,37 @@ def operating_points(spark, sf_dir):
     return sums.select(F.inline(rows))
 
 
+FLOORS, PERSISTS, LEVELS = [10.0, 15.0, 20.0, 25.0, 30.0, 40.0, 60.0], [1, 2, 3, 5, 8], [0.5, 1.0, 2.0]
+KINDS = ["dry_run", "closed_valve", "healthy"]
+SWEEP = f"""{CUSUM_SQL}, g AS (SELECT unnest({LEVELS})::DOUBLE AS h), fl AS (SELECT unnest({FLOORS})::DOUBLE AS floor), pe AS (SELECT unnest({PERSISTS})::INT AS persist),
+q AS (SELECT machine, epoch_us(ts) / 1e6 AS t, event_id, h, floor, s_neg >= h AND value < floor AS flag, row_number() OVER (PARTITION BY machine, h, floor ORDER BY ts, event_id) AS n FROM s, g, fl),
+ru AS (SELECT *, n - coalesce(max(CASE WHEN NOT flag THEN n END) OVER (PARTITION BY machine, h, floor ORDER BY t, event_id), 0) AS run FROM q),
+o AS (SELECT machine, {KINDS}[machine % 3 + 1] AS kind, min(epoch_us(ts)) / 1e6 + 86400.0 * 5 AS onset FROM e GROUP BY machine),
+fi AS (SELECT ru.machine, h, floor, persist, min(t) FILTER (run >= persist) AS t FROM ru, pe GROUP BY ALL),
+pt AS (SELECT floor, persist, h, avg((coalesce(t >= onset, false))::INT) FILTER (kind = 'dry_run') AS detection_rate, avg((t IS NOT NULL)::INT) FILTER (kind = 'closed_valve') AS closed_valve_rate,
+       avg((t IS NOT NULL)::INT) FILTER (kind = 'healthy') AS healthy_rate, quantile_cont(t - onset, 0.5) FILTER (kind = 'dry_run' AND t >= onset) AS median_delay FROM fi JOIN o USING (machine) GROUP BY floor, persist, h)"""
+
+
+def swept(spark, sf_dir):
+    """All points of the sweep; machines are dry runs, closed valves and healthy ones in turn, five days in."""
+    e = with_baseline(spark, sf_dir).withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    first = seq.trip_sweep(e, KEY, ORDER, "value", "t", F.col("mu"), F.col("sd"), FLOORS, PERSISTS, LEVELS)
+    kinds = e.groupBy("machine").agg((F.min("t") + 86400.0 * 5).alias("onset")).withColumn("kind", F.get(F.array(*map(F.lit, KINDS)), (F.col("machine") % 3).cast("int")))
+    return seq.operating_points(first.join(kinds, "machine"), F.col("kind"), F.col("onset"))
+
+
+@query("w15_trip_sweep", f"WITH {SWEEP} SELECT floor, persist, h, round(detection_rate, 6) AS detection_rate, round(closed_valve_rate, 6) AS closed_valve_rate, round(healthy_rate, 6) AS healthy_rate, round(median_delay, 3) AS median_delay FROM pt")
+def trip_sweep(spark, sf_dir):
+    """Rates and delay of 105 operating points."""
+    return rounded(rounded(swept(spark, sf_dir), "detection_rate", "closed_valve_rate", "healthy_rate"), "median_delay", places=3)
+
+
+@query("w15_selected_point", f"WITH {SWEEP} SELECT floor, persist, h, round(detection_rate, 6) AS detection_rate FROM pt WHERE greatest(closed_valve_rate, healthy_rate) <= 0.6 AND median_delay <= 86400.0 * 30 ORDER BY pt.detection_rate DESC, median_delay, floor, persist, h LIMIT 1")
+def selected_point(spark, sf_dir):
+    """The chosen point of the sweep."""
+    return rounded(seq.select_operating_point(swept(spark, sf_dir), 0.6, 86400.0 * 30).select("floor", "persist", "h", "detection_rate"), "detection_rate")
+
+
 @query("w16_rearmed_alarms", f"""
 WITH RECURSIVE e AS (SELECT user_id AS machine, list((value >= 60)::INT ORDER BY ts, event_id) AS f FROM events GROUP BY user_id),
 s AS (SELECT machine, f, 0 AS i, 0 AS alarms, []::INT[] AS b FROM e
