@@ -20,14 +20,14 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def confusion(df: DataFrame, true: str = "y_true", pred: str = "y_pred") -> DataFrame:
-    """(true, pred, n), without what the model abstained from."""
-    return df.where(F.col(pred) != ABSTAIN).groupBy(F.col(true).alias("true"), F.col(pred).alias("pred")).agg(F.count(F.lit(1)).alias("n"))
+    """(true, pred, n), without what the model abstained from; a null prediction is a wrong one."""
+    return df.where(~F.col(pred).eqNullSafe(ABSTAIN)).groupBy(F.col(true).alias("true"), F.col(pred).alias("pred")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def per_class(counts: DataFrame) -> DataFrame:
     """True and false positives, false negatives and F1 of each class of a confusion table."""
-    t = counts.select(F.col("true").alias("class"), F.when(F.col("true") == F.col("pred"), F.col("n")).otherwise(0).alias("tp"), F.lit(0).cast("long").alias("fp"), F.when(F.col("true") != F.col("pred"), F.col("n")).otherwise(0).alias("fn"))
-    p = counts.select(F.col("pred").alias("class"), F.lit(0).cast("long").alias("tp"), F.when(F.col("true") != F.col("pred"), F.col("n")).otherwise(0).alias("fp"), F.lit(0).cast("long").alias("fn"))
+    t = counts.select(F.col("true").alias("class"), F.when(F.col("true") == F.col("pred"), F.col("n")).otherwise(0).alias("tp"), F.lit(0).cast("long").alias("fp"), F.when(~F.col("true").eqNullSafe(F.col("pred")), F.col("n")).otherwise(0).alias("fn"))
+    p = counts.where("pred is not null").select(F.col("pred").alias("class"), F.lit(0).cast("long").alias("tp"), F.when(F.col("true") != F.col("pred"), F.col("n")).otherwise(0).alias("fp"), F.lit(0).cast("long").alias("fn"))
     out = t.unionByName(p).groupBy("class").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
     precision, recall = ratio(F.col("tp"), F.col("tp") + F.col("fp")), ratio(F.col("tp"), F.col("tp") + F.col("fn"))
     f1 = ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))

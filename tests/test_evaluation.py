@@ -130,3 +130,20 @@ def test_models_over_folds(spark):
     assert models.tuned(df, models.ZOO["logistic"], [{"reg": 0.01}], ["x", "y"], "label") == {"reg": 0.01}
     unsure = models.abstaining(spark.createDataFrame([("a", 0.3), ("b", 0.9)], "y_pred string, confidence double"))
     assert [r["y_pred"] for r in unsure.collect()] == ["ABSTAIN", "b"]
+
+
+def test_null_predictions_are_wrong_ones(spark):
+    df = spark.createDataFrame([("a", "a"), ("a", None), ("b", "b"), ("b", "ABSTAIN")], "y_true string, y_pred string")
+    got = metrics.report(df).first()
+    assert (got["accuracy"], got["coverage"], got["n_abstained"]) == (pytest.approx(2 / 3), 0.75, 1)
+    assert got["macro_f1"] == pytest.approx((2 / 3 + 1) / 2)
+
+
+def test_channels_are_merged_by_key_and_paired_by_burst(spark):
+    key = "motor string, speed_pct int, condition string, burst int, wave array<double>, fs double"
+    v = spark.createDataFrame([("m", 50, "x", i, [1.0 + i], 10.0) for i in range(3)] + [("m", 60, "x", 0, [5.0], 10.0)], key)
+    c = spark.createDataFrame([("m", 50, "x", i, [-1.0 - i], 20.0) for i in range(2)] + [("m", 70, "x", i, [9.0], 20.0) for i in range(2)], key)
+    rows = lambda pair: sorted((r["speed_pct"], r["burst"], r["vibration"], r["current"], r["fs"]) for r in readers.paired_channels(v, c, pair).collect())
+    alone = [(60, 0, [5.0], None, 10.0)]
+    assert rows(True) == [(50, 0, [1.0], [-1.0], 10.0), (50, 1, [2.0], [-2.0], 10.0), *alone, (70, 0, None, [9.0], 20.0), (70, 1, None, [9.0], 20.0)]
+    assert rows(False) == [*((50, i, [1.0 + i], None, 10.0) for i in range(3)), *alone, (70, 0, None, None, 20.0), (70, 1, None, None, 20.0)]
