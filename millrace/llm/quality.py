@@ -4,11 +4,15 @@ The base counts follow a fixed rule. The method measures ratios of every whole t
 thousandths and keeps, for each language, source and ratio, a sketch: the count of each of
 the 1001 values. Sketches merge by adding counts, so the sketches of a language and of the
 corpus are merged from those of its sources, and a quantile is exact to a thousandth.
-A document of the base's is rejected where a ratio is above its group's
-``q75 + 3 (q75 - q25)`` plus a margin. Groups with fewer than MIN_GROUP documents use
-their language's sketch, and languages with fewer the corpus's.
-
-Null text has no words and fails. Null languages and sources are groups of their own.
+A language's sketch gets the corpus's, scaled to PARENT documents, and a group's that of its
+language likewise: few documents say little against their parents, many say all, and no
+verdict jumps with the size of a group. A document of the base's is rejected where a ratio
+is above its group's ``q75 + 3 (q75 - q25)`` plus a margin.
+
+Null and empty texts have no words and fail; very long texts are measured whole. Null
+languages and sources are groups of their own. Repeated rows count as often as they are
+there, values that tie with a limit pass, and an empty table gives an empty result. Further
+columns may have any name.
 All is DataFrame code; a sketch has at most 1001 rows, whatever the number of documents.
 """
 
@@ -20,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, fresh, let, lookup, whole, words
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-MIN_GROUP = 100
+PARENT = 100  # documents that a group's parent counts for
 SPREAD = 3
 #: What a ratio may be above the spread of its group, in thousandths.
 MARGIN = {"symbols": 20, "dup_lines": 500, "repeats": 300, "capitals": 250, "marks": 60, "long_words": 60}
@@ -99,19 +103,25 @@ def thresholds(m: DataFrame, q: str, scratch: Scratch) -> DataFrame:
     lang, source = group_keys()
     rows = m.where(~base_failed(q)).select(lang.alias("g_lang"), source.alias("g_source"), F.explode(F.array(*[F.struct(F.lit(k).alias("ratio"), v.alias("value")) for k, v in ratios(q).items()])).alias("x"))
     sketch = scratch.put(rows.groupBy("g_lang", "g_source", "x.ratio", "x.value").agg(F.count(F.lit(1)).alias("n")), "quality_sketch")
-    limits = None
-    for level, keys in enumerate((["g_lang", "g_source"], ["g_lang"], [])):
+    share = None
+    for keys in ([], ["g_lang"], ["g_lang", "g_source"]):
         part = Window.partitionBy(*keys, "ratio")
-        s = sketch.groupBy(*keys, "ratio", "value").agg(F.sum("n").alias("n"))
-        s = s.withColumns({"upto": F.sum("n").over(part.orderBy("value")), "all": F.sum("n").over(part)})
-        at = lambda p: F.min(F.when(F.col("upto") * 4 >= F.col("all") * p, F.col("value")))  # noqa: E731, B023
-        margin = F.create_map(*[F.lit(x) for kv in MARGIN.items() for x in kv])
-        s = s.groupBy(*keys, "ratio").agg(at(1).alias("q25"), at(3).alias("q75"), F.first("all").alias("all"))
-        s = s.withColumn("limit", F.col("q75") + (F.col("q75") - F.col("q25")) * SPREAD + margin[F.col("ratio")])
-        s = s.groupBy(*keys).agg(F.max("all").alias(f"n{level}"), *[F.max(F.when(F.col("ratio") == k, F.col("limit"))).alias(f"{k}{level}") for k in MARGIN])
-        limits = s if limits is None else limits.join(s, keys) if keys else limits.crossJoin(F.broadcast(s))  # s is one row
-    pick = lambda k: F.when(F.col("n0") >= MIN_GROUP, F.col(f"{k}0")).when(F.col("n1") >= MIN_GROUP, F.col(f"{k}1")).otherwise(F.col(f"{k}2")).alias(k)
-    return scratch.put(limits.select("g_lang", "g_source", F.struct(*map(pick, MARGIN)).alias("limits")), "quality_limits")
+        own = sketch.groupBy(*keys, "ratio", "value").agg(F.sum("n").alias("n"))
+        if share is None:
+            count, weight, before = F.col("n"), 0.0, F.lit(0.0)
+        else:  # every value of the parent's sketch, counted or not
+            groups = own.select(*keys).distinct()
+            grid = groups.join(share, keys[:-1]) if keys[1:] else groups.crossJoin(F.broadcast(share))  # of the corpus: 1001 rows a ratio at most
+            own = grid.join(own, [*keys, "ratio", "value"], "left")
+            count, weight, before = F.coalesce("n", F.lit(0)), float(PARENT), F.col("share")
+        upto, total = F.sum(count).over(part.orderBy("value")), F.sum(count).over(part)
+        own = own.withColumn("share", (upto.cast("double") + before * weight) / (total.cast("double") + weight))
+        share = scratch.put(own.select(*keys, "ratio", "value", "share"), f"quality_share{len(keys)}")
+    at = lambda p: F.min(F.when(F.col("share") >= p, F.col("value")))
+    margin = F.create_map(*[F.lit(x) for kv in MARGIN.items() for x in kv])
+    limit = share.groupBy("g_lang", "g_source", "ratio").agg((at(0.75) + (at(0.75) - at(0.25)) * SPREAD).alias("limit")).withColumn("limit", F.col("limit") + margin[F.col("ratio")])
+    limits = limit.groupBy("g_lang", "g_source").agg(F.struct(*[F.max(F.when(F.col("ratio") == k, F.col("limit"))).alias(k) for k in MARGIN]).alias("limits"))
+    return scratch.put(limits, "quality_limits")
 
 
 def judged(m: DataFrame, limits: DataFrame) -> DataFrame:
@@ -177,15 +187,20 @@ WITH d AS (
                  least(n_repeat_words * 1000 // greatest(n_words, 1), 1000), least(capitals * 1000 // greatest(word_chars, 1), 1000),
                  least(marks * 1000 // greatest(n_words, 1), 1000), least(long_words * 1000 // greatest(n_words, 1), 1000)]) AS value
   FROM f
+), n AS (
+  SELECT lang, source, ratio, margin, value, count(*) AS n FROM x WHERE NOT base_failed GROUP BY ALL
+), a AS (
+  SELECT ratio, margin, value, (sum(sum(n)) OVER (PARTITION BY ratio ORDER BY value))::DOUBLE / (sum(sum(n)) OVER (PARTITION BY ratio))::DOUBLE AS share FROM n GROUP BY ratio, margin, value
+), l AS (
+  SELECT g.lang, a.ratio, a.value, a.margin, ((sum(coalesce(c.n, 0)) OVER o)::DOUBLE + a.share * 100.0::DOUBLE) / ((sum(coalesce(c.n, 0)) OVER p)::DOUBLE + 100.0::DOUBLE) AS share
+  FROM (SELECT DISTINCT lang FROM n) g CROSS JOIN a LEFT JOIN (SELECT lang, ratio, value, sum(n) AS n FROM n GROUP BY ALL) c ON c.lang IS NOT DISTINCT FROM g.lang AND c.ratio = a.ratio AND c.value = a.value
+  WINDOW o AS (PARTITION BY g.lang, a.ratio ORDER BY a.value), p AS (PARTITION BY g.lang, a.ratio)
 ), q AS (
-  SELECT DISTINCT lang, source, ratio, margin,
-         quantile_disc(value, 0.25) OVER s AS a0, quantile_disc(value, 0.75) OVER s AS b0, count(*) OVER s AS n0,
-         quantile_disc(value, 0.25) OVER l AS a1, quantile_disc(value, 0.75) OVER l AS b1, count(*) OVER l AS n1,
-         quantile_disc(value, 0.25) OVER a AS a2, quantile_disc(value, 0.75) OVER a AS b2
-  FROM x WHERE NOT base_failed
-  WINDOW s AS (PARTITION BY lang, source, ratio), l AS (PARTITION BY lang, ratio), a AS (PARTITION BY ratio)
+  SELECT g.lang, g.source, l.ratio, l.value, l.margin, ((sum(coalesce(n.n, 0)) OVER o)::DOUBLE + l.share * 100.0::DOUBLE) / ((sum(coalesce(n.n, 0)) OVER p)::DOUBLE + 100.0::DOUBLE) AS share
+  FROM (SELECT DISTINCT lang, source FROM n) g JOIN l ON l.lang IS NOT DISTINCT FROM g.lang LEFT JOIN n ON n.lang IS NOT DISTINCT FROM g.lang AND n.source IS NOT DISTINCT FROM g.source AND n.ratio = l.ratio AND n.value = l.value
+  WINDOW o AS (PARTITION BY g.lang, g.source, l.ratio ORDER BY l.value), p AS (PARTITION BY g.lang, g.source, l.ratio)
 ), k AS (
-  SELECT lang, source, ratio, margin + CASE WHEN n0 >= 100 THEN 4 * b0 - 3 * a0 WHEN n1 >= 100 THEN 4 * b1 - 3 * a1 ELSE 4 * b2 - 3 * a2 END AS top FROM q
+  SELECT lang, source, ratio, margin + 4 * min(value) FILTER (share >= 0.75) - 3 * min(value) FILTER (share >= 0.25) AS top FROM q GROUP BY lang, source, ratio, margin
 ), v AS (
   SELECT x.r, bool_and(coalesce(value <= top, true)) AS within FROM x LEFT JOIN k
     ON x.lang IS NOT DISTINCT FROM k.lang AND x.source IS NOT DISTINCT FROM k.source AND x.ratio = k.ratio GROUP BY x.r

@@ -107,6 +107,32 @@ def test_quality_rejects_outliers_of_their_group(spark):
     assert quality.good_documents(docs(spark, []), Scratch(spark)).count() == 0
 
 
+def test_quality_limits_blend_groups_by_their_documents(spark):
+    """Against plain sums over the grid, with groups of 1 to 300 documents, null keys and repeated rows."""
+    r = random.Random(4)
+    clean = lambda marks: " ".join("".join(r.choice("aeioustrn") for _ in range(5)) + ("!" if r.random() < marks else "") for _ in range(60))
+    groups = {("en", "a"): (300, 0.0), ("en", "b"): (99, 0.3), ("en", "c"): (1, 0.5), ("de", "a"): (20, 0.1), (None, None): (3, 0.2)}
+    rows = [(i, clean(marks), lang, source, 0) for (lang, source), (n, marks) in groups.items() for i in range(n)]
+    rows += rows[-2:]
+    m = quality.measured(docs(spark, rows))
+    name = lambda x: "-" if x is None else f"={x}"
+    got = {(x["g_lang"], x["g_source"]): x["limits"]["marks"] for x in quality.thresholds(m, "quality_", Scratch(spark)).collect()}
+    values = [(name(x["lang"]), name(x["source"]), min(x["quality_"]["marks"] * 1000 // x["quality_"]["n_words"], 1000)) for x in m.collect()]
+    seen = sorted({v for *_, v in values})
+
+    def share(keep, parent):
+        own = [v for *g, v in values if keep(g)]
+        k = quality.PARENT if parent else 0
+        return {v: (sum(x <= v for x in own) + k * (parent[v] if parent else 0)) / (len(own) + k) for v in seen}
+
+    top = share(lambda g: True, None)
+    for lang, source in got:
+        at = share(lambda g: g == [lang, source], share(lambda g: g[0] == lang, top))
+        low, high = (min(v for v in seen if at[v] >= p - 1e-12) for p in (0.25, 0.75))
+        assert got[lang, source] == high + 3 * (high - low) + quality.MARGIN["marks"]
+    assert len(got) == 5
+
+
 def test_chat_round_trips_hostile_texts(spark):
     bits = ["<|im_end|>", "<|im_start|>", "\n", "<\\|im_end|>", "<\\\\|im_start|>", "<", "|im_end|>", "assistant", "%0A", "%", "é", ""]
     r = random.Random(2)
