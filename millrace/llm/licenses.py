@@ -5,8 +5,12 @@ expressions over that, each with a keyword, a label and a priority. Texts withou
 keyword are never normalised; a rule runs only on texts with its keyword. Every place of
 every rule that runs is an interval; one that lies within another of at least its priority
 is suppressed, and the labels of the others are reported with those of the base phrases.
+Of rules of one priority that have the same interval, the first in order stands.
 
-Null texts are empty. The sweep over a text's intervals is linear in their number.
+Null texts are empty; empty texts have no words, no labels and score 0. Very long texts are
+scanned whole, and the sweep over a text's intervals is linear in their number but for their
+sort. Every row is judged by its text alone, so repeated rows give repeated results, and an
+empty table gives an empty one. Further columns may have any name.
 """
 
 from __future__ import annotations
@@ -57,7 +61,7 @@ VERSIONED = [
 COMMONS = {"by": "attribution", "by-sa": "attribution share ?alike", "by-nd": "attribution no ?deriv(?:ative|ative work)s", "by-nc": "attribution non ?commercial",
            "by-nc-sa": "attribution non ?commercial share ?alike", "by-nc-nd": "attribution non ?commercial no ?deriv(?:ative|ative work)s"}
 COMMONS_VERSIONS = "1 2 2.5 3 4"
-#: Signatures written out: label, keyword, expression. A later one has no priority over an earlier one.
+#: Signatures written out: label, keyword, expression. Of equal intervals, the earlier one's stands.
 SIGNATURES = [
     ("mit", "mit ", "mit licen[sc]e"),
     ("mit", "mit ", "licen[sc]ed under (?:the )?(?:terms of (?:the )?)?mit"),
@@ -95,6 +99,69 @@ SIGNATURES = [
     ("cc-by-nc-nd", "cc", "cc by nc nd"),
     ("proprietary", "proprietary", "proprietary and confidential"),
     ("all-rights-reserved", "rights reserved", "all rights reserved"),
+    ("isc", "openbsd", "openbsd licen[sc]e"),
+    ("0bsd", "zero clause", "(?:bsd )?zero clause(?: bsd)? licen[sc]e"),
+    ("bsd-3-clause-clear", "clear bsd", "(?:bsd 3 clause )?clear bsd licen[sc]e"),
+    ("mit-0", "mit no attribution", "mit no attribution licen[sc]e"),
+    ("x11", "x11", "x11 licen[sc]e"),
+    ("ncsa", "ncsa", "(?:university of illinois )?ncsa(?: open source)? licen[sc]e"),
+    ("curl", "curl", "curl licen[sc]e"),
+    ("openssl", "openssl", "openssl(?: toolkit)? licen[sc]e"),
+    ("openldap", "openldap", "openldap public licen[sc]e"),
+    ("postgresql", "postgresql", "postgresql licen[sc]e"),
+    ("ruby", "ruby", "ruby licen[sc]e"),
+    ("perl", "perl", "(?:same terms as|licen[sc]ed like) perl(?: itself)?"),
+    ("vim", "vim", "vim licen[sc]e"),
+    ("json", "json", "json licen[sc]e"),
+    ("w3c", "w3c", "w3c software(?: notice)?(?: and)? licen[sc]e"),
+    ("unicode", "unicode", "unicode(?: inc)? licen[sc]e(?: agreement)?"),
+    ("icu", "icu ", "icu licen[sc]e"),
+    ("libpng", "libpng", "(?:png reference library|libpng) licen[sc]e"),
+    ("libtiff", "libtiff", "libtiff licen[sc]e"),
+    ("ijg", "jpeg group", "independent jpeg group licen[sc]e"),
+    ("imagemagick", "imagemagick", "imagemagick licen[sc]e"),
+    ("ftl", "freetype", "freetype(?: project)? licen[sc]e"),
+    ("bzip2", "bzip2", "bzip2(?: and libbzip2)? licen[sc]e"),
+    ("info-zip", "info zip", "info zip licen[sc]e"),
+    ("sleepycat", "sleepycat", "sleepycat licen[sc]e"),
+    ("tcl", "tcl", "tcl tk licen[sc]e"),
+    ("beerware", "beer", "beer ?ware licen[sc]e"),
+    ("fair", "fair licen", "fair licen[sc]e"),
+    ("ms-rl", "reciprocal", "microsoft reciprocal licen[sc]e"),
+    ("rpl", "reciprocal", "reciprocal public licen[sc]e"),
+    ("qpl", "q public", "q public licen[sc]e"),
+    ("ipl", "ibm public", "ibm public licen[sc]e"),
+    ("apsl", "apple public", "apple public source licen[sc]e"),
+    ("npl", "netscape", "netscape public licen[sc]e"),
+    ("spl", "sun public", "sun public licen[sc]e"),
+    ("sissl", "sun industry", "sun industry standards source licen[sc]e"),
+    ("nasa", "nasa", "nasa open source agreement(?: licen[sc]e)?"),
+    ("cpal", "common public attribution", "common public attribution licen[sc]e"),
+    ("rhecos", "ecos", "(?:red hat )?ecos(?: public)? licen[sc]e"),
+    ("nokia", "nokia", "nokia open source licen[sc]e"),
+    ("intel", "intel", "intel(?: open source| simplified software)? licen[sc]e"),
+    ("motosoto", "motosoto", "motosoto open source licen[sc]e"),
+    ("watcom", "watcom", "(?:sybase )?open watcom public licen[sc]e"),
+    ("sspl", "server side", "server side public licen[sc]e"),
+    ("elastic", "elastic", "elastic licen[sc]e"),
+    ("busl", "business source", "business source licen[sc]e"),
+    ("commons-clause", "commons clause", "commons clause(?: licen[sc]e)?(?: condition)?"),
+    ("polyform", "polyform", "polyform (?:noncommercial|small business|shield|strict|perimeter) licen[sc]e"),
+    ("parity", "parity", "parity public licen[sc]e"),
+    ("blue-oak", "blue oak", "blue oak model licen[sc]e"),
+    ("hippocratic", "hippocratic", "hippocratic licen[sc]e"),
+    ("mulan-psl", "mulan", "mulan (?:permissive software|psl) licen[sc]e"),
+    ("pddl", "dedication", "(?:open data commons )?public domain dedication and licen[sc]e"),
+    ("odc-by", "open data commons", "open data commons attribution licen[sc]e"),
+    ("ogl", "open government", "open government licen[sc]e"),
+    ("etalab", "etalab", "etalab(?: open)? licen[sc]e"),
+    ("cdla", "community data", "community data licen[sc]e agreement"),
+    ("openrail", "responsible ai", "responsible ai licen[sc]e"),
+    ("llama", "llama", "llama (?:[0-9] )?community licen[sc]e"),
+    ("dual", "dual", "dual licen[sc]ed"),
+    ("freeware", "freeware", "freeware licen[sc]e"),
+    ("evaluation", "evaluation", "(?:trial|evaluation) licen[sc]e"),
+    ("eula", "end user", "end user licen[sc]e agreement"),
 ]
 #: Priority: versions over written signatures of names, so that the longer one stands.
 EXACT, NAMED = 3, 2
@@ -121,7 +188,7 @@ def rules() -> list[tuple[str, str, str, int]]:
 
 
 #: Stems without which no keyword and no base phrase can occur; CC needs its word by.
-STEMS = ("licen", "gpl", "mpl", "apache", "bsd", "cecill", "eupl", "wtfpl", "cc0", "commons", "public domain", "proprietary", "rights reserved", "permission", "redistribut", "unencumbered", "endorse", "mit")
+STEMS = ("licen", "gpl", "mpl", "apache", "bsd", "cecill", "eupl", "wtfpl", "cc0", "commons", "public domain", "proprietary", "rights reserved", "permission", "redistribut", "unencumbered", "endorse", "mit", "perl", "nasa")
 
 
 def n_words(text: Column) -> Column:
@@ -149,20 +216,20 @@ def worth_a_look(text: Column) -> Column:
 
 
 def detections(s: Column) -> Column:
-    """(start, -end, -priority, label) of all places of the rules whose keyword s has."""
+    """(start, -end, -priority, rule number, label) of all places of the rules whose keyword s has."""
     table = rules()
     keys = F.array(*[F.lit(k) for k in dict.fromkeys(r[1] for r in table)])
-    as_rows = F.array(*[F.struct(F.lit(a).alias("label"), F.lit(b).alias("key"), F.lit(f"(?<= )(?:{c})(?= )").alias("rx"), F.lit(d).alias("priority")) for a, b, c, d in table])
+    as_rows = F.array(*[F.struct(F.lit(a).alias("label"), F.lit(b).alias("key"), F.lit(f"(?<= )(?:{c})(?= )").alias("rx"), F.lit(d).alias("priority"), F.lit(i).alias("rule")) for i, (a, b, c, d) in enumerate(table)])
 
     def places(r: Column) -> Column:
         def walk(parts: Column) -> Column:
             found = F.regexp_extract_all(s, r["rx"], F.lit(0))
-            none = F.array().cast("array<struct<start:int,neg_end:int,neg_priority:int,label:string>>")
+            none = F.array().cast("array<struct<start:int,neg_end:int,neg_priority:int,rule:int,label:string>>")
 
             def step(acc: Column, i: Column) -> Column:
                 start = acc["at"] + F.char_length(F.get(parts, i))
                 end = start + F.char_length(F.get(found, i))
-                one = F.struct(start.alias("start"), (-end).alias("neg_end"), (-r["priority"]).alias("neg_priority"), r["label"].alias("label"))
+                one = F.struct(start.alias("start"), (-end).alias("neg_end"), (-r["priority"]).alias("neg_priority"), r["rule"].alias("rule"), r["label"].alias("label"))
                 return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
             every = F.when(F.size(parts) > 1, F.sequence(F.lit(0), F.size(parts) - 2)).otherwise(F.array().cast("array<int>"))

@@ -36,6 +36,45 @@ def test_base_places_match_brute_force(spark):
         assert 0 <= row["score"] <= 1
 
 
+def survivors(text):
+    """Labels and best priority by all intervals against all others."""
+    s = " " + " ".join(WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))) + " "
+    found = [(m.start(), m.end(), p, i, label) for i, (label, key, rx, p) in enumerate(licenses.rules()) if key in s for m in re.finditer(f"(?<= )(?:{rx})(?= )", s)]
+
+    def hidden(x):
+        for y in found:
+            if y[0] <= x[0] and x[1] <= y[1] and (y[2] > x[2] or (y[2] == x[2] and ((y[0], y[1]) != (x[0], x[1]) or y[3] < x[3]))):
+                return True
+        return False
+
+    left = [x for x in found if not hidden(x)]
+    return {x[4] for x in left}, max((x[2] for x in left), default=0)
+
+
+def test_detections_match_brute_force(spark):
+    r = random.Random(9)
+    phrases = [re.sub(r"\(\?[:!][^()]*\)\??|\[sc\]|[()?\\]", lambda m: "c" if m[0] == "[sc]" else "", rx).split("|")[0] for _, _, rx, _ in licenses.rules()]
+    tails = ["or later", "only", "version 2", "2 0", "2", "license", "or", "international", "the", "of the license", "CC BY", "4.0"]
+    texts = [" ".join(f"{r.choice(phrases)} {r.choice(tails)}" for _ in range(r.randint(1, 8))) for _ in range(200)]
+    texts += [None, "", "the same", "the same", "MPL 1.1, LGPL 2.1 " * 400, "in the public\ndomain"]
+    labels = set()
+    for row, t in zip(scan(spark, texts), texts, strict=True):
+        own, best = survivors(t)
+        assert set(filter(None, row["labels"].split(","))) == own | set(filter(None, row["base_labels"].split(","))), t
+        assert row["score"] == ({3: 1.0, 2: 0.8}.get(best) or (0.6 if row["n_base"] else 0.0))
+        labels |= own
+    assert len(labels) > 100
+    d = spark.createDataFrame([], "doc_id long, text string")
+    assert licenses.scanned(d).count() == 0
+
+
+def test_the_first_of_tied_rules_stands(spark, monkeypatch):
+    table = [("zz", "mit ", "mit licen[sc]e", 2), ("aa", "mit ", "mit license", 2)]
+    monkeypatch.setattr(licenses, "rules", lambda: table)
+    assert scan(spark, ["an mit license"])[0]["labels"] == "mit,zz"
+    assert survivors("an mit license") == ({"zz"}, 2)
+
+
 def test_signatures_and_containment(spark):
     texts = ["Licensed under the Apache License, Version 2.0", "GNU General Public License v3 or later", "under the BSD 3-Clause License", "CC BY-NC-SA 4.0", "the Mozilla Public License 2.0 only and an MIT License",
              "GNU Lesser General Public License 2.1", "all rights\nreserved", "no terms here"]
