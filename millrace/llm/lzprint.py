@@ -7,13 +7,17 @@ share of the smallest hashes of their union that both have: an unbiased estimate
 Jaccard similarity of the phrase sets, as compression distances compare dictionaries.
 
 Null texts are empty, and an empty text has an empty fingerprint; two of those are alike (1),
-an empty and another one are not (0). Equal texts have equal fingerprints.
+an empty and another one are not (0). Equal texts have equal fingerprints. Very long texts are
+parsed whole. Documents are ordered by descending doc_id, null last; rows that tie in it, and
+so repeated rows, follow each other by the digest of their texts. An only row is followed by
+itself, and an empty table gives an empty result. Further columns may have any name.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -22,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BOTTOM = 64
+RANGE_BYTES = 1 << 25  # of the texts of a task
 BASE, PRIME = 1_000_003, (1 << 61) - 1
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 FIELDS = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
@@ -88,7 +93,7 @@ def neighbours(docs: DataFrame, buckets: int) -> DataFrame:
     least = -(1 << 63)
     key = F.coalesce("doc_id", F.lit(least).cast("long"))
     ids = docs.select(key.alias("key"))
-    found = ids.agg(F.percentile_approx("key", [i / buckets for i in range(1, buckets)], 10_000)).first()[0]
+    found = ids.agg(F.percentile_approx("key", [i / buckets for i in range(1, buckets)], max(10_000, 4 * buckets))).first()[0]
     cuts = np.unique(np.array(found or [], np.int64))
 
     @F.pandas_udf("int")
@@ -115,11 +120,13 @@ def neighbours(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def fingerprinted(docs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """Fingerprints of all texts and of their edited forms."""
-    buckets = buckets or 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Fingerprints of all texts and of their edited forms, in tasks of some RANGE_BYTES."""
+    if not buckets:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        buckets = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(size / RANGE_BYTES))
     rows = neighbours(docs, buckets)
     sha = F.sha1("text")
-    rows = rows.repartition(buckets, "part").withColumn("tie", sha).sortWithinPartitions("part", "ahead", F.desc("key"), "tie")
+    rows = rows.repartitionById(buckets, "part").withColumn("tie", sha).sortWithinPartitions("part", "ahead", F.desc("key"), "tie")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # part, doc_id, text, phrases of its head, state, signature
