@@ -1,6 +1,7 @@
 """Packing, language identification, token counts and fingerprints on small tables."""
 
 import hashlib
+import math
 import random
 import zlib
 
@@ -111,6 +112,52 @@ def test_language_held_out(spark):
     assert [tuple(x) for x in langid.predicted(bare, langid.trained(bare)).select("language.*").collect()] == [("und", 0.0, True)]
 
 
+def plain_prediction(model, text):
+    """Language and score by loops over 3-grams, bits and languages."""
+    raw = [b if b >= 128 or 97 <= b <= 122 else 32 for b in f" {text.lower()} ".encode()]
+    counts = {}
+    for at in range(len(raw) - 2):
+        code = raw[at] * 65536 + raw[at + 1] * 256 + raw[at + 2]
+        slot = (code * langid.MULTIPLIER % 2**32) >> 19
+        if slot != ((0x202020 * langid.MULTIPLIER) % 2**32) >> 19:
+            counts[slot] = counts.get(slot, 0) + 1
+    total, losses = max(1, sum(counts.values())), []
+    margins = [float(model["b"][k]) + sum((n / total) ** 0.5 * float(model["w"][s, k]) for s, n in counts.items()) for k in range(len(model["b"]))]
+    for word in model["code"]:
+        losses.append(sum(math.log1p(math.exp(-float(c) * z)) for c, z in zip(word, margins, strict=True)))
+    best = min(range(len(losses)), key=losses.__getitem__)
+    return model["names"][best], 1 / sum(math.exp(losses[best] - v) for v in losses)
+
+
+@pytest.mark.parametrize("languages", [1, 2, 4, 9])
+def test_predictions_match_plain_loops(spark, languages):
+    r = random.Random(languages)
+    syllables = ["ba", "né", "ko", "ri", "zu", "ta", "vø", "li", "sä", "mo", "pe", "du"]
+    vocab = [["".join(r.choice(syllables) for _ in range(3)) for _ in range(15)] for _ in range(languages)]
+    text = lambda v: " ".join(r.choice(vocab[v]) for _ in range(r.randint(1, 40)))
+    rows = [(i, text(i % languages), f"l{i % languages}") for i in range(60 * languages)] + [(None, text(0), "l0"), (7, text(0), "l0"), (7, "A1 b2\tÉ!!", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.trained(d)
+    assert model["names"] == sorted({v for _, _, v in rows if v})
+    for x in langid.predicted(d, model).select("text", "language.*").collect():
+        name, score = plain_prediction(model, x["text"])
+        assert x["lang_pred"] == name and abs(x["score"] - score) < 1e-4 and (x["ambiguous"] == (x["score"] < langid.AMBIGUOUS))
+
+
+def test_held_out_accuracy_on_documents(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    out = langid.op7_language(spark, "/root/testdata/sf0.01").join(d, "doc_id").where("held_out and lang is not null and length(text) >= 200").select("lang", "lang_pred").collect()
+    assert len(out) > 50 and sum(x["lang"] == x["lang_pred"] for x in out) >= 0.95 * len(out)
+
+
+def test_language_of_odd_tables(spark):
+    d = spark.createDataFrame([(1, "abc abc", "aa"), (1, "abc abc", "aa"), (3, "xyz xyz", "bb"), (5, "xyz xyz", "bb"), (6, "xyz xyz", "bb")], "doc_id long, text string, lang string")
+    empty = d.limit(0)
+    assert langid.trained(empty) is None and langid.predicted(empty, None).count() == 0 and langid.spoken_documents(empty).count() == 0
+    out = langid.predicted(d, langid.trained(d)).select("doc_id", "language.*").collect()
+    assert len(out) == 5 and len({tuple(x) for x in out if x["doc_id"] == 1}) == 1
+
+
 def test_long_texts_are_learned_from(spark):
     r = random.Random(2)
     vocab = {"aa": "bal dor min sel", "bb": "xuq zyx wov kyq"}
@@ -170,6 +217,49 @@ def test_token_counts_of_odd_tables(spark):
     assert tokencount.counted(d.limit(0), voc).count() == 0
 
 
+def phrase_hashes(text):
+    """Mixed hashes of the phrases of an LZ78 parse that keeps strings."""
+    phrases, now = set(), ""
+    for c in text:
+        now += c
+        if now not in phrases:
+            phrases.add(now)
+            now = ""
+    out = set()
+    for p in phrases:
+        x = sum((ord(c) + 1) * pow(lzprint.BASE, len(p) - 1 - i, lzprint.PRIME) for i, c in enumerate(p)) % lzprint.PRIME
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> shift)) * factor % 2**64
+        out.add(x ^ (x >> 31))
+    return out
+
+
+def test_parse_and_likeness_match_sets_of_strings(spark):
+    r = random.Random(8)
+    texts = ["", "a", "aaaaaaa", "abababab", "日本語日本語", "x\x00y\x00"] + ["".join(r.choice("ab cé") for _ in range(r.choice((5, 60, 400, 3000)))) for _ in range(40)]
+    rows = [(len(texts) - i, t) for i, t in enumerate(texts)]
+    out = {x["doc_id"]: x for x in lzprint.fingerprinted(spark.createDataFrame(rows, "doc_id long, text string"), 3).collect()}
+    shown = lambda s: "".join(f"{x:016x}" for x in sorted(s)[: lzprint.BOTTOM])
+
+    def alike(a, b):
+        least = sorted(a | b)[: lzprint.BOTTOM]
+        return sum(x in a and x in b for x in least) / len(least) if least else 1.0
+
+    for (i, t), after in zip(rows, texts[1:] + texts[:1], strict=True):
+        k = len(t) // 3
+        own, edited, other = map(phrase_hashes, (t, t[: len(t) - k] + after[:k], after))
+        assert (out[i]["fingerprint"], out[i]["edited_fingerprint"]) == (shown(own), shown(edited))
+        assert abs(out[i]["near_edited"] - alike(own, edited)) < 1e-12 and abs(out[i]["near_next"] - alike(own, other)) < 1e-12
+
+
+def test_tasks_follow_the_bytes(spark, monkeypatch):
+    d = spark.createDataFrame([(i % 90, "some words " * (i % 7)) for i in range(200)], "doc_id long, text string")
+    want = sorted(map(tuple, lzprint.fingerprinted(d, 1).collect()))
+    monkeypatch.setattr(lzprint, "RANGE_BYTES", 200)
+    many = lzprint.fingerprinted(d)
+    assert many.rdd.getNumPartitions() > 20 and sorted(map(tuple, many.collect())) == want
+
+
 def test_fingerprints_match_brute_force(spark):
     r = random.Random(6)
     rows = [(3 * i, "".join(r.choice("abcd é") for _ in range(r.randint(0, 300)))) for i in range(70)] + [(1, None), (2, ""), (4, "x" * 50_000), (5, "dup"), (7, "dup")]
