@@ -309,13 +309,16 @@ class Join:
         Of its own keys a node leaves out, from its lookups, as many as it can spare: those that most nodes share.
         """
         per = Window.partitionBy("key")
-        side = lambda c: F.transform(c, lambda k: F.struct(k.alias("key"), F.lit(c == "own").alias("own")))
-        keys = sets.where("own is not null").select("node", "spare", F.explode(F.concat(side("own"), side("over"))).alias("k")).select("k.*", "node", "spare")
-        keys = keys.withColumns({"lo": F.min("node").over(per), "hi": F.max("node").over(per), "nodes": F.count(F.lit(1)).over(per), "looked": F.max("own").over(per)}).where("lo < hi and looked")
-        keys = self.scratch.put(keys.select("key", "node", "own", "spare", "nodes", "lo"), f"{tag}_all")
-        once = keys.repartition("node").groupBy("node", "key").agg(*[F.max(c).alias(c) for c in ("own", "spare", "nodes", "lo")])  # tasks may each have seen a set
-        rank = F.row_number().over(Window.partitionBy("node", "own").orderBy(F.desc("nodes"), "key"))
-        once = once.withColumn("looks", F.col("own") & (rank > F.col("spare"))).withColumn("looked", F.max("looks").over(per))
+        side = lambda c, spare: F.transform(c, lambda k: F.struct(k.alias("key"), spare.alias("spare")))
+        none = F.lit(None).cast("long")  # the spare of keys that are not the node's own; what windows can find again isn't exchanged
+        keys = sets.where("own is not null").select("node", F.explode(F.concat(side("own", F.coalesce("spare", F.lit(0))), side("over", none))).alias("k")).select("k.*", "node")
+        keys = keys.withColumns({"lo": F.min("node").over(per), "hi": F.max("node").over(per), "nodes": F.count(F.lit(1)).over(per), "looked": F.max("spare").over(per)}).where("lo < hi and looked is not null")
+        keys = self.scratch.put(keys.select("key", "node", "spare", "nodes"), f"{tag}_all")
+        once = keys.repartition("node").groupBy("node", "key").agg(F.max("spare").alias("spare"), F.max("nodes").alias("nodes"))  # tasks may each have seen a set
+        own = F.col("spare").isNotNull()
+        rank = F.row_number().over(Window.partitionBy("node", own).orderBy(F.desc("nodes"), "key"))
+        once = once.select("key", "node", F.coalesce(own & (rank > F.col("spare")), F.lit(False)).alias("looks"))
+        once = once.withColumns({"looked": F.max("looks").over(per), "lo": F.min("node").over(per)})
         out = self.scratch.put(once.where("looked").select("key", "node", "looks", "lo"), tag)
         self.scratch.drop(f"{tag}_all")
         self.scratch.release()
