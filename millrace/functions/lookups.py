@@ -1,4 +1,4 @@
-"""Lookup tables and the string functions that go with them."""
+"""Lookup tables and the string functions that go with them."""
 
 from __future__ import annotations
 
@@ -101,3 +101,13 @@ def collapse_labels(df: DataFrame, label: str, table: dict[str, str] | None = No
 def session_id(pump: Column, condition: Column, severity: Column, speed: Column) -> Column:
     """Pump, condition, severity and speed (P4); a missing severity reads None."""
     return F.concat_ws("_", pump, condition, F.coalesce(severity.cast("string"), F.lit("None")), speed.cast("string"))
+
+
+def result_key(key: Column) -> dict[str, Column]:
+    """Rung, model and strategy of a result's key (P9): ladder__rung__model or model__strategy; other keys have none."""
+    after = lambda x, head: F.substring(x, F.length(head) + 3, F.length(x))
+    first, second = F.split_part(key, F.lit("__"), F.lit(1)), F.split_part(key, F.lit("__"), F.lit(2))
+    rest = after(key, first)
+    ladder = (first == "ladder") & F.contains(rest, F.lit("__"))
+    plain = (first != "ladder") & F.contains(key, F.lit("__"))
+    return {"rung": F.when(ladder, second), "model": F.when(ladder, after(rest, second)).when(plain, first), "strategy": F.when(plain, rest)}

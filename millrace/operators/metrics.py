@@ -161,6 +161,13 @@ def leakage_inflation(df: DataFrame, key: list[str], level: str, metric: str) ->
     return df.groupBy(*key).agg((F.max(F.when(F.col(level) == 0, F.col(metric))) / F.max_by(metric, F.when(F.col(level) > 0, F.col(level)))).alias("inflation"))
 
 
+def leakage_entries(df: DataFrame, dataset: str, rank: str, level: str, metric: str) -> DataFrame:
+    """Score at level 0, at the strictest level and their quotient of each data set (E20), from its first result that has both."""
+    pair = df.groupBy(dataset, rank).agg(F.max(F.when(F.col(level) == 0, F.col(metric))).alias("invalid"), F.max_by(metric, F.when((F.col(level) > 0) & F.col(metric).isNotNull(), F.col(level))).alias("honest"))
+    first = F.min_by(F.struct("invalid", "honest"), rank).alias("z")
+    return pair.where("invalid is not null and honest is not null").groupBy(dataset).agg(first).select(dataset, "z.*", (F.col("z.invalid") / F.col("z.honest")).alias("inflation"))
+
+
 def majority(df: DataFrame, key: list[str], label: str) -> DataFrame:
     """Most frequent label of each key, the first of equals (M1)."""
     per = df.groupBy(*key, label).agg(F.count(F.lit(1)).alias("n"))

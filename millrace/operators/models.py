@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.feature import IndexToString, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import PCA, IndexToString, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +21,23 @@ ABSTAIN = metrics.ABSTAIN
 CONTEXT_ROWS, MAX_CLASSES, LEAST_CONFIDENCE = 1000, 10, 0.45
 
 
+def projection(df: DataFrame, features: list[str]) -> DataFrame:
+    """df with pc1 and pc2, the first two principal components of its standardised features (A17), to be seen by class and by machine.
+
+    Deviations are those of the population, a constant feature adds nothing, and the largest
+    loading of a component is positive. Null features raise.
+    """
+    pairs = [(F.avg(c).alias(f"m{i}"), F.stddev_pop(c).alias(f"s{i}")) for i, c in enumerate(features)]
+    at = df.agg(*[x for pair in pairs for x in pair]).first()
+    scaled = df.select("*", *[((F.col(c) - at[f"m{i}"]) / (at[f"s{i}"] or 1.0)).alias(f"__f{i}") for i, c in enumerate(features)])
+    whole = VectorAssembler(inputCols=[f"__f{i}" for i in range(len(features))], outputCol="__v").transform(scaled)
+    model = PCA(k=2, inputCol="__v", outputCol="__p").fit(whole)
+    loads = model.pc.toArray()
+    sign = [1.0 if x[abs(x).argmax()] > 0 else -1.0 for x in loads.T]
+    out, p = model.transform(whole), vector_to_array("__p")
+    return out.select(*df.columns, *[(p[i] * sign[i]).alias(f"pc{i + 1}") for i in range(2)])
+
+
 class Majority:
     """The most frequent class of the training rows (M1)."""
 

@@ -1,4 +1,4 @@
-"""Queries of the scalar functions: P1-P4 and F1-F26 over table columns as grids."""
+"""Queries of the scalar functions: P1-P4, P9 and F1-F26 over table columns as grids."""
 
 from __future__ import annotations
 
@@ -192,3 +192,13 @@ def session_ids(spark, sf_dir):
     """Session keys from pump, condition, severity and speed."""
     rows = folders(spark, sf_dir).withColumns(lookups.condition_parts(F.col("folder")))
     return rows.select("p_partkey", lookups.session_id(F.lit("NK80-250"), F.col("family"), F.col("severity"), F.lit(100)).alias("session_id"))
+
+
+RESULT_KEY = "CASE event_id % 4 WHEN 0 THEN 'ladder__' || event_id % 3 || '_rung__' || event_type WHEN 1 THEN event_type || '__pooled' WHEN 2 THEN event_type || '__per_machine__' || event_id % 2 ELSE event_type END"
+
+
+@query("p9_result_keys", rf"WITH k AS (SELECT {RESULT_KEY} AS key FROM events), m AS (SELECT regexp_extract(key, '^ladder__(.*?)__(.*)$', ['rung', 'model']) AS l, regexp_extract(key, '^(.*?)__(.*)$', ['model', 'strategy']) AS p, starts_with(key, 'ladder__') AS is_l, contains(key, '__') AS is_p FROM k) SELECT CASE WHEN is_l THEN l.rung END AS rung, CASE WHEN is_l THEN l.model WHEN is_p THEN p.model END AS model, CASE WHEN is_p AND NOT is_l THEN p.strategy END AS strategy, count(*)::BIGINT AS n FROM m GROUP BY ALL")
+def result_keys(spark, sf_dir):
+    """Results by rung, model and strategy of their keys."""
+    keys = table(spark, sf_dir, "events").select(F.expr(RESULT_KEY).alias("key"))
+    return keys.select(*[c.alias(n) for n, c in lookups.result_key(F.col("key")).items()]).groupBy("rung", "model", "strategy").agg(F.count(F.lit(1)).alias("n"))

@@ -1,4 +1,4 @@
-"""Curves, simulations and tables of studies: E16, E21, W14, W18, A9, S13 and the model harness."""
+"""Curves, simulations and tables of studies: A17, E16, E20, E21, W14, W18, A9, S13 and the model harness."""
 
 from __future__ import annotations
 
@@ -72,3 +72,23 @@ def context_folds(spark, sf_dir):
     df = event_rows(spark, sf_dir).withColumn("label", F.when(F.col("x") > 80, "high").otherwise("low"))
     roles = splits.fold_roles(df, splits.group_folds(df, "machine", most=3), "machine")
     return metrics.report(models.evaluate(roles, lambda seed=0: models.InContext(seed, abstain=True), ["x", "y"], "label"))
+
+
+@query("e20_leakage_entries", """WITH s AS (SELECT event_type AS dataset, event_id % 3 AS rank, CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN 1 + event_id % 2 ELSE event_id // 3 % 4 END AS level, avg(value) AS score FROM events GROUP BY ALL),
+p AS (SELECT dataset, rank, max(score) FILTER (level = 0) AS invalid, arg_max(score, level) FILTER (level > 0) AS honest FROM s GROUP BY dataset, rank),
+f AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY rank) AS i FROM p WHERE invalid IS NOT NULL AND honest IS NOT NULL)
+SELECT dataset, round(invalid, 6) AS invalid, round(honest, 6) AS honest, round(invalid / honest, 6) AS inflation FROM f WHERE i = 1""")
+def leakage_entries(spark, sf_dir):
+    """Invalid and honest scores of each data set; the first results of one have no invalid score."""
+    rank, even = F.col("event_id") % 3, F.col("event_id") % 2
+    level = F.when((F.col("event_type") == "error") & (rank == 0), 1 + even).otherwise(F.expr("event_id div 3 % 4"))
+    s = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("dataset"), rank.alias("rank"), level.alias("level")).agg(F.avg("value").alias("score"))
+    return rounded(metrics.leakage_entries(s, "dataset", "rank", "level", "score"), "invalid", "honest", "inflation")
+
+
+@query("a17_projection")
+def projection(spark, sf_dir):
+    """All order lines, with their flag and supplier, by two principal components of quantity, price, discount and tax."""
+    features = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_suppkey", *[F.col(c).cast("double").alias(c) for c in features])
+    return models.projection(rows, features).drop(*features)

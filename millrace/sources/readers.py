@@ -1,4 +1,4 @@
-"""Readers of sensor data in the formats of its publishers.
+"""Readers of sensor data in the formats of its publishers.
 
 All are text, JSON or Parquet readers of Spark, so any file system that Spark reads will do.
 What cannot be mapped or parsed raises; nothing is guessed.
@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.lookups import PUMPS, SPEEDS, look_up, parse_condition, refused
+from ..functions.lookups import BEARINGS, OPERATING_POINTS, PUMPS, SPEEDS, look_up, parse_condition, refused
 
 IN_PER_S = 25.4
 #: Labels, published columns and channels of the sources.
@@ -77,6 +77,13 @@ def sampling_rate(df: DataFrame, at: str, key: list[str], default: float = 20_00
     return per.select(*key, F.when(F.col("m") > 0, 1 / F.col("m")).otherwise(F.lit(default)).alias("fs"))
 
 
+def median_step(at: Column) -> Column:
+    """Median difference of neighbours in an array of times; null below two."""
+    n = F.size(at)
+    steps = F.sort_array(F.zip_with(F.slice(at, 2, F.greatest(n - 1, F.lit(0))), F.slice(at, 1, F.greatest(n - 1, F.lit(0))), lambda b, a: b - a))
+    return F.transform(F.array(steps), lambda s: (F.get(s, F.floor((F.size(s) - 1) / 2).cast("int")) + F.get(s, F.floor(F.size(s) / 2).cast("int"))) / 2)[0]
+
+
 def condition_bursts(spark: SparkSession, root: str, modality: str, channel: str = "ch1", most: int = 8, conditions: list[str] | None = None) -> DataFrame:
     """Bursts of wide files under root/modality/motor/speed/condition (S4-S6): one row a burst, samples in order of time.
 
@@ -91,10 +98,11 @@ def condition_bursts(spark: SparkSession, root: str, modality: str, channel: str
     long = long.where("speed_pct is not null")
     if conditions:
         long = long.where(F.col("condition").isin(conditions))
-    waves = long.where("x is not null").groupBy("motor", "speed_pct", "condition", "burst").agg(F.transform(F.sort_array(F.collect_list(F.struct("t", "x"))), lambda s: s["x"]).alias("wave"), F.count(F.lit(1)).alias("n"), (F.max("t") - F.min("t")).alias("span"))
+    waves = long.where("x is not null").groupBy("motor", "speed_pct", "condition", "burst").agg(F.sort_array(F.collect_list(F.struct("t", "x"))).alias("samples"))
+    waves = waves.withColumns({"wave": F.col("samples.x"), "step": median_step(F.col("samples.t"))}).drop("samples")
     rpm = F.create_map(*[F.lit(v) for k, r in SPEEDS.items() for v in (f"{k[0]}@{k[1]}", r)])
-    waves = parse_condition(waves, "condition").withColumns({"fs": F.when(F.col("span") > 0, (F.col("n") - 1) / F.col("span")).otherwise(F.lit(20_000.0)), "rpm": rpm[F.concat_ws("@", "motor", F.col("speed_pct").cast("string"))], "pump": look_up(F.col("motor"), PUMPS)})
-    return waves.drop("n", "span")
+    waves = parse_condition(waves, "condition").withColumns({"fs": F.when(F.col("step") > 0, 1 / F.col("step")).otherwise(F.lit(20_000.0)), "rpm": rpm[F.concat_ws("@", "motor", F.col("speed_pct").cast("string"))], "pump": look_up(F.col("motor"), PUMPS)})
+    return waves.drop("step")
 
 
 def paired_channels(vibration: DataFrame, current: DataFrame, pair: bool = False, key: Sequence[str] = ("motor", "speed_pct", "condition"), burst: str = "burst") -> DataFrame:
@@ -115,6 +123,28 @@ def paired_channels(vibration: DataFrame, current: DataFrame, pair: bool = False
     return both.select(*on, "vibration", "current", *[F.coalesce(f"__v_{c}", f"__c_{c}").alias(c) for c in rest])
 
 
+def converted_bearings(spark: SparkSession, path: str, most: int = 5, window_s: float = 1.0, current: bool = True, fs: float = 64_000.0) -> DataFrame:
+    """Bearing recordings that were converted to Parquet (S10): name (the recording's file name without its ending), vibration, current.
+
+    A name is operating point, bearing and number. Of each bearing and point the first ``most``
+    names count; of these the first ``window_s`` seconds, one window a recording. A recording
+    whose vibration is missing or shorter is left out, and a shorter current is null.
+    Bearings and points outside the fixed tables are left out; if nothing stays, it raises.
+    """
+    require(spark, path, "convert the bearing recordings to Parquet")
+    df, n = spark.read.parquet(path), int(window_s * fs)
+    part = lambda i: F.regexp_extract("name", r"^(N\d+_M\d+_F\d+)_([A-Z]+\d+)_(.*)$", i)
+    names = df.select("name", part(1).alias("operating_point"), part(2).alias("bearing"), F.coalesce(F.regexp_extract("name", r"_([^_]*)$", 1).try_cast("int"), F.lit(0)).alias("measurement")).distinct()
+    names = names.withColumns({"label": look_up(F.col("bearing"), BEARINGS), "rpm": look_up(F.col("operating_point"), {k: v[0] for k, v in OPERATING_POINTS.items()})}).where("label is not null and rpm is not null")
+    first = names.withColumn("at", F.row_number().over(Window.partitionBy("bearing", "operating_point").orderBy("name"))).where(F.col("at") <= most).drop("at")
+    bounded = len(BEARINGS) * len(OPERATING_POINTS) * most <= 10_000  # names at most
+    phase = F.when(F.size("current") >= n, F.slice("current", 1, n)) if current and "current" in df.columns else F.lit(None).cast("array<double>")
+    out = df.where(F.size("vibration") >= n).select("name", F.slice("vibration", 1, n).alias("vibration"), phase.alias("current")).join(F.broadcast(first) if bounded else first, "name")
+    if out.isEmpty():
+        raise FileNotFoundError(f"{path} has no recording of {window_s} s of a known bearing")
+    return out.withColumns({"session_id": F.concat_ws("_", "operating_point", "bearing", F.col("measurement").cast("string")), "fs": F.lit(fs)}).drop("name")
+
+
 def number(text: Column, decimal: str) -> Column:
     return (F.regexp_replace(text, ",", ".") if decimal == "," else text).try_cast("double")
 

@@ -147,3 +147,43 @@ def test_channels_are_merged_by_key_and_paired_by_burst(spark):
     alone = [(60, 0, [5.0], None, 10.0)]
     assert rows(True) == [(50, 0, [1.0], [-1.0], 10.0), (50, 1, [2.0], [-2.0], 10.0), *alone, (70, 0, None, [9.0], 20.0), (70, 1, None, [9.0], 20.0)]
     assert rows(False) == [*((50, i, [1.0 + i], None, 10.0) for i in range(3)), *alone, (70, 0, None, None, 20.0), (70, 1, None, None, 20.0)]
+
+
+def test_sampling_rate_is_of_the_median_step(spark, tmp_path):
+    at = [0.0, 0.001, 0.002, 0.003, 0.5]
+    d = tmp_path / "Vibration" / "Motor-2" / "100" / "healthy"
+    d.mkdir(parents=True)
+    (d / "x-ch1.csv").write_text("time,1\n" + "\n".join(f"{t},{i}" for i, t in enumerate(at)) + "\n")
+    assert readers.condition_bursts(spark, str(tmp_path), "Vibration").first()["fs"] == pytest.approx(1000)
+    df = spark.createDataFrame([("a", t) for t in at] + [("b", 1.0)], "k string, t double")
+    assert {r["k"]: r["fs"] for r in readers.sampling_rate(df, "t", ["k"]).collect()} == {"a": pytest.approx(1000), "b": 20_000.0}
+    steps = spark.createDataFrame([([],), ([1.0],), ([1.0, 2.0, 5.0],), (None,)], "t array<double>").select(readers.median_step(F.col("t")).alias("m"))
+    assert [r["m"] for r in steps.collect()] == [None, None, 2.0, None]
+
+
+def test_converted_bearings(spark, tmp_path):
+    wave = lambda n: [float(i) for i in range(n)]
+    rows = [(f"N15_M07_F10_K001_{i}", wave(12), wave(12 if i % 2 else 3)) for i in range(1, 5)]
+    rows += [("N15_M07_F10_KA04_1", wave(4), wave(12)), ("N15_M07_F10_KA04_x", wave(12), None), ("N15_M07_F10_XX99_1", wave(12), None), ("odd", wave(12), None), ("N09_M07_F10_KI04_2", None, None)]
+    path = str(tmp_path / "bearings")
+    spark.createDataFrame(rows, "name string, vibration array<double>, current array<double>").write.parquet(path)
+    got = {r["session_id"]: r for r in readers.converted_bearings(spark, path, most=3, window_s=1.0, fs=10.0).collect()}
+    assert set(got) == {*(f"N15_M07_F10_K001_{i}" for i in (1, 2, 3)), "N15_M07_F10_KA04_0"}
+    assert got["N15_M07_F10_K001_1"]["vibration"] == wave(10) == got["N15_M07_F10_K001_1"]["current"] and got["N15_M07_F10_K001_2"]["current"] is None
+    assert got["N15_M07_F10_KA04_0"]["label"] == "outer_race" and got["N15_M07_F10_KA04_0"]["rpm"] == 1500.0
+    with pytest.raises(FileNotFoundError):
+        readers.converted_bearings(spark, path, window_s=9.0, fs=10.0)
+    with pytest.raises(FileNotFoundError):
+        readers.converted_bearings(spark, path + "_none")
+
+
+def test_projection_matches_singular_vectors(spark):
+    import numpy as np
+
+    x = np.array([[i, 3 * i + (i * 7) % 5, (i * i) % 11, 2.0] for i in range(40)], float)
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id long, a double, b double, c double, same double")
+    got = np.array([(r["pc1"], r["pc2"]) for r in models.projection(df, ["a", "b", "c", "same"]).orderBy("id").collect()])
+    z = (x[:, :3] - x[:, :3].mean(0)) / x[:, :3].std(0)
+    v = np.linalg.svd(z, full_matrices=False)[2][:2]
+    v *= np.sign(v[np.arange(2), abs(v).argmax(1)])[:, None]
+    assert np.allclose(got, z @ v.T)
