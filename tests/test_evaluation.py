@@ -187,3 +187,18 @@ def test_projection_matches_singular_vectors(spark):
     v = np.linalg.svd(z, full_matrices=False)[2][:2]
     v *= np.sign(v[np.arange(2), abs(v).argmax(1)])[:, None]
     assert np.allclose(got, z @ v.T)
+
+
+def test_manifest_and_sessions(spark, tmp_path):
+    path = tmp_path / "records.json"
+    path.write_text('[{"record_id": "a", "rpm": 900}, {"record_id": "b"}]')
+    got = {r["record_id"]: (r["rpm"], r["fs_vib"]) for r in readers.manifest(spark, str(path)).collect()}
+    assert got == {"a": (900.0, 20_000.0), "b": (1470.0, 20_000.0)}
+    folder = str(tmp_path / "sessions")
+    with pytest.raises(FileNotFoundError):
+        readers.load_sessions(spark, folder)
+    df = spark.createDataFrame([("s1", [1.0, 2.0]), ("s2", None)], "session_id string, wave array<double>")
+    for session in ("s1", "s2"):
+        readers.save_sessions(df.where(F.col("session_id") == session), folder)
+    assert readers.load_sessions(spark, folder).count() == 2
+    assert readers.load_sessions(spark, folder, "s2").first()["wave"] is None
