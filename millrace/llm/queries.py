@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import chat, filteraudit, jaccard, langid, licenses, lzprint, mixing, packing, quality, tokencount, warc
+from . import chat, filteraudit, jaccard, langid, licenses, lzprint, mixing, packing, quality, spelling, tokencount, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -24,9 +24,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_fingerprints": lzprint.op9_fingerprints,
         "op10_jaccard": jaccard.op10_jaccard,
         "op11_filter_audit": filteraudit.op11_filter_audit,
+        "op12_spelling": spelling.op12_spelling,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.OP1_SQL, "op2_chat": chat.OP2_SQL, "op4_warc": warc.OP4_SQL, "op6_quality": quality.OP6_SQL, "op10_jaccard": jaccard.OP10_SQL, "op11_filter_audit": filteraudit.OP11_SQL}
+    return {"op1_mixing": mixing.OP1_SQL, "op2_chat": chat.OP2_SQL, "op4_warc": warc.OP4_SQL, "op6_quality": quality.OP6_SQL, "op10_jaccard": jaccard.OP10_SQL, "op11_filter_audit": filteraudit.OP11_SQL, "op12_spelling": spelling.OP12_SQL}
