@@ -94,7 +94,9 @@ def deletion_keys(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """For words of one length, the keys of the whole word and of each deletion: both arrays have a row a word, the first column is the word's own."""
     length = len(words[0])
     c = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), length).astype(np.uint64)
-    power = np.cumprod(np.concatenate([[1], np.full(length - 1, BASE, np.uint64)]).astype(np.uint64), dtype=np.uint64)
+    power = np.full(length, BASE, np.uint64)
+    power[0] = 1
+    power = np.cumprod(power)
     prefix = np.zeros((len(words), length + 1), np.uint64)
     np.cumsum(c * power, 1, out=prefix[:, 1:])
     suffix = prefix[:, -1:] - prefix[:, 1:]  # of what follows each place
