@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import chat, filteraudit, jaccard, langid, licenses, lzprint, mixing, packing, quality, spelling, tokencount, warc
+from . import chat, filteraudit, jaccard, langid, licenses, lzprint, mixing, packing, quality, spelling, tokencount, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -25,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_jaccard": jaccard.op10_jaccard,
         "op11_filter_audit": filteraudit.op11_filter_audit,
         "op12_spelling": spelling.op12_spelling,
+        "op13_toxicity": toxicity.op13_toxicity,
         "pipeline": corpus_pipeline.run,
     }
 
