@@ -1,16 +1,20 @@
 """Evaluation of predictions as aggregations.
 
-Curves are made from one row a distinct score: scores are counted first, so a global window
-runs over as many rows as there are distinct scores and not over the predictions.
+Curves are made from one row a distinct score, in blocks of scores that are summed up on their
+own (``scans``), so that continuous scores, of which there are as many as predictions, are
+spread over many tasks too.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scans import carried, in_blocks, running_counts, within
+
 ABSTAIN = "ABSTAIN"
 
 
@@ -35,20 +39,26 @@ def per_class(counts: DataFrame) -> DataFrame:
 
 
 def report(df: DataFrame, true: str = "y_true", pred: str = "y_pred") -> DataFrame:
-    """One row: accuracy, macro and weighted F1, coverage and abstentions."""
-    classes = per_class(confusion(df, true, pred))
-    scores = classes.agg(F.sum("tp").alias("right"), F.sum("support").alias("n"), F.avg("f1").alias("macro_f1"), F.sum(F.col("f1") * F.col("support")).alias("weighted"))
-    total = df.agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col(pred) == ABSTAIN, 1)).alias("n_abstained"))
-    both = scores.crossJoin(F.broadcast(total))  # one row each
-    return both.select(ratio(F.col("right"), F.col("n")).alias("accuracy"), "macro_f1", ratio(F.col("weighted"), F.col("n")).alias("weighted_f1"), ratio(F.col("rows") - F.col("n_abstained"), F.col("rows")).alias("coverage"), "n_abstained")
+    """One row: accuracy, macro and weighted F1, coverage and abstentions (E1), all from one count by class and prediction."""
+    counts = df.groupBy(F.col(true).alias("true"), F.col(pred).alias("pred")).agg(F.count(F.lit(1)).alias("n"))
+    gone, n = F.col("pred").eqNullSafe(ABSTAIN), F.col("n")
+    same = F.col("true") == F.col("pred")
+    own = F.struct(F.col("true").alias("class"), F.when(same, n).otherwise(0).alias("tp"), F.lit(0).cast("long").alias("fp"), F.when(~F.coalesce(same, F.lit(False)), n).otherwise(0).alias("fn"), n.alias("rows"), F.lit(0).cast("long").alias("gone"))
+    other = F.struct(F.col("pred").alias("class"), F.lit(0).cast("long").alias("tp"), n.alias("fp"), F.lit(0).cast("long").alias("fn"), F.lit(0).cast("long").alias("rows"), F.lit(0).cast("long").alias("gone"))
+    left = F.struct(F.lit(ABSTAIN).alias("class"), *[F.lit(0).cast("long").alias(c) for c in ("tp", "fp", "fn")], n.alias("rows"), n.alias("gone"))
+    parts = F.when(gone, F.array(left)).when(F.col("pred").isNull() | same, F.array(own)).otherwise(F.array(own, other))
+    per = counts.select(F.inline(parts)).groupBy("class").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "rows", "gone")])
+    support, judged = F.col("tp") + F.col("fn"), (F.col("tp") + F.col("fp") + F.col("fn")) > 0
+    f1 = F.when(judged, ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")))
+    total = per.agg(F.sum("tp").alias("right"), F.sum(support).alias("n"), F.avg(f1).alias("macro_f1"), F.sum(f1 * support).alias("weighted"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.coalesce(F.sum("gone"), F.lit(0)).alias("n_abstained"))
+    return total.select(ratio(F.col("right"), F.col("n")).alias("accuracy"), "macro_f1", ratio(F.col("weighted"), F.col("n")).alias("weighted_f1"), ratio(F.col("rows") - F.col("n_abstained"), F.col("rows")).alias("coverage"), "n_abstained")
 
 
 def by_score(df: DataFrame, hit: Column, score: Column, key: list[str] | None = None) -> DataFrame:
     """Counts at each distinct score, and of all scores from it upwards."""
     key = key or []
     per = df.select(*key, score.alias("score"), hit.cast("int").alias("hit")).groupBy(*key, "score").agg(F.sum("hit").alias("p"), F.sum(1 - F.col("hit")).alias("q"))
-    down, whole = Window.partitionBy(*key).orderBy(F.desc("score")), Window.partitionBy(*key)
-    return per.withColumns({"tp": F.sum("p").over(down), "fp": F.sum("q").over(down), "pos": F.sum("p").over(whole), "neg": F.sum("q").over(whole)})
+    return running_counts(per, key, "score", ["p", "q"]).withColumnsRenamed({"p_upto": "tp", "q_upto": "fp", "p_all": "pos", "q_all": "neg"})
 
 
 def one_vs_rest(df: DataFrame, classes: list[str], true: str, proba: str) -> DataFrame:
@@ -94,22 +104,25 @@ def brier(df: DataFrame, classes: list[str], true: str = "y_true", proba: str =
 
 
 def risk_coverage(df: DataFrame, confidence: str, right: Column, tie: str, cuts: int = 20) -> DataFrame:
-    """Coverage and risk of the most confident predictions (E7), ties by ``tie``.
+    """Coverage and risk of the most confident predictions (E7), ties by ``tie``, of equal ties the right ones first.
 
-    Ranks come from counts by confidence, so only predictions that share one are sorted together.
+    The confidence that holds each point's rank is found from running counts by confidence;
+    only its rows are then counted by tie, both in blocks.
     """
-    per = df.groupBy(confidence).agg(F.count(F.lit(1)).alias("k"))
-    first = per.withColumn("before", F.sum("k").over(Window.orderBy(F.desc(confidence))) - F.col("k")).select(F.col(confidence).alias("__c"), "before")
-    wrong = (~right).cast("long")
-    ranked = df.withColumn("__wrong", wrong).join(first, F.col(confidence) == F.col("__c"))
-    within = Window.partitionBy(confidence).orderBy(tie)
-    ranked = ranked.withColumns({"rank": F.col("before") + F.row_number().over(within), "__own": F.sum("__wrong").over(within)})
-    errors = df.withColumn("__wrong", wrong).groupBy(confidence).agg(F.sum("__wrong").alias("e"))
-    errors = errors.withColumn("earlier", F.sum("e").over(Window.orderBy(F.desc(confidence))) - F.col("e")).select(F.col(confidence).alias("__d"), "earlier")
-    ranked = ranked.join(errors, F.col(confidence) == F.col("__d"))
-    n = df.agg(F.count(F.lit(1)).alias("n"))
-    points = n.select("n", F.explode(F.transform(F.sequence(F.lit(0), F.lit(cuts - 1)), lambda i: F.floor(1 + (F.col("n") - 1) * i / (cuts - 1)))).alias("rank")).distinct()
-    return points.join(ranked.select("rank", "__own", "earlier"), "rank").select((F.col("rank") / F.col("n")).alias("coverage"), ((F.col("__own") + F.col("earlier")) / F.col("rank")).alias("risk"))
+    rows = df.select(F.col(confidence).alias("c"), F.col(tie).alias("t"), (~right).cast("long").alias("e"))
+    per = running_counts(rows.groupBy("c").agg(F.count(F.lit(1)).alias("k"), F.sum("e").alias("e")), [], "c", ["k", "e"])
+    n = F.col("k_all")
+    ranks = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(cuts - 1)), lambda i: F.floor(1 + (n - 1) * i / (cuts - 1)).cast("long")))
+    before = F.col("k_upto") - F.col("k")
+    points = per.select("c", n.alias("n"), (F.col("e_upto") - F.col("e")).alias("earlier"), before.alias("before"), F.explode(F.filter(ranks, lambda r: (r > before) & (r <= F.col("k_upto")))).alias("rank"))  # a row a cut
+    tied = rows.join(F.broadcast(points.select("c").distinct()), "c").groupBy("c", "t").agg(F.count(F.lit(1)).alias("k"), F.sum("e").alias("e"))
+    tied = carried(in_blocks(tied, ["c"], "t"), ["c"], {"__k": F.sum("k"), "__e": F.sum("e")}, {"k0": F.sum("__k"), "e0": F.sum("__e")})
+    run = within(["c"], ["t"])
+    tied = tied.select("c", "k", "e", (F.coalesce("k0", F.lit(0)) + F.sum("k").over(run)).alias("upto"), (F.coalesce("e0", F.lit(0)) + F.sum("e").over(run)).alias("wrong"))
+    own = F.col("rank") - F.col("before")
+    held = tied.join(F.broadcast(points), "c").where((own <= F.col("upto")) & (own > F.col("upto") - F.col("k")))
+    wrong = F.col("earlier") + F.col("wrong") - F.least("e", F.col("upto") - own)
+    return held.select((F.col("rank") / F.col("n")).alias("coverage"), (wrong / F.col("rank")).alias("risk"))
 
 
 def recall_at_far(df: DataFrame, hit: Column, score: Column, budgets: list[float]) -> DataFrame:
@@ -122,17 +135,33 @@ def recall_at_far(df: DataFrame, hit: Column, score: Column, budgets: list[float
     return best.select(F.inline(F.array(*rows)))
 
 
+def stirling_error(x: Column) -> Column:
+    """What Stirling's formula of ln(x!) lacks, for whole x > 0: exact ones of small x, else five terms of the series."""
+    small = [math.lgamma(i + 1) - (i + 0.5) * math.log(i) + i - 0.5 * math.log(2 * math.pi) for i in range(1, 16)]
+    y = x.cast("double")
+    series = (1 / 12 - (1 / 360 - (1 / 1260 - (1 / 1680 - 1 / 1188 / y / y) / y / y) / y / y) / y / y) / y
+    return F.when(x < 16, F.get(F.array(*map(F.lit, small)), (x - 1).cast("int"))).otherwise(series)
+
+
 def binomial_tail(n: Column, k: Column) -> Column:
-    """The sum of C(n, i) / 2^n for i from 0 to k, by a running logarithm; linear in k."""
-    at = lambda l: F.exp(l - n * F.ln(F.lit(2.0)))
-    start = F.struct(F.lit(0.0).alias("l"), at(F.lit(0.0)).alias("p"))
+    """P(X <= k) of n fair coins, for k <= n / 2.
+
+    The largest term, by Stirling's formula and its error, times the sum of the others'
+    ratios to it; beyond 8 sqrt(n) of them they are below a double's precision.
+    """
+    d = (n - 2 * k) / n
+    bent = n / 2 * ((1 + d) * F.log1p(d) + (1 - d) * F.log1p(-d))
+    logarithm = stirling_error(n) - stirling_error(k) - stirling_error(n - k) - bent + F.ln(n / (2 * math.pi * k * (n - k))) / 2
+    top = F.when(k == 0, F.exp(-n * math.log(2))).otherwise(F.exp(logarithm))
+    terms = F.least(k, (8 * F.sqrt(n) + 64).cast("long"))
+    ks = F.when(terms > 0, F.sequence(F.lit(1).cast("long"), terms)).otherwise(F.array().cast("array<bigint>"))
+    start = F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s"))
 
     def step(s: Column, i: Column) -> Column:
-        l = s["l"] + F.ln((n - i + 1).cast("double")) - F.ln(i.cast("double"))
-        return F.struct(l.alias("l"), (s["p"] + at(l)).alias("p"))
+        t = s["t"] * (k - i + 1) / (n - k + i)
+        return F.struct(t.alias("t"), (s["s"] + t).alias("s"))
 
-    ks = F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>"))
-    return F.aggregate(ks, start, step, lambda s: s["p"])
+    return top * F.aggregate(ks, start, step, lambda s: s["s"])
 
 
 def mcnemar(df: DataFrame, true: str, a: str, b: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 Every function takes the key columns of a machine and the columns that order its rows, adds
 columns and keeps the rows. All windows of a chain share one partitioning and one order, so
-a plan has one exchange and one sort. A column for a parameter may come from a joined table.
+a plan has one exchange and one sort; ``blocks`` spreads the rows of one machine over tasks
+instead (``scans``), with the same results. A column for a parameter may come from a joined
+table.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from math import ceil, log
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import BLOCKS, Scan, last_value, meet
+
 Names = Sequence[str]
 HOLD = -1
 
@@ -82,58 +86,74 @@ def run_thresholds(modes: DataFrame, share: float = 0.25, least: float = 0.5) ->
     return out.withColumns({"on": F.when(ok, t + band), "off": F.when(ok, t - band)})
 
 
-def run_state(df: DataFrame, key: Names, order: Names, load: str, on: Column | float, off: Column | float, dwell: Column | int = 2, out: str = "state") -> DataFrame:
+def run_state(df: DataFrame, key: Names, order: Names, load: str, on: Column | float, off: Column | float, dwell: Column | int = 2, out: str = "state", blocks: int = 0) -> DataFrame:
     """off, running or unknown with hysteresis and dwell.
 
     A state is taken after ``dwell`` readings in a row that ask for it; readings between the
-    levels hold and start the count again, unknown ones leave it as it is.
+    levels hold and start the count again, unknown ones leave it as it is. With ``blocks`` a
+    machine's rows are spread over that many tasks.
     """
-    x = finite(F.col(load))
+    x, scan = finite(F.col(load)), Scan(key, order, blocks)
     lit = lambda v: v if isinstance(v, Column) else F.lit(v)
     asks = F.when(x >= lit(on), 1).when(x <= lit(off), 0).when(x.isNotNull(), HOLD)
-    before = _order(key, order).rowsBetween(Window.unboundedPreceding, -1)
-    df = df.withColumn("__asks", asks)
-    df = df.withColumn("__last", F.last("__asks", True).over(before))
-    df = df.withColumn("__turn", (F.col("__asks").isNotNull() & (F.col("__last").isNull() | (F.col("__asks") != F.col("__last")))).cast("int"))
-    df = df.withColumn("__run", F.sum("__turn").over(_so_far(key, order)))
-    within = Window.partitionBy(*key, "__run").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("__length", F.count("__asks").over(within))
-    taken = F.when((F.col("__asks") != HOLD) & (F.col("__length") >= lit(dwell)), F.col("__asks"))
-    held = F.coalesce(F.last(taken, True).over(_so_far(key, order)), F.lit(0))
-    df = df.withColumn("__held", held)
+    df = scan.begin(df.withColumn("__asks", asks))
+    df = scan.fold(df, "__last", "last", F.col("__asks"), before=True)
+    df = scan.fold(df, "__n", "sum", F.col("__asks").isNotNull().cast("long"))
+    turn = F.col("__asks").isNotNull() & (F.col("__last").isNull() | (F.col("__asks") != F.col("__last")))
+    df = scan.fold(df, "__from", "max", F.when(turn, F.col("__n")))
+    taken = F.when((F.col("__asks") != HOLD) & (F.col("__n") - F.col("__from") + 1 >= lit(dwell)), F.col("__asks"))
+    df = scan.fold(df, "__held", "last", taken)
     state = F.when(F.col("__asks").isNull(), "unknown").when(F.col("__held") == 1, "running").otherwise("off")
-    return df.withColumn(out, state).drop("__asks", "__last", "__turn", "__run", "__length", "__held")
+    return scan.end(df.withColumn(out, state), "__asks", "__last", "__n", "__from", "__held")
 
 
-def cusum(df: DataFrame, key: Names, order: Names, x: Column, mu: Column | float, sigma: Column | float, k: float = 0.5, h: float = 5.0, two_sided: bool = False) -> DataFrame:
+def cusum(df: DataFrame, key: Names, order: Names, x: Column, mu: Column | float, sigma: Column | float, k: float = 0.5, h: float = 5.0, two_sided: bool = False, blocks: int = 0) -> DataFrame:
     """Cumulative sums that never fall below zero (W6): s_neg, s_pos, score and hit.
 
-    The recursion max(0, s + step) is the prefix sum less its running minimum or zero.
+    The recursion max(0, s + step) is the prefix sum less its running minimum or zero; with
+    ``blocks`` both are carried over blocks of a machine's rows.
     """
-    z = (x - mu) / (sigma + F.lit(1e-12))
-    run = _so_far(key, order)
+    scan = Scan(key, order, blocks)
 
     def sums(df: DataFrame, step: Column, out: str) -> DataFrame:
-        df = df.withColumn("__c", F.sum(step).over(run))
-        return df.withColumn(out, F.col("__c") - F.least(F.lit(0.0), F.min("__c").over(run))).drop("__c")
+        df = scan.fold(df, "__sum", "sum", step)
+        df = scan.fold(df, "__low", "min", F.col("__sum"))
+        return df.withColumn(out, F.col("__sum") - F.least(F.lit(0.0), "__low")).drop("__sum", "__low")
 
-    df = sums(df.withColumn("__z", z), -F.col("__z") - k, "s_neg")
+    df = scan.begin(df.withColumn("__z", (x - mu) / (sigma + F.lit(1e-12))))
+    df = sums(df, -F.col("__z") - k, "s_neg")
     df = sums(df, F.col("__z") - k, "s_pos") if two_sided else df.withColumn("s_pos", F.lit(0.0))
     score = F.greatest("s_neg", "s_pos")
-    return df.withColumn("score", score).withColumn("hit", score >= h).drop("__z")
+    return scan.end(df.withColumn("score", score).withColumn("hit", score >= h), "__z")
 
 
-def ewma(df: DataFrame, key: Names, order: Names, x: str, mu: Column | float, weight: float = 0.2, out: str = "z") -> DataFrame:
-    """Exponentially weighted mean that starts at mu.
+def ewma(df: DataFrame, key: Names, order: Names, x: str, mu: Column | float, weight: float = 0.2, out: str = "z", blocks: int = 0) -> DataFrame:
+    """Exponentially weighted mean that starts at mu (W7); rows without a value keep the mean.
 
-    A reading's weight falls below a double's precision after a fixed number of rows, so a
-    frame of that many gives the recursion's value and no series is gathered whole.
+    A key's values are cut into stretches within which the weights stay within a double's
+    precision, so that a stretch's mean is a running sum. It starts from the means of the few
+    stretches before it, beyond which weights fall below precision. ``mu`` is one a key.
     """
-    reach = ceil(log(1e-19) / log(1 - weight))
-    frame = _order(key, order).rowsBetween(-reach, 0)
-    seen = F.collect_list(F.col(x).cast("double")).over(frame)
-    start = mu if isinstance(mu, Column) else F.lit(float(mu))
-    return df.withColumn("__seen", seen).withColumn(out, F.aggregate("__seen", start.cast("double"), lambda z, v: v * weight + z * (1 - weight))).drop("__seen")
+    keep = 1 - weight
+    size = max(1, int(log(1e6) / -log(keep))) if weight < 1 else 1
+    reach = ceil(log(1e-19) / log(keep) / size) + 1 if weight < 1 else 0
+    scan = Scan(key, order, blocks)
+    df = df.withColumns({"__v": F.col(x).cast("double"), "__mu": (mu if isinstance(mu, Column) else F.lit(float(mu))).cast("double")})
+    df = scan.end(scan.fold(scan.begin(df), "__n", "sum", F.col("__v").isNotNull().cast("long")))
+    df = df.withColumn("__stretch", F.greatest(F.lit(0), F.floor((F.col("__n") - 1) / size)).cast("long"))
+    df = df.withColumn("__r", F.col("__n") - F.col("__stretch") * size)
+    power = lambda e: F.pow(F.lit(keep), e) if weight < 1 else F.when(e == 0, 1.0).otherwise(0.0)
+    per = df.groupBy(*key, "__stretch").agg(F.sum(F.col("__v") * weight * power(size - F.col("__r"))).alias("__own"))
+    ago = Window.partitionBy(*(key or [F.lit(0)])).orderBy("__stretch")
+    earlier = sum((F.coalesce(F.lag("__own", i).over(ago), F.lit(0.0)) * keep ** (size * (i - 1)) for i in range(1, reach + 1)), F.lit(0.0))
+    df = meet(df, per.select(*key, "__stretch", earlier.alias("__earlier")), [*key, "__stretch"])
+    if weight < 1:
+        run = Window.partitionBy(*key, "__stretch").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        own = F.coalesce(F.sum(F.col("__v") * weight * power(-F.col("__r"))).over(run), F.lit(0.0)) * power(F.col("__r"))
+        z = own + F.col("__earlier") * power(F.col("__r")) + F.col("__mu") * power(F.col("__n"))
+    else:
+        z = F.coalesce(F.last("__v", True).over(_so_far(key, order)), "__mu")
+    return df.withColumn(out, z).drop("__v", "__mu", "__n", "__stretch", "__r", "__earlier")
 
 
 def ewma_score(z: Column, mu: Column, sigma: Column, weight: float = 0.2) -> Column:
@@ -141,19 +161,19 @@ def ewma_score(z: Column, mu: Column, sigma: Column, weight: float = 0.2) -> Col
     return F.abs(z - mu) / (sigma * (weight / (2 - weight)) ** 0.5)
 
 
-def runs(df: DataFrame, key: Names, order: Names, flag: Column, out: str = "run_length") -> DataFrame:
-    """How many rows in a row the flag has held, this one included."""
-    df = df.withColumn("__flag", F.coalesce(flag, F.lit(False)).cast("int"))
-    df = df.withColumn("__gap", F.sum(1 - F.col("__flag")).over(_so_far(key, order)))
-    within = Window.partitionBy(*key, "__gap").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(out, F.sum("__flag").over(within)).drop("__flag", "__gap")
+def runs(df: DataFrame, key: Names, order: Names, flag: Column, out: str = "run_length", blocks: int = 0) -> DataFrame:
+    """How many rows in a row the flag has held, this one included: the row's number less that of the last row without it."""
+    scan = Scan(key, order, blocks)
+    df = scan.fold(scan.begin(df.withColumn("__flag", F.coalesce(flag, F.lit(False)))), "__n", "sum", F.lit(1))
+    df = scan.fold(df, "__gap", "max", F.when(~F.col("__flag"), F.col("__n")))
+    return scan.end(df.withColumn(out, F.col("__n") - F.coalesce("__gap", F.lit(0))), "__flag", "__n", "__gap")
 
 
-def trips(df: DataFrame, key: Names, order: Names, current: str, mu: Column | float, sigma: Column | float, k: float = 0.5, h: float = 5.0, floor: Column | float = 0.6, persist: int = 2, both: bool = True) -> DataFrame:
+def trips(df: DataFrame, key: Names, order: Names, current: str, mu: Column | float, sigma: Column | float, k: float = 0.5, h: float = 5.0, floor: Column | float = 0.6, persist: int = 2, both: bool = True, blocks: int = 0) -> DataFrame:
     """Dry-run trip (W12): hit and below the floor (or either), for ``persist`` rows; adds ``tripped``."""
-    out = cusum(df, key, order, F.col(current), mu, sigma, k, h)
+    out = cusum(df, key, order, F.col(current), mu, sigma, k, h, blocks=blocks)
     low = F.col(current) < floor
-    out = runs(out, key, order, (F.col("hit") & low) if both else (F.col("hit") | low))
+    out = runs(out, key, order, (F.col("hit") & low) if both else (F.col("hit") | low), blocks=blocks)
     return out.withColumn("tripped", F.col("run_length") >= persist)
 
 
@@ -211,31 +231,49 @@ def kth_largest(df: DataFrame, key: Names, order: Names, score: str, k: int, n:
     return df.withColumn(out, F.coalesce(best, F.lit(float("-inf"))))
 
 
-def rearmed_alarms(df: DataFrame, key: Names, order: Names, flag: str, k: int, n: int) -> DataFrame:
-    """Alarms of a k-of-the-last-n rule that forgets on firing (W16), one row a key.
+CHUNK = 4096  # of rows, or of tables, that are folded in one row
+
 
-    The rule is a renewal process without a closed form; a key's flags are folded in order.
+def rearmed_alarms(df: DataFrame, key: Names, order: Names, flag: str, k: int, n: int, blocks: int = BLOCKS) -> DataFrame:
+    """Alarms of a k-of-the-last-n rule that forgets on firing (W16), one row a key; a null flag is none.
+
+    The rule can only fire at a row with the flag, if the k-th flag before it is less than n
+    rows away and not used up by the last alarm. So among a key's flags the state is how many
+    of the next ones can't be first of an alarm's k, and a stretch of flags is a table from each
+    of the k states to the state after it and its alarms. Tables of bounded stretches are made
+    in parallel and composed.
     """
-    rows = df.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(*order, F.col(flag).cast("int").alias("__f")))).alias("s"))
+    scan, one = Scan(key, order, blocks), F.coalesce(F.col(flag).cast("int"), F.lit(0))
+    df = scan.fold(scan.begin(df.withColumn("__f", one)), "__n", "sum", F.lit(1))
+    rows = scan.end(scan.fold(df, "__i", "sum", F.col("__f"))).where("__f = 1").select(*key, F.col("__i").cast("long").alias("__i"), F.col("__n").alias("__at"))
+    last = rows.select(*key, (F.col("__i") - (k - 1)).alias("__i"), F.col("__at").alias("__end"))
+    first = meet(rows, last, [*key, "__i"]).withColumn("__ok", F.coalesce(F.col("__end") - F.col("__at") < n, F.lit(False)))
+
+    def over(table: Column, ok: Column) -> Column:  # one more flag: (blocked, alarms) of each starting state
+        return F.transform(table, lambda s: F.struct(F.when(s["b"] > 0, s["b"] - 1).when(ok, k - 1).otherwise(0).alias("b"), (s["a"] + ((s["b"] == 0) & ok).cast("long")).alias("a")))
 
-    def step(state: Column, x: Column) -> Column:
-        last = F.slice(F.concat(F.array(x["__f"]), state["buffer"]), 1, n)
-        fires = F.aggregate(last, F.lit(0), lambda a, b: a + b) >= k
-        return F.struct((state["alarms"] + fires.cast("int")).alias("alarms"), F.when(fires, F.array().cast("array<int>")).otherwise(last).alias("buffer"))
+    def after(table: Column, then: Column) -> Column:
+        return F.transform(table, lambda s: F.struct(F.get(then, s["b"])["b"].alias("b"), (s["a"] + F.get(then, s["b"])["a"]).alias("a")))
 
-    start = F.struct(F.lit(0).alias("alarms"), F.array().cast("array<int>").alias("buffer"))
-    return rows.select(*key, F.aggregate("s", start, step, lambda s: s["alarms"]).alias("alarms"))
+    same = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(0).cast("long").alias("a")) for b in range(k)])
+    in_order = lambda column: F.transform(F.sort_array(F.collect_list(F.struct("__i", column))), lambda x: x[column])
+    chunk = F.floor(F.col("__i") / CHUNK).alias("__i")
+    tables = first.groupBy(*key, chunk).agg(F.aggregate(in_order("__ok"), same, over).alias("__t"))
+    tables = tables.groupBy(*key, chunk).agg(F.aggregate(in_order("__t"), same, after).alias("__t"))
+    total = tables.groupBy(*key).agg(F.aggregate(in_order("__t"), same, after, lambda t: F.get(t, F.lit(0))["a"]).alias("__alarms"))
+    return meet(df.select(*key).distinct(), total, key).select(*key, F.coalesce("__alarms", F.lit(0)).cast("int").alias("alarms"))
 
 
 def as_of(grid: DataFrame, samples: DataFrame, key: Names, at: str, value: str) -> DataFrame:
-    """The latest sample at or before each grid time, else the first sample.
+    """The latest sample at or before each grid time, else the first sample (J4); of samples of one time the largest.
 
-    Both are unioned and sorted once; samples stand before grid rows of the same time.
+    Both are unioned and scanned once, in blocks of time: a grid row takes the last sample of
+    its block up to it, or else that of the earlier blocks. A key without samples gives null.
     """
-    both = grid.select(*key, at, F.lit(1).alias("__grid"), F.lit(None).cast("double").alias(value)).unionByName(samples.select(*key, at, F.lit(0).alias("__grid"), F.col(value).cast("double")))
-    run = Window.partitionBy(*key).orderBy(at, "__grid")
-    upto, after = run.rowsBetween(Window.unboundedPreceding, 0), run.rowsBetween(0, Window.unboundedFollowing)
-    return both.withColumn(value, F.coalesce(F.last(value, True).over(upto), F.first(value, True).over(after))).where("__grid = 1").drop("__grid")
+    both = grid.select(*key, at, F.lit(1).alias("__grid"), F.lit(None).cast("double").alias("__v")).unionByName(samples.select(*key, at, F.lit(0).alias("__grid"), F.col(value).cast("double").alias("__v")))
+    out = last_value(both, key, [at, "__grid", "__v"], "__v", value).where("__grid = 1").drop("__grid", "__v")
+    first = samples.where(F.col(value).isNotNull()).groupBy(*key).agg(F.min(F.struct(F.col(at).alias("at"), (-F.col(value).cast("double")).alias("v"))).alias("__first"))
+    return meet(out, first, key).withColumn(value, F.coalesce(value, -F.col("__first.v"))).drop("__first")
 
 
 def moving_rms(df: DataFrame, key: Names, order: Names, x: str, n: int, out: str = "rms") -> DataFrame:
