@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TINY = 1e-30
+LEAST_CURRENT = 1e-12
 
 
 def total(x: Column, f=lambda v: v) -> Column:
@@ -83,18 +84,22 @@ def velocity_rms(spectrum: Column, step: float, n: int, fs: float, lo: float = 1
 
 
 def current_trajectory(df: DataFrame, x: str, rated: float | None = None) -> DataFrame:
-    """Struct ``current`` of a trajectory's quarters, drop, slope and spread (A7); null for fewer than 4 values."""
+    """Struct ``current`` of how a current changes over a window (A7); null for fewer than 4 values.
+
+    The first quarter is floor(n / 4) values, the last one rounded up. Tail, change by the
+    fitted line over the window and minimum are relative to the head's absolute value.
+    """
     w, n = F.col(x), F.size(F.col(x))
-    q = F.greatest(F.lit(1), F.floor(n / 4)).cast("int")
-    df = df.withColumns({"__head": mean(F.slice(w, F.lit(1), q)), "__tail": mean(F.slice(w, n - q + 1, q)), "__mean": mean(w)})
+    q, t = F.greatest(F.lit(1), F.floor(n / 4)).cast("int"), F.greatest(F.lit(1), F.ceil(n / 4)).cast("int")
+    df = df.withColumns({"__head": F.abs(mean(F.slice(w, F.lit(1), q))) + LEAST_CURRENT, "__tail": mean(F.slice(w, F.greatest(n - t + 1, F.lit(1)), t)), "__mean": mean(w)})
     mid = (n - 1) / 2
     slope = F.aggregate(F.transform(w, lambda v, i: (i - mid) * v.cast("double")), F.lit(0.0), lambda a, v: a + v) / F.aggregate(F.transform(w, lambda v, i: (i - mid) * (i - mid)), F.lit(0.0), lambda a, v: a + v)
     head, low = F.col("__head"), F.array_min(w).cast("double")
-    fields = {"head": head, "tail": F.col("__tail"), "drop": (head - F.col("__tail")) / (head + 1e-12), "slope": slope * n / (head + 1e-12),
-              "cv": F.sqrt(mean(w, lambda v: (v - F.col("__mean")) * (v - F.col("__mean")))) / (F.col("__mean") + 1e-12), "min_ratio": low / (head + 1e-12)}
-    if rated is not None:
+    spread = F.sqrt(mean(w, lambda v: (v - F.col("__mean")) * (v - F.col("__mean"))))
+    fields = {"drop_ratio": F.col("__tail") / head, "slope": slope * n / head, "cv": spread / (mean(w, lambda v: F.abs(v.cast("double"))) + LEAST_CURRENT), "min_ratio": low / head}
+    if rated is not None and rated > 0:
         fields["min_vs_rated"] = low / rated
-    return df.withColumn("current", F.when(n >= 4, F.struct(*[c.alias(k) for k, c in fields.items()]))).drop("__head", "__tail", "__mean")
+    return df.withColumn("current", F.when(n >= 4, F.struct(*[c.alias(f"current_traj_{k}") for k, c in fields.items()]))).drop("__head", "__tail", "__mean")
 
 
 def shaft_peak(df: DataFrame, spectrum: str, step: float, lo: float = 10.0, hi: float = 60.0) -> DataFrame:
@@ -123,10 +128,10 @@ def order_features(df: DataFrame, spectrum: str, step: float, width: float = 0.0
     band = lambda lo, hi: band_power(F.transform(s, lambda v: v.cast("double")), lo, hi, step)
     one = top(1.0) + TINY
     share = lambda v: v.cast("double") / t
-    fields = {"level": F.sqrt(total(s, lambda v: v * v))} | {f"order_{str(o).replace('.', 'p')}x": top(o) / t for o in ORDERS} | {f"band_{k}": band(*v) / t for k, v in bands.items()}
+    fields = {"overall_level_mm_s": F.sqrt(total(s, lambda v: v * v))} | {f"order_{str(o).replace('.', 'p')}x": top(o) / t for o in ORDERS} | {f"band_{k}": band(*v) / t for k, v in bands.items()}
     fields |= {"ratio_2x_1x": top(2.0) / one, "ratio_sub_1x": band(0.05, 0.9) / one,
-               "centroid": F.aggregate(F.transform(s, lambda v, i: share(v) * (i * step)), F.lit(0.0), lambda a, v: a + v),
-               "entropy": -F.aggregate(F.transform(s, lambda v: share(v) * F.ln(share(v) + TINY)), F.lit(0.0), lambda a, v: a + v)}
+               "spectral_centroid_order": F.aggregate(F.transform(s, lambda v, i: share(v) * (i * step)), F.lit(0.0), lambda a, v: a + v),
+               "spectral_entropy": -F.aggregate(F.transform(s, lambda v: share(v) * F.ln(share(v) + TINY)), F.lit(0.0), lambda a, v: a + v)}
     return df.withColumn("orders", F.struct(*[c.alias(k) for k, c in fields.items()])).drop("__t")
 
 

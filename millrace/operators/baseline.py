@@ -97,6 +97,26 @@ def fit(df: DataFrame, key: list[str], features: list[str], alpha: float = 0.01,
     return out.withColumn("threshold", F.lit(chi2_quantile(1 - alpha, p))).drop("cov")
 
 
+def fit_subsets(df: DataFrame, key: list[str], features: list[str], subsets: list[tuple[int, ...]], least_per_feature: int = 10) -> DataFrame:
+    """mu and, for each subset of features, the inverse Cholesky factor of its part of one covariance; null where rows are too few for it."""
+    p = len(features)
+    pairs = [(i, j) for i in range(p) for j in range(i + 1)]
+    sums = df.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.array(*[F.avg(f) for f in features]).alias("mu"), F.array(*[F.covar_samp(features[i], features[j]) for i, j in pairs]).alias("cov"))
+
+    @F.pandas_udf("array<array<array<double>>>")
+    def factors(n: pd.Series, cov: pd.Series) -> pd.Series:
+        def all_of(k, c):
+            m = np.zeros((p, p))
+            for (i, j), v in zip(pairs, np.asarray(c, float), strict=True):
+                m[i, j] = m[j, i] = v
+            parts = [(k >= least_per_feature * len(s), m[np.ix_(s, s)]) for s in subsets]
+            return [np.linalg.inv(np.linalg.cholesky(q + RIDGE * np.eye(len(q)))).tolist() if enough and not np.isnan(q).any() else None for enough, q in parts]
+
+        return pd.Series([all_of(k, c) for k, c in zip(n, cov, strict=True)], dtype=object)
+
+    return sums.select(*key, "mu", factors("n", "cov").alias("factors"))
+
+
 def distance(features: list[str], mu: Column, factor: Column) -> Column:
     """Squared Mahalanobis distance: the length of the factored difference."""
     d = F.zip_with(F.array(*[F.col(f).cast("double") for f in features]), mu, lambda a, b: a - b)

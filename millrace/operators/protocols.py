@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import baseline, splits
+from .scans import meet
 
 #: Features that a gate may use, by kind of data.
 GATE_SETS = {
@@ -60,34 +65,70 @@ def fault_score(proba: Column, classes: list[str], healthy: str = "healthy") ->
     return 1 - F.get(proba, F.lit(classes.index(healthy))) if healthy in classes else F.lit(1.0)
 
 
-def bootstrap(df: DataFrame, value: str, draws: int = 1000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
+#: Poisson(1) by inversion: how often a number from 0 to 1 exceeds these.
+POISSON_STEPS = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(8)])
+
+
+def draws_of(rows: np.ndarray, replicates: int, seed: int) -> np.ndarray:
+    """How often each replicate draws each row: a hash of both that any engine computes, taken as a number from 0 to 1."""
+    word = np.uint64(0xFFFFFFFF)
+    x = (rows.astype(np.int64).astype(np.uint64)[:, None] * np.uint64(2654435761) + np.arange(replicates, dtype=np.uint64) * np.uint64(40503) + np.uint64(seed)) & word
+    for shift, times in ((16, 2246822519), (13, 3266489917)):
+        x ^= x >> np.uint64(shift)
+        x = (x * np.uint64(times)) & word
+    x ^= x >> np.uint64(16)
+    return np.searchsorted(POISSON_STEPS, x.astype(np.float64) / 4294967296.0, side="left")
+
+
+def bootstrap(df: DataFrame, value: str, draws: int = 1000, alpha: float = 0.05, seed: int = 0, row: str | None = None) -> DataFrame:
     """Percentile interval of the mean (E13): each row is drawn Poisson(1) times in each replicate.
 
-    Weights are drawn where the rows lie; a replicate is two sums, so no sample is moved.
+    A task keeps two arrays of sums, a number a replicate, whatever its rows, and only these
+    meet. ``row`` is a whole number of each row, below 2^31, that makes reruns equal; without
+    one a row's place is taken. Rows without a value count for nothing.
     """
-    weights = F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda b: F.pmod(F.xxhash64(F.lit(seed), b, F.col("__k")), F.lit(1 << 30)) / float(1 << 30))
-    # Poisson(1) by inversion of its first terms
-    steps, p, total = [], 2.718281828459045**-1, 0.0
-    for k in range(1, 8):
-        total += p
-        steps.append(total)
-        p /= k
-    rows = df.select(F.col(value).cast("double").alias("v"), F.monotonically_increasing_id().alias("__k")).select("v", F.posexplode(weights).alias("b", "u"))
-    times = sum((F.when(F.col("u") > s, 1).otherwise(0) for s in steps), F.lit(0))
-    means = rows.withColumn("t", times).groupBy("b").agg((F.sum(F.col("v") * F.col("t")) / F.sum("t")).alias("m"))
+    rows = df.select(F.col(value).cast("double").alias("v"), (F.pmod(F.col(row).cast("long"), F.lit(1 << 31)) if row else F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 31))).alias("k"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, times = np.zeros(draws), np.zeros(draws, np.int64)
+        for batch in batches:
+            v, k = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for at in range(0, len(v), 1000):
+                w = draws_of(k[at : at + 1000], draws, seed)
+                sums += v[at : at + 1000] @ w
+                times += w.sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(draws), pa.int32()), pa.array(sums), pa.array(times)], ["b", "s", "t"])
+
+    parts = rows.where("v is not null and k is not null").mapInArrow(run, "b int, s double, t long")
+    means = parts.groupBy("b").agg((F.sum("s") / F.nullif(F.sum("t"), F.lit(0))).alias("m"))
     return means.agg(F.expr(f"percentile(m, {alpha / 2})").alias("low"), F.expr(f"percentile(m, {1 - alpha / 2})").alias("high"), F.avg("m").alias("mean"))
 
 
 def gate_ablation(df: DataFrame, key: list[str], features: list[str], label: str, healthy: str, row: str, least: int = 1) -> DataFrame:
-    """Mean and worst recall ceiling of every subset of features (E18); subsets are few, each a distributed fit."""
-    parts, out = baseline.half_for_baseline(df, key, label, healthy, row), None
-    for k in range(least, len(features) + 1):
-        for subset in combinations(features, k):
-            base = baseline.fit(parts.where("role = 'fit'"), key, list(subset))
-            hit = baseline.scored(parts.where("role = 'evaluate'"), base, key, list(subset)).withColumn("escalate", F.col("hit"))
-            one = baseline.summary(baseline.gate_rates(hit, key, label, healthy)).select(F.lit(k).alias("size"), F.lit(",".join(subset)).alias("features"), "mean_ceiling", "worst_ceiling", "field")
-            out = one if out is None else out.unionByName(one)
-    return out
+    """Mean and worst recall ceiling of every subset of features.
+
+    One scan fits the means and the covariance of all features for each machine; a subset's
+    inverse factor comes from its part of that covariance, so that each row is scored by all
+    subsets where it lies. Subsets are at most 2^p - 1 of few features.
+    """
+    subsets = [s for k in range(least, len(features) + 1) for s in combinations(range(len(features)), k)]
+    parts = baseline.half_for_baseline(df, key, label, healthy, row)
+    fits = baseline.fit_subsets(parts.where("role = 'fit'"), key, features, subsets)
+    rows = meet(parts.where("role = 'evaluate'"), fits, key)
+    well = (F.col(label) == healthy).alias("well")
+    hits = []
+    for i, s in enumerate(subsets):
+        names = [features[j] for j in s]
+        mu = F.array(*[F.get("mu", F.lit(j)) for j in s])
+        factor = F.get("factors", F.lit(i))
+        far = baseline.distance(names, mu, factor) > baseline.chi2_quantile(0.99, len(s))
+        hits.append(F.struct(F.lit(len(s)).alias("size"), F.lit(",".join(names)).alias("features"), F.when(factor.isNotNull(), far).alias("escalate")))
+    out = rows.select(*key, well, F.inline(F.array(*hits)))
+    hit = F.col("escalate").cast("double")
+    rates = out.groupBy("size", "features", *key).agg(F.avg(F.when(F.col("well"), hit)).alias("healthy_rate"), F.avg(F.when(~F.col("well"), hit)).alias("fault_rate"), F.count(F.when(~F.col("well"), 1)).alias("n_faults"))
+    field = F.coalesce("healthy_rate", F.lit(0.0)) * 0.99 + F.coalesce("fault_rate", F.lit(0.0)) * 0.01
+    ceiling = F.when(F.col("n_faults") > 0, F.col("fault_rate"))
+    return rates.groupBy("size", "features").agg(F.avg(ceiling).alias("mean_ceiling"), F.min(ceiling).alias("worst_ceiling"), F.avg(field).alias("field"))
 
 
 def markdown(df: DataFrame, most: int = 1000) -> str:

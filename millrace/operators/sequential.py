@@ -131,29 +131,29 @@ def ewma(df: DataFrame, key: Names, order: Names, x: str, mu: Column | float, we
     """Exponentially weighted mean that starts at mu (W7); rows without a value keep the mean.
 
     A key's values are cut into stretches within which the weights stay within a double's
-    precision, so that a stretch's mean is a running sum. It starts from the means of the few
-    stretches before it, beyond which weights fall below precision. ``mu`` is one a key.
+    precision, so that a stretch's mean is a running sum. What the few stretches before it
+    add, beyond which weights fall below precision, is handed on from each one's last value
+    to the next, once for every one of them. ``mu`` is one a key.
     """
     keep = 1 - weight
     size = max(1, int(log(1e6) / -log(keep))) if weight < 1 else 1
     reach = ceil(log(1e-19) / log(keep) / size) + 1 if weight < 1 else 0
-    scan = Scan(key, order, blocks)
+    scan, power = Scan(key, order, blocks), lambda e: F.pow(F.lit(keep), e)
     df = df.withColumns({"__v": F.col(x).cast("double"), "__mu": (mu if isinstance(mu, Column) else F.lit(float(mu))).cast("double")})
-    df = scan.end(scan.fold(scan.begin(df), "__n", "sum", F.col("__v").isNotNull().cast("long")))
-    df = df.withColumn("__stretch", F.greatest(F.lit(0), F.floor((F.col("__n") - 1) / size)).cast("long"))
+    df = scan.begin(df)
+    if weight >= 1:
+        return scan.end(scan.fold(df, "__z", "last", F.col("__v")).withColumn(out, F.coalesce("__z", "__mu")), "__v", "__mu", "__z")
+    df = scan.fold(df, "__n", "sum", F.col("__v").isNotNull().cast("long"))
+    df = df.withColumn("__stretch", F.floor((F.col("__n") - F.col("__v").isNotNull().cast("int")) / size).cast("long"))  # rows without a value after a stretch's last are in the next
     df = df.withColumn("__r", F.col("__n") - F.col("__stretch") * size)
-    power = lambda e: F.pow(F.lit(keep), e) if weight < 1 else F.when(e == 0, 1.0).otherwise(0.0)
-    per = df.groupBy(*key, "__stretch").agg(F.sum(F.col("__v") * weight * power(size - F.col("__r"))).alias("__own"))
-    ago = Window.partitionBy(*(key or [F.lit(0)])).orderBy("__stretch")
-    earlier = sum((F.coalesce(F.lag("__own", i).over(ago), F.lit(0.0)) * keep ** (size * (i - 1)) for i in range(1, reach + 1)), F.lit(0.0))
-    df = meet(df, per.select(*key, "__stretch", earlier.alias("__earlier")), [*key, "__stretch"])
-    if weight < 1:
-        run = Window.partitionBy(*key, "__stretch").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        own = F.coalesce(F.sum(F.col("__v") * weight * power(-F.col("__r"))).over(run), F.lit(0.0)) * power(F.col("__r"))
-        z = own + F.col("__earlier") * power(F.col("__r")) + F.col("__mu") * power(F.col("__n"))
-    else:
-        z = F.coalesce(F.last("__v", True).over(_so_far(key, order)), "__mu")
-    return df.withColumn(out, z).drop("__v", "__mu", "__n", "__stretch", "__r", "__earlier")
+    run = Window.partitionBy(*key, "__stretch").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("__own", F.coalesce(F.sum(F.col("__v") * weight * power(-F.col("__r"))).over(run), F.lit(0.0)) * power(F.col("__r")))
+    df = df.withColumn("__earlier", F.lit(0.0))
+    for _ in range(reach):
+        handed = F.when(F.col("__r") == size, F.col("__own") + keep**size * F.col("__earlier"))
+        df = scan.fold(df, "__next", "last", handed, before=True).withColumn("__earlier", F.coalesce("__next", F.lit(0.0))).drop("__next")
+    z = F.col("__own") + F.col("__earlier") * power(F.col("__r")) + F.col("__mu") * power(F.col("__n"))
+    return scan.end(df.withColumn(out, z), "__v", "__mu", "__n", "__stretch", "__r", "__own", "__earlier")
 
 
 def ewma_score(z: Column, mu: Column, sigma: Column, weight: float = 0.2) -> Column:

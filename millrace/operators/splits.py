@@ -54,10 +54,97 @@ def group_folds(df: DataFrame, group: str, seed: int = 0, most: int = 10) -> Dat
 
 
 def fold_roles(df: DataFrame, folds: DataFrame, group: str) -> DataFrame:
-    """A row for each fold and row of df, with its role; one join and no loop over folds."""
+    """A row for each fold and row of df, with its role; one join and no loop over folds.
+
+    That is rows times folds. What only needs counts or moments of training rows takes
+    ``fold_counts``, ``fold_coverage`` and ``normalised_folds``, which subtract a fold's own from the whole.
+    """
     own = df.join(folds.select(F.col("group").alias("__group"), F.col("fold").alias("__own")), F.col(group) == F.col("__group")).drop("__group")
     every = folds.select("fold").distinct()
-    return own.crossJoin(F.broadcast(every)).withColumn("role", F.when(F.col("__own") == F.col("fold"), "test").otherwise("train")).drop("__own")  # folds are few by construction
+    return own.crossJoin(every).withColumn("role", F.when(F.col("__own") == F.col("fold"), "test").otherwise("train")).drop("__own")
+
+
+def with_fold(df: DataFrame, folds: DataFrame, group: str) -> DataFrame:
+    """df with __own, the fold that tests each row."""
+    return df.join(folds.select(F.col("group").alias("__group"), F.col("fold").alias("__own")), F.col(group) == F.col("__group")).drop("__group")
+
+
+def fold_counts(df: DataFrame, folds: DataFrame, group: str, label: str) -> DataFrame:
+    """(fold, label, test, train): rows of the labels that a fold tests, and how many of them are left to train on.
+
+    Training rows are all rows less the fold's own, so no row is repeated by fold.
+    """
+    own = with_fold(df, folds, group).groupBy(F.col("__own").alias("fold"), label).agg(F.count(F.lit(1)).alias("test"))
+    return own.withColumn("train", F.sum("test").over(Window.partitionBy(label)) - F.col("test"))
+
+
+def fold_coverage(df: DataFrame, folds: DataFrame, group: str, label: str, least: float = 0.10) -> DataFrame:
+    """``label_coverage`` of leave-groups-out folds (L5), from counts by fold and label."""
+    per, lost = fold_counts(df, folds, group, label), F.col("train") == 0
+    out = per.groupBy("fold").agg(F.sum("test").alias("n_test"), F.sum(F.when(lost, F.col("test")).otherwise(0)).alias("n_lost"), F.sort_array(F.collect_set(F.when(lost, F.col(label)))).alias("missing"))
+    return out.withColumn("share_lost", F.col("n_lost") / F.col("n_test")).withColumn("interpretable", F.col("share_lost") < least)
+
+
+def describe_group_folds(df: DataFrame, folds: DataFrame, group: str, label: str) -> DataFrame:
+    """``describe_folds`` of leave-groups-out folds (L6): rows, groups and classes of each fold's test and training rows, by subtraction."""
+    per = fold_counts(df, folds, group, label)
+    own = with_fold(df, folds, group).groupBy(F.col("__own").alias("fold")).agg(F.countDistinct(group).alias("n_machines"), F.count(F.lit(1)).alias("n"))
+    every = own.agg(F.sum("n_machines").alias("__m"), F.sum("n").alias("__n"))
+    labels = per.groupBy(label).agg(F.sum("test").alias("__all")).agg(F.sort_array(F.collect_list(label)).alias("__labels"))
+    classes = per.groupBy("fold").agg(F.sort_array(F.collect_list(label)).alias("classes"), F.collect_list(F.when(F.col("train") == 0, F.col(label))).alias("__gone"))
+    out = own.join(classes, "fold").crossJoin(F.broadcast(every)).crossJoin(F.broadcast(labels))  # one row each
+    test = F.struct(F.lit("test").alias("role"), F.col("n").alias("n"), F.col("n_machines").alias("n_machines"), F.col("classes").alias("classes"))
+    train = F.struct(F.lit("train").alias("role"), (F.col("__n") - F.col("n")).alias("n"), (F.col("__m") - F.col("n_machines")).alias("n_machines"), F.array_except("__labels", "__gone").alias("classes"))
+    return out.select("fold", F.inline(F.array(test, train))).where("n > 0")
+
+
+def moments(df: DataFrame, key: list[str], features: list[str]) -> DataFrame:
+    """Count, mean and sum of squared deviations of each feature (n, m and s), which can be added and subtracted."""
+    return df.groupBy(*key).agg(*[x for c in features for x in (F.count(c).cast("double").alias(f"n_{c}"), F.avg(c).alias(f"m_{c}"), (F.var_pop(c) * F.count(c)).alias(f"s_{c}"))])
+
+
+def less(n: Column, m: Column, s: Column, k: Column, a: Column, b: Column) -> tuple[Column, Column]:
+    """Mean and population deviation of what is left of n values (mean m, squares s) without k of them (mean a, squares b); null if nothing is."""
+    k, a, b = F.coalesce(k, F.lit(0.0)), F.coalesce(a, F.lit(0.0)), F.coalesce(b, F.lit(0.0))
+    rest = n - k
+    mean = F.when(rest > 0, m + (m - a) * k / rest)
+    squares = s - b - (a - mean) * (a - mean) * k * rest / n
+    return mean, F.when(rest > 0, F.sqrt(F.greatest(squares, F.lit(0.0)) / rest))
+
+
+def normalised_folds(df: DataFrame, folds: DataFrame, group: str, features: list[str], strategy: str, machine: str = "machine") -> DataFrame:
+    """``normalised`` of leave-groups-out folds (L7): each row in each fold, with its role and its z-scores.
+
+    A fold's training moments are those of all rows less its own. Of ``train_pooled`` there is a
+    row of moments a fold; of ``unsupervised_per_machine`` one a fold and machine that the fold
+    tests some of, while in all other folds a machine's training rows are all it has.
+    """
+    own = with_fold(df, folds, group)
+    if strategy == "train_pooled":
+        key: list[str] = []
+    elif strategy == "unsupervised_per_machine":
+        key = [machine]
+    else:
+        raise ValueError(f"unknown strategy {strategy}")
+    mine = moments(own, [*key, "__own"], features)
+    whole = moments(own, key, features).withColumnsRenamed({f"{x}_{c}": f"{x}0_{c}" for c in features for x in "nms"})
+    # one row without a key, else a join on the machine
+    both = mine.join(whole, key) if key else mine.crossJoin(F.broadcast(whole))
+    stats = {}
+    for c in features:
+        mu, sd = less(*[F.col(f"{x}0_{c}") for x in "nms"], *[F.col(f"{x}_{c}") for x in "nms"])
+        every = F.sqrt(F.col(f"s0_{c}") / F.col(f"n0_{c}"))
+        stats |= {f"__m_{c}": F.coalesce(mu, f"m0_{c}") if key else mu, f"__s_{c}": F.coalesce(sd, every) if key else sd}
+    rest = both.select(*key, F.col("__own").alias("fold"), *[v.alias(n) for n, v in stats.items()])
+    rows = own.crossJoin(folds.select("fold").distinct()).withColumn("role", F.when(F.col("__own") == F.col("fold"), "test").otherwise("train")).drop("__own")
+    if key:
+        plain = whole.select(*key, *[x for c in features for x in (F.col(f"m0_{c}").alias(f"__pm_{c}"), F.sqrt(F.col(f"s0_{c}") / F.col(f"n0_{c}")).alias(f"__ps_{c}"))])
+        rows = rows.join(rest, [*key, "fold"], "left").join(plain, key)
+        rows = rows.withColumns({f"__{x}_{c}": F.coalesce(f"__{x}_{c}", f"__p{x}_{c}") for c in features for x in "ms"}).drop(*[f"__p{x}_{c}" for c in features for x in "ms"])
+    else:
+        rows = rows.join(rest, "fold")
+    scale = lambda c: F.when(F.col(f"__s_{c}") < 1e-9, 1.0).otherwise(F.col(f"__s_{c}"))
+    return rows.withColumns({c: (F.col(c) - F.col(f"__m_{c}")) / scale(c) for c in features}).drop(*[f"__{x}_{c}" for c in features for x in "ms"])
 
 
 def nth_of_class(df: DataFrame, unit: str, label: str) -> DataFrame:

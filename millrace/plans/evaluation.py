@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import metrics, splits
+from ..operators import metrics, protocols, splits
 from ..sources import readers
 from ..tables import table
 from .base import query, r, rounded
@@ -122,19 +124,25 @@ def recall_at_budget(spark, sf_dir):
     return rounded(out.select("decisions", "recall", "far", "threshold"), "recall", "far", "threshold")
 
 
-@query("e12_mcnemar", f"WITH {PREDICTIONS} SELECT count(*) FILTER (top <> y_true AND other = y_true)::BIGINT AS n01, count(*) FILTER (top = y_true AND other <> y_true)::BIGINT AS n10 FROM p")
-def mcnemar_counts(spark, sf_dir):
-    """Rows that only one of two models gets right."""
-    return metrics.mcnemar(predictions(spark, sf_dir), "y_true", "top", "other").select("n01", "n10")
-
-
-@query("e12_mcnemar_exact", f"""WITH {PREDICTIONS}, n AS (SELECT count(*) FILTER (top <> y_true AND other = y_true)::BIGINT AS n01, count(*) FILTER (top = y_true AND other <> y_true)::BIGINT AS n10 FROM p)
+@query("e12_mcnemar", f"""WITH {PREDICTIONS}, n AS (SELECT count(*) FILTER (top <> y_true AND other = y_true)::BIGINT AS n01, count(*) FILTER (top = y_true AND other <> y_true)::BIGINT AS n10 FROM p)
 SELECT n01, n10, round(CASE WHEN n01 + n10 = 0 THEN 1 ELSE least(1, 2 * list_sum(list_transform(range(0, least(n01, n10) + 1), lambda k: exp(lgamma(n01 + n10 + 1) - lgamma(k + 1) - lgamma(n01 + n10 - k + 1) - (n01 + n10) * ln(2))))) END, 6) AS p FROM n""")
-def mcnemar_exact(spark, sf_dir):
+def mcnemar(spark, sf_dir):
     """The exact test of two models: rows that only one gets right, and p."""
     return rounded(metrics.mcnemar(predictions(spark, sf_dir), "y_true", "top", "other"), "p")
 
 
+STEPS = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(8)]
+
+
+@query("e13_bootstrap", f"""WITH d AS (SELECT value, b, ((event_id % 2147483648)::UBIGINT * 2654435761 + b * 40503) & 4294967295 AS x FROM events, (SELECT unnest(range(200))::UBIGINT AS b)),
+e AS (SELECT value, b, (xor(x, x >> 16) * 2246822519) & 4294967295 AS x FROM d), f AS (SELECT value, b, (xor(x, x >> 13) * 3266489917) & 4294967295 AS x FROM e),
+g AS (SELECT value, b, xor(x, x >> 16)::DOUBLE / 4294967296 AS u FROM f), t AS (SELECT value, b, {" + ".join(f"(u > {s!r}::DOUBLE)::INT" for s in STEPS)} AS t FROM g),
+m AS (SELECT b, sum(value * t) / sum(t) AS m FROM t GROUP BY b) SELECT round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, round(avg(m), 6) AS mean FROM m""")
+def bootstrap(spark, sf_dir):
+    """Interval of the mean reading from 200 replicates."""
+    return rounded(protocols.bootstrap(table(spark, sf_dir, "events"), "value", 200, row="event_id"), "low", "high", "mean")
+
+
 @query("e14_severity", f"WITH {PREDICTIONS} SELECT severity, count(*)::BIGINT AS n, round(avg((y_pred NOT IN ('view', 'ABSTAIN'))::INT), 6) AS detected, round(avg((y_pred = y_true)::INT), 6) AS right_class FROM p WHERE y_true <> 'view' AND severity IS NOT NULL GROUP BY severity")
 def severity(spark, sf_dir):
     """Detection of faults by severity."""
@@ -172,11 +180,6 @@ HASH = "(({x} % 2147483648) * 2654435761) % 4294967296"
 FOLDS = f"{ROWS}, g AS (SELECT machine, ((row_number() OVER (ORDER BY {HASH.format(x='machine')}, machine) - 1) % {{k}})::INT AS own FROM (SELECT DISTINCT machine FROM r)), t AS (SELECT r.*, f.fold, CASE WHEN g.own = f.fold THEN 'test' ELSE 'train' END AS role FROM r JOIN g USING (machine), (SELECT DISTINCT own AS fold FROM g) f)"
 
 
-def roles(spark, sf_dir, most):
-    df = rows(spark, sf_dir)
-    return splits.fold_roles(df, splits.group_folds(df, "machine", most=most), "machine")
-
-
 @query("l0_random_split", f"WITH {ROWS}, k AS (SELECT row, row_number() OVER (ORDER BY {HASH.format(x='row')}, row) AS i, count(*) OVER () AS n FROM r) SELECT row, CASE WHEN i <= greatest(1, floor(n * 0.3)) THEN 'test' ELSE 'train' END AS role FROM k")
 def random_split(spark, sf_dir):
     """Role of each row in a random split."""
@@ -186,21 +189,15 @@ def random_split(spark, sf_dir):
 @query("l1_group_folds", f"WITH {FOLDS.format(k=10)} SELECT fold, role, count(*)::BIGINT AS n, count(DISTINCT machine)::BIGINT AS n_machines, list_sort(list(DISTINCT label)) AS classes FROM t GROUP BY fold, role")
 def group_folds(spark, sf_dir):
     """Folds of machines, binned to ten."""
-    return splits.describe_folds(roles(spark, sf_dir, 10), "machine", "label")
+    df = rows(spark, sf_dir)
+    return splits.describe_group_folds(df, splits.group_folds(df, "machine", most=10), "machine", "label")
 
 
 @query("l3_leave_one_out", f"WITH {FOLDS.format(k=1000)} SELECT fold, role, count(*)::BIGINT AS n, count(DISTINCT machine)::BIGINT AS n_machines, list_sort(list(DISTINCT label)) AS classes FROM t GROUP BY fold, role")
 def leave_one_out(spark, sf_dir):
     """A fold for each machine."""
-    return splits.describe_folds(roles(spark, sf_dir, 0), "machine", "label")
-
-
-@query("l5_label_coverage", f"WITH {ROWS}, s AS (SELECT * FROM r WHERE machine <= 8 AND (machine = 1 OR label <> 'error') AND (machine % 2 = 0 OR label <> 'view')), g AS (SELECT machine, (row_number() OVER (ORDER BY {HASH.format(x='machine')}, machine) - 1)::INT AS own FROM (SELECT DISTINCT machine FROM s)), c AS (SELECT f.own AS fold, label, count(*) FILTER (g.own = f.own) AS te, count(*) FILTER (g.own <> f.own) AS tr FROM s JOIN g USING (machine), g f GROUP BY ALL) SELECT fold, sum(te)::BIGINT AS n_test, coalesce(sum(te) FILTER (te > 0 AND tr = 0), 0)::BIGINT AS n_lost, coalesce(list_sort(list(label) FILTER (te > 0 AND tr = 0)), []) AS missing, coalesce(sum(te) FILTER (te > 0 AND tr = 0), 0) / sum(te) < 0.1 AS interpretable FROM c GROUP BY fold")
-def label_coverage(spark, sf_dir):
-    """Test classes that training lacks."""
-    df = rows(spark, sf_dir).where("machine <= 8 and (machine = 1 or label <> 'error') and (machine % 2 = 0 or label <> 'view')")
-    r_ = splits.fold_roles(df, splits.group_folds(df, "machine", most=0), "machine")
-    return splits.label_coverage(r_, "label").drop("share_lost")
+    df = rows(spark, sf_dir)
+    return splits.describe_group_folds(df, splits.group_folds(df, "machine", most=0), "machine", "label")
 
 
 def relabelled(spark, sf_dir, rule, to):
@@ -215,12 +212,11 @@ def relabelled_sql(rule, to):
 ERROR_ON_ONE = "label = 'error' and machine <> 1"
 
 
-@query("l5_label_coverage_whole", f"WITH {relabelled_sql(ERROR_ON_ONE, 'click')}, g AS (SELECT machine, (row_number() OVER (ORDER BY {HASH.format(x='machine')}, machine) - 1)::INT AS own FROM (SELECT DISTINCT machine FROM s)), c AS (SELECT f.own AS fold, label, count(*) FILTER (g.own = f.own) AS te, count(*) FILTER (g.own <> f.own) AS tr FROM s JOIN g USING (machine), g f GROUP BY ALL) SELECT fold, sum(te)::BIGINT AS n_test, coalesce(sum(te) FILTER (te > 0 AND tr = 0), 0)::BIGINT AS n_lost, coalesce(list_sort(list(label) FILTER (te > 0 AND tr = 0)), []) AS missing, coalesce(sum(te) FILTER (te > 0 AND tr = 0), 0) / sum(te) < 0.1 AS interpretable FROM c GROUP BY fold")
-def label_coverage_whole(spark, sf_dir):
+@query("l5_label_coverage", f"WITH {relabelled_sql(ERROR_ON_ONE, 'click')}, g AS (SELECT machine, (row_number() OVER (ORDER BY {HASH.format(x='machine')}, machine) - 1)::INT AS own FROM (SELECT DISTINCT machine FROM s)), c AS (SELECT f.own AS fold, label, count(*) FILTER (g.own = f.own) AS te, count(*) FILTER (g.own <> f.own) AS tr FROM s JOIN g USING (machine), g f GROUP BY ALL) SELECT fold, sum(te)::BIGINT AS n_test, coalesce(sum(te) FILTER (te > 0 AND tr = 0), 0)::BIGINT AS n_lost, coalesce(list_sort(list(label) FILTER (te > 0 AND tr = 0)), []) AS missing, coalesce(sum(te) FILTER (te > 0 AND tr = 0), 0) / sum(te) < 0.1 AS interpretable FROM c GROUP BY fold")
+def label_coverage(spark, sf_dir):
     """Test classes that training lacks, over all rows."""
     df = relabelled(spark, sf_dir, ERROR_ON_ONE, "click")
-    r_ = splits.fold_roles(df, splits.group_folds(df, "machine", most=0), "machine")
-    return splits.label_coverage(r_, "label").drop("share_lost")
+    return splits.fold_coverage(df, splits.group_folds(df, "machine", most=0), "machine", "label").drop("share_lost")
 
 
 def normalise_sql(key, inner):
@@ -233,26 +229,22 @@ TRAIN = "FILTER (role = 'train')"
 @query("l7_normalise_pooled", normalise_sql("fold", f"avg(x) {TRAIN} AS mx, stddev_pop(x) {TRAIN} AS sx, avg(y) {TRAIN} AS my, stddev_pop(y) {TRAIN} AS sy FROM t GROUP BY fold"))
 def normalise_pooled(spark, sf_dir):
     """z-scores of each fold by its training rows."""
-    return rounded(splits.normalised(roles(spark, sf_dir, 10), ["x", "y"], "train_pooled").select("row", "fold", "role", "x", "y"), "x", "y")
+    df = rows(spark, sf_dir)
+    return rounded(splits.normalised_folds(df, splits.group_folds(df, "machine", most=10), "machine", ["x", "y"], "train_pooled").select("row", "fold", "role", "x", "y"), "x", "y")
 
 
 @query("l7_normalise_per_machine", normalise_sql("fold, machine", f"coalesce(avg(x) {TRAIN}, avg(x)) AS mx, coalesce(stddev_pop(x) {TRAIN}, stddev_pop(x)) AS sx, coalesce(avg(y) {TRAIN}, avg(y)) AS my, coalesce(stddev_pop(y) {TRAIN}, stddev_pop(y)) AS sy FROM t GROUP BY fold, machine"))
 def normalise_per_machine(spark, sf_dir):
     """z-scores of each fold by each machine's own rows."""
-    return rounded(splits.normalised(roles(spark, sf_dir, 10), ["x", "y"], "unsupervised_per_machine").select("row", "fold", "role", "x", "y"), "x", "y")
-
-
-@query("l8_nth_of_class", f"WITH {ROWS}, u AS (SELECT DISTINCT machine, label FROM r WHERE machine % 5 <> length(label) % 5), k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY machine) - 1 AS fold FROM u), m AS (SELECT min(c) AS folds FROM (SELECT count(*) AS c FROM u GROUP BY label)) SELECT machine, label, fold::INT AS fold FROM k, m WHERE fold < folds")
-def nth_of_class(spark, sf_dir):
-    """The k-th machine of every class as fold k."""
-    return splits.nth_of_class(rows(spark, sf_dir).where("machine % 5 <> length(label) % 5"), "machine", "label").select("machine", "label", F.col("fold").cast("int").alias("fold"))
+    df = rows(spark, sf_dir)
+    return rounded(splits.normalised_folds(df, splits.group_folds(df, "machine", most=10), "machine", ["x", "y"], "unsupervised_per_machine").select("row", "fold", "role", "x", "y"), "x", "y")
 
 
 UNEVEN = "machine % 5 = length(label) % 5"
 
 
-@query("l8_nth_of_class_whole", f"WITH {relabelled_sql(UNEVEN, 'signup')}, u AS (SELECT DISTINCT machine, label FROM s), k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY machine) - 1 AS fold FROM u), m AS (SELECT min(c) AS folds FROM (SELECT count(*) AS c FROM u GROUP BY label)) SELECT machine, label, fold::INT AS fold FROM k, m WHERE fold < folds")
-def nth_of_class_whole(spark, sf_dir):
+@query("l8_nth_of_class", f"WITH {relabelled_sql(UNEVEN, 'signup')}, u AS (SELECT DISTINCT machine, label FROM s), k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY machine) - 1 AS fold FROM u), m AS (SELECT min(c) AS folds FROM (SELECT count(*) AS c FROM u GROUP BY label)) SELECT machine, label, fold::INT AS fold FROM k, m WHERE fold < folds")
+def nth_of_class(spark, sf_dir):
     """The k-th machine of every class as fold k, over all rows."""
     return splits.nth_of_class(relabelled(spark, sf_dir, UNEVEN, "signup"), "machine", "label").select("machine", "label", F.col("fold").cast("int").alias("fold"))
 
@@ -269,21 +261,13 @@ def dominant_share(spark, sf_dir):
     return rounded(splits.dominant_share(rows(spark, sf_dir), "machine", "label"), "dominant_share")
 
 
-@query("l11_stratified_context", f"""WITH {ROWS}, s AS (SELECT * FROM r WHERE label <> 'error' OR row % 100 = 0), c AS (SELECT label, count(*) AS c FROM s GROUP BY label), b AS (SELECT *, least(500 // count(*) OVER (), c) AS base FROM c),
-e AS (SELECT *, coalesce(sum(c - base) OVER (ORDER BY c DESC, label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, 500 - sum(base) OVER () AS spare FROM b), q AS (SELECT label, base + greatest(0, least(c - base, spare - before)) AS quota FROM e),
-n AS (SELECT s.*, quota, row_number() OVER (PARTITION BY label ORDER BY {HASH.format(x='row')}, row) AS i FROM s JOIN q USING (label)) SELECT row, label FROM n WHERE i <= quota""")
-def stratified_context(spark, sf_dir):
-    """500 rows, evenly by class."""
-    return splits.stratified_context(rows(spark, sf_dir).where("label <> 'error' or row % 100 = 0"), "label", "row", 500).select("row", "label")
-
-
 MOST_ERRORS = "label = 'error' and row % 100 <> 0"
 
 
-@query("l11_stratified_context_whole", f"""WITH {relabelled_sql(MOST_ERRORS, 'click')}, c AS (SELECT label, count(*) AS c FROM s GROUP BY label), b AS (SELECT *, least(500 // count(*) OVER (), c) AS base FROM c),
+@query("l11_stratified_context", f"""WITH {relabelled_sql(MOST_ERRORS, 'click')}, c AS (SELECT label, count(*) AS c FROM s GROUP BY label), b AS (SELECT *, least(500 // count(*) OVER (), c) AS base FROM c),
 e AS (SELECT *, coalesce(sum(c - base) OVER (ORDER BY c DESC, label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, 500 - sum(base) OVER () AS spare FROM b), q AS (SELECT label, base + greatest(0, least(c - base, spare - before)) AS quota FROM e),
 n AS (SELECT s.*, quota, row_number() OVER (PARTITION BY label ORDER BY {HASH.format(x='row')}, row) AS i FROM s JOIN q USING (label)) SELECT row, label FROM n WHERE i <= quota""")
-def stratified_context_whole(spark, sf_dir):
+def stratified_context(spark, sf_dir):
     """500 of all rows, evenly by class."""
     return splits.stratified_context(relabelled(spark, sf_dir, MOST_ERRORS, "click"), "label", "row", 500).select("row", "label")
 
@@ -300,17 +284,11 @@ def mutual_information(spark, sf_dir):
     return rounded(splits.mutual_information(splits.contingency(rows(spark, sf_dir), "label", "machine"), "label", "machine"), "nmi")
 
 
-@query("l15_lomo_feasible", f"WITH {ROWS}, p AS (SELECT DISTINCT machine, label FROM r WHERE label <> 'error' OR machine < 5), m AS (SELECT count(DISTINCT machine) AS machines FROM p), s AS (SELECT label FROM p, m GROUP BY label, machines HAVING count(*) = machines) SELECT machines::BIGINT AS machines, list_sort(list(label)) AS shared, count(*) FILTER (label <> 'view')::BIGINT AS shared_faults, machines >= 2 AND count(*) FILTER (label <> 'view') >= 1 AS feasible FROM s, m GROUP BY machines")
-def lomo_feasible(spark, sf_dir):
-    """Whether leaving one machine out makes sense."""
-    return splits.lomo_feasible(rows(spark, sf_dir).where("label <> 'error' or machine < 5"), "machine", "label", "view")
-
-
 ERROR_ABOVE = "label = 'error' and machine >= 5"
 
 
-@query("l15_lomo_feasible_whole", f"WITH {relabelled_sql(ERROR_ABOVE, 'view')}, p AS (SELECT DISTINCT machine, label FROM s), m AS (SELECT count(DISTINCT machine) AS machines FROM p), t AS (SELECT label FROM p, m GROUP BY label, machines HAVING count(*) = machines) SELECT machines::BIGINT AS machines, list_sort(list(label)) AS shared, count(*) FILTER (label <> 'view')::BIGINT AS shared_faults, machines >= 2 AND count(*) FILTER (label <> 'view') >= 1 AS feasible FROM t, m GROUP BY machines")
-def lomo_feasible_whole(spark, sf_dir):
+@query("l15_lomo_feasible", f"WITH {relabelled_sql(ERROR_ABOVE, 'view')}, p AS (SELECT DISTINCT machine, label FROM s), m AS (SELECT count(DISTINCT machine) AS machines FROM p), t AS (SELECT label FROM p, m GROUP BY label, machines HAVING count(*) = machines) SELECT machines::BIGINT AS machines, list_sort(list(label)) AS shared, count(*) FILTER (label <> 'view')::BIGINT AS shared_faults, machines >= 2 AND count(*) FILTER (label <> 'view') >= 1 AS feasible FROM t, m GROUP BY machines")
+def lomo_feasible(spark, sf_dir):
     """Whether leaving one machine out makes sense, over all rows."""
     return splits.lomo_feasible(relabelled(spark, sf_dir, ERROR_ABOVE, "view"), "machine", "label", "view")
 
@@ -324,17 +302,8 @@ def missing_fraction(spark, sf_dir):
     return e.groupBy("machine").agg(F.count(F.lit(1)).alias("n"), r(hours).alias("hours"), r(F.avg(gone)).alias("missing"))
 
 
-@query("j1_j2_channel_merge", "WITH v AS (SELECT user_id AS machine, count(*) AS n FROM events WHERE event_type = 'view' AND user_id % 3 > 0 GROUP BY 1), c AS (SELECT user_id AS machine, count(*) AS n FROM events WHERE event_type = 'click' AND user_id % 3 < 2 GROUP BY 1) SELECT coalesce(v.machine, c.machine) AS machine, v.n::BIGINT AS vibration, c.n::BIGINT AS current, least(v.n, c.n)::BIGINT AS paired FROM v FULL JOIN c ON v.machine = c.machine")
+@query("j1_j2_channel_merge", "WITH b AS (SELECT user_id AS machine, CASE WHEN user_id % 3 = 0 THEN 'current' WHEN user_id % 3 = 2 THEN 'vibration' WHEN event_type IN ('view', 'purchase') THEN 'vibration' ELSE 'current' END AS channel FROM events), v AS (SELECT machine, count(*) AS n FROM b WHERE channel = 'vibration' GROUP BY 1), c AS (SELECT machine, count(*) AS n FROM b WHERE channel = 'current' GROUP BY 1) SELECT coalesce(v.machine, c.machine) AS machine, v.n::BIGINT AS vibration, c.n::BIGINT AS current, least(v.n, c.n)::BIGINT AS paired FROM v FULL JOIN c ON v.machine = c.machine")
 def channel_merge(spark, sf_dir):
-    """Bursts of two channels by key, and how many pair up."""
-    e = table(spark, sf_dir, "events").withColumnRenamed("user_id", "machine")
-    count = lambda kind, rule, out: e.where((F.col("event_type") == kind) & rule).groupBy("machine").agg(F.count(F.lit(1)).alias(out))
-    both = count("view", F.col("machine") % 3 > 0, "vibration").join(count("click", F.col("machine") % 3 < 2, "current"), "machine", "full_outer")
-    return both.withColumn("paired", F.when(F.col("vibration").isNotNull() & F.col("current").isNotNull(), F.least("vibration", "current")).otherwise(F.coalesce("vibration", "current")))
-
-
-@query("j1_j2_channel_merge_whole", "WITH b AS (SELECT user_id AS machine, CASE WHEN user_id % 3 = 0 THEN 'current' WHEN user_id % 3 = 2 THEN 'vibration' WHEN event_type IN ('view', 'purchase') THEN 'vibration' ELSE 'current' END AS channel FROM events), v AS (SELECT machine, count(*) AS n FROM b WHERE channel = 'vibration' GROUP BY 1), c AS (SELECT machine, count(*) AS n FROM b WHERE channel = 'current' GROUP BY 1) SELECT coalesce(v.machine, c.machine) AS machine, v.n::BIGINT AS vibration, c.n::BIGINT AS current, least(v.n, c.n)::BIGINT AS paired FROM v FULL JOIN c ON v.machine = c.machine")
-def channel_merge_whole(spark, sf_dir):
     """Bursts of two channels by key, and how many pair up; every event is a burst, and two machines of three lack a channel."""
     machine, kind = F.col("user_id"), F.col("event_type")
     channel = F.when(machine % 3 == 0, "current").when(machine % 3 == 2, "vibration").when(kind.isin("view", "purchase"), "vibration").otherwise("current")

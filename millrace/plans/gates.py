@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import baseline, sequential
+from ..operators import baseline, protocols, sequential
 from ..tables import table
 from .base import query, rounded
 
@@ -14,14 +14,14 @@ KEY, ORDER = ["machine"], ["ts", "row"]
 
 
 def rows(spark, sf_dir):
-    """events as two features of 12 machines; errors and purchases are the faults."""
+    """events as two features of the machines; errors and purchases are the faults."""
     e = table(spark, sf_dir, "events")
     fault = F.col("event_type").isin("error", "purchase")
-    return e.select(F.col("event_id").alias("row"), "ts", (F.col("user_id") % 12).cast("int").alias("machine"), F.when(fault, F.col("event_type")).otherwise("healthy").alias("label"),
+    return e.select(F.col("event_id").alias("row"), "ts", F.col("user_id").cast("int").alias("machine"), F.when(fault, F.col("event_type")).otherwise("healthy").alias("label"),
                     (F.col("value") + F.when(fault, 60.0).otherwise(0.0)).alias("x"), (F.col("value") * 0.3 + F.col("event_id") % 10).alias("y"))
 
 
-ROWS = "r AS (SELECT event_id AS row, ts, (user_id % 12)::INT AS machine, CASE WHEN event_type IN ('error', 'purchase') THEN event_type ELSE 'healthy' END AS label, value + CASE WHEN event_type IN ('error', 'purchase') THEN 60.0 ELSE 0.0 END AS x, value * 0.3 + event_id % 10 AS y FROM events)"
+ROWS = "r AS (SELECT event_id AS row, ts, user_id::INT AS machine, CASE WHEN event_type IN ('error', 'purchase') THEN event_type ELSE 'healthy' END AS label, value + CASE WHEN event_type IN ('error', 'purchase') THEN 60.0 ELSE 0.0 END AS x, value * 0.3 + event_id % 10 AS y FROM events)"
 CUT = baseline.chi2_quantile(0.99, 2)
 FIT = f"""b AS (SELECT machine, count(*) AS n, avg(x) AS mx, avg(y) AS my, stddev_pop(x) + 1e-12 AS sx, stddev_pop(y) + 1e-12 AS sy, covar_samp(x, x) + 1e-6 AS a, covar_samp(x, y) AS b, covar_samp(y, y) + 1e-6 AS c FROM {{src}} GROUP BY machine)"""
 D2 = "((x - mx) * (x - mx) * c - 2 * (x - mx) * (y - my) * b + (y - my) * (y - my) * a) / (a * c - b * b)"
@@ -78,7 +78,7 @@ HASHED = "((row % 2147483648) * 2654435761) % 4294967296"
 
 @query("w19_per_machine_gate", f"""WITH {ROWS}, k AS (SELECT *, count(*) FILTER (label = 'healthy') OVER (PARTITION BY machine) AS nh, row_number() OVER (PARTITION BY machine, label = 'healthy' ORDER BY {HASHED}, row) AS i FROM r),
 p AS (SELECT *, label = 'healthy' AND i <= nh // 2 AS fit FROM k WHERE nh >= 10), h AS (SELECT * FROM p WHERE fit), {FIT.format(src='h')}
-SELECT machine, max(n)::BIGINT AS n_fit, max(n) >= 30 AS adequate, count(*)::BIGINT AS n, round(avg(({D2} > {CUT!r}::DOUBLE)::INT) FILTER (label = 'healthy'), 6) AS healthy_rate, round(avg(({D2} > {CUT!r}::DOUBLE)::INT) FILTER (label <> 'healthy'), 6) AS fault_rate FROM p JOIN b USING (machine) WHERE NOT fit GROUP BY machine""")
+SELECT machine, max(n)::BIGINT AS n_fit, max(n) >= 30 AS adequate, count(*)::BIGINT AS n, round(avg(CASE WHEN n >= 20 THEN ({D2} > {CUT!r}::DOUBLE)::INT END) FILTER (label = 'healthy'), 6) AS healthy_rate, round(avg(CASE WHEN n >= 20 THEN ({D2} > {CUT!r}::DOUBLE)::INT END) FILTER (label <> 'healthy'), 6) AS fault_rate FROM p JOIN b USING (machine) WHERE NOT fit GROUP BY machine""")
 def per_machine_gate(spark, sf_dir):
     """Half of each machine's healthy rows as its baseline, the rest and all faults judged."""
     df = baseline.half_for_baseline(rows(spark, sf_dir), KEY, "label", "healthy", "row")
@@ -88,6 +88,19 @@ def per_machine_gate(spark, sf_dir):
     return rounded(rates.select("machine", "n_fit", (F.col("n_fit") >= 15 * len(FEATURES)).alias("adequate"), "n", "healthy_rate", "fault_rate"), "healthy_rate", "fault_rate")
 
 
+CUT_ONE = baseline.chi2_quantile(0.99, 1)
+
+
+@query("e18_gate_ablation", f"""WITH {ROWS}, k AS (SELECT *, count(*) FILTER (label = 'healthy') OVER (PARTITION BY machine) AS nh, row_number() OVER (PARTITION BY machine, label = 'healthy' ORDER BY {HASHED}, row) AS i FROM r),
+p AS (SELECT *, label = 'healthy' AND i <= nh // 2 AS fit FROM k WHERE nh >= 10), h AS (SELECT * FROM p WHERE fit), {FIT.format(src='h')},
+s AS (SELECT machine, label, unnest([1, 1, 2]) AS size, unnest(['x', 'y', 'x,y']) AS features, unnest([CASE WHEN n >= 10 THEN (x - mx) * (x - mx) / a > {CUT_ONE!r}::DOUBLE END, CASE WHEN n >= 10 THEN (y - my) * (y - my) / c > {CUT_ONE!r}::DOUBLE END, CASE WHEN n >= 20 THEN {D2} > {CUT!r}::DOUBLE END]) AS hit FROM p JOIN b USING (machine) WHERE NOT fit),
+q AS (SELECT size, features, machine, avg(hit::INT) FILTER (label = 'healthy') AS hr, avg(hit::INT) FILTER (label <> 'healthy') AS fr FROM s GROUP BY ALL)
+SELECT size::INT AS size, features, round(avg(fr), 6) AS mean_ceiling, round(min(fr), 6) AS worst_ceiling, round(avg(coalesce(hr, 0) * 0.99 + coalesce(fr, 0) * 0.01), 6) AS field FROM q GROUP BY size, features""")
+def gate_ablation(spark, sf_dir):
+    """Recall ceilings and field rates of every subset of the gate's features."""
+    return rounded(protocols.gate_ablation(rows(spark, sf_dir), KEY, FEATURES, "label", "healthy", "row"), "mean_ceiling", "worst_ceiling", "field")
+
+
 @query("w21_run_protocol", """
 WITH e AS (SELECT user_id AS machine, ts::DATE AS day, ts, event_id, value AS load FROM events),
 k AS (SELECT *, CASE WHEN load >= 60 THEN 1 WHEN load <= 30 THEN 0 ELSE -1 END AS asks FROM e),

@@ -172,15 +172,8 @@ def parse_condition(spark, sf_dir):
     return lookups.parse_condition(folders(spark, sf_dir), "folder")
 
 
-@query("p2_collapse_labels", f"WITH {FOLDER_SQL} SELECT class, count(*)::BIGINT AS n FROM d JOIN c USING (family) JOIN k USING (label) GROUP BY class")
+@query("p2_collapse_labels", f"WITH {FOLDER_SQL}, w AS (SELECT CASE WHEN label = 'bearing_pump' THEN 'bearing_outer' ELSE label END AS label FROM d JOIN c USING (family)) SELECT class, count(*)::BIGINT AS n FROM w JOIN k USING (label) GROUP BY class")
 def collapse(spark, sf_dir):
-    """Rows by class of fault families; the one family without a class is left out beforehand."""
-    rows = lookups.parse_condition(folders(spark, sf_dir), "folder").where("label <> 'bearing_pump'")
-    return lookups.collapse_labels(rows, "label").groupBy("class").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("p2_collapse_labels_whole", f"WITH {FOLDER_SQL}, w AS (SELECT CASE WHEN label = 'bearing_pump' THEN 'bearing_outer' ELSE label END AS label FROM d JOIN c USING (family)) SELECT class, count(*)::BIGINT AS n FROM w JOIN k USING (label) GROUP BY class")
-def collapse_whole(spark, sf_dir):
     """Rows by class of all fault families; the one without a class is relabelled as an outer-race fault."""
     label = F.when(F.col("label") == "bearing_pump", "bearing_outer").otherwise(F.col("label"))
     rows = lookups.parse_condition(folders(spark, sf_dir), "folder").withColumn("label", label)

@@ -49,13 +49,17 @@ def band_power(spark, sf_dir):
     return rounded(rounded(out, "low", "high", "near_8"), "velocity", places=4)
 
 
-@query("a7_current_trajectory", f"""WITH {BURSTS}, c AS (SELECT vec_id, list_transform(w, lambda v: 10 + v) AS w FROM e), q AS (SELECT *, list_avg(w[1:16]) AS hd, list_avg(w[49:64]) AS tl, list_avg(w) AS m FROM c)
-SELECT vec_id, round(hd, 6) AS head, round(tl, 6) AS tail, round((hd - tl) / (hd + 1e-12), 6) AS "drop", round(list_sum(list_transform(w, lambda v, i: (i - 32.5) * v)) / list_sum(list_transform(w, lambda v, i: (i - 32.5) ** 2)) * 64 / (hd + 1e-12), 6) AS slope,
-       round(sqrt(list_avg(list_transform(w, lambda v: (v - m) ** 2))) / (m + 1e-12), 6) AS cv, round(list_min(w) / (hd + 1e-12), 6) AS min_ratio, round(list_min(w) / 10, 6) AS min_vs_rated FROM q""")
+TRAJECTORY = ["drop_ratio", "slope", "cv", "min_ratio", "min_vs_rated"]
+
+
+@query("a7_current_trajectory", f"""WITH {BURSTS}, c AS (SELECT vec_id, list_transform(w, lambda v: (vec_id % 3 - 1) * 0.2 + v) AS w FROM e), n AS (SELECT *, len(w) AS n FROM c),
+q AS (SELECT *, abs(list_avg(w[1:n // 4])) + 1e-12 AS hd, list_avg(w[n - (n + 3) // 4 + 1:n]) AS tl, list_avg(w) AS m FROM n)
+SELECT vec_id, round(tl / hd, 6) AS current_traj_drop_ratio, round(list_sum(list_transform(w, lambda v, i: (i - (n + 1) / 2) * v)) / list_sum(list_transform(w, lambda v, i: (i - (n + 1) / 2) ** 2)) * n / hd, 6) AS current_traj_slope,
+       round(sqrt(list_avg(list_transform(w, lambda v: (v - m) ** 2))) / (list_avg(list_transform(w, lambda v: abs(v))) + 1e-12), 6) AS current_traj_cv, round(list_min(w) / hd, 6) AS current_traj_min_ratio, round(list_min(w) / 10, 6) AS current_traj_min_vs_rated FROM q""")
 def current_trajectory(spark, sf_dir):
-    """Shape of each burst as a current about ten ampere."""
-    c = bursts(spark, sf_dir).select("vec_id", F.transform("w", lambda v: v + 10).alias("w"))
-    return rounded(arrays.current_trajectory(c, "w", 10.0).select("vec_id", "current.*"), "head", "tail", "drop", "slope", "cv", "min_ratio", "min_vs_rated")
+    """How each burst changes as a current, on both sides of zero."""
+    c = bursts(spark, sf_dir).select("vec_id", F.transform("w", lambda v: v + (F.col("vec_id") % 3 - 1) * 0.2).alias("w"))
+    return rounded(arrays.current_trajectory(c, "w", 10.0).select("vec_id", "current.*"), *[f"current_traj_{k}" for k in TRAJECTORY])
 
 
 @query("a11_shaft_peak", f"WITH {SPECTRA}, l AS (SELECT vec_id, list_transform(p[5:31], lambda v: sqrt(v)) AS a FROM s) SELECT vec_id, (list_position(a, list_max(a)) + 3)::DOUBLE AS hz, round(greatest(0, least(1, (list_max(a) / (list_median(a) + 1e-12) - 1) / 10)), 6) AS confidence FROM l")
@@ -72,12 +76,12 @@ def _at(o):
     return f"p[{int(o / 0.25) + 1}]"
 
 
-ORDER_NAMES = ["level", *[f"order_{str(o).replace('.', 'p')}x" for o in arrays.ORDERS], *[f"band_{b}" for b in arrays.BANDS], "ratio_2x_1x", "ratio_sub_1x", "centroid", "entropy"]
+ORDER_NAMES = ["overall_level_mm_s", *[f"order_{str(o).replace('.', 'p')}x" for o in arrays.ORDERS], *[f"band_{b}" for b in arrays.BANDS], "ratio_2x_1x", "ratio_sub_1x", "spectral_centroid_order", "spectral_entropy"]
 
 
-@query("a12_order_features", f"WITH {SPECTRA}, t AS (SELECT *, list_sum(p) AS t FROM s) SELECT vec_id, round(sqrt(list_sum(list_transform(p, lambda v: v * v))), 6) AS level, "
+@query("a12_order_features", f"WITH {SPECTRA}, t AS (SELECT *, list_sum(p) AS t FROM s) SELECT vec_id, round(sqrt(list_sum(list_transform(p, lambda v: v * v))), 6) AS overall_level_mm_s, "
        + ", ".join(f"round({_at(o)} / t, 6) AS order_{str(o).replace('.', 'p')}x" for o in arrays.ORDERS) + ", " + ", ".join(f"round({_band(*v)} / t, 6) AS band_{k}" for k, v in arrays.BANDS.items())
-       + f", round({_at(2.0)} / {_at(1.0)}, 4) AS ratio_2x_1x, round({_band(0.05, 0.9)} / {_at(1.0)}, 4) AS ratio_sub_1x, round(list_sum(list_transform(p, lambda v, i: v / t * (i - 1) * 0.25)), 6) AS centroid, round(-list_sum(list_transform(p, lambda v: v / t * ln(v / t + 1e-30))), 6) AS entropy FROM t")
+       + f", round({_at(2.0)} / {_at(1.0)}, 4) AS ratio_2x_1x, round({_band(0.05, 0.9)} / {_at(1.0)}, 4) AS ratio_sub_1x, round(list_sum(list_transform(p, lambda v, i: v / t * (i - 1) * 0.25)), 6) AS spectral_centroid_order, round(-list_sum(list_transform(p, lambda v: v / t * ln(v / t + 1e-30))), 6) AS spectral_entropy FROM t")
 def order_features(spark, sf_dir):
     """Order features of each spectrum, a quarter order a bin."""
     out = arrays.order_features(spectra(spark, sf_dir), "p", 0.25).select("vec_id", "orders.*")

@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import metrics, scans, sequential as seq
+from millrace.operators import arrays, metrics, protocols, scans, splits, waveforms
+from millrace.operators import sequential as seq
 
 KEY, ORDER = ["m"], ["t", "i"]
 
@@ -153,3 +154,30 @@ def test_blocks_of_a_hot_key(spark):
     df = spark.range(20_000).select(F.lit("a").alias("m"), F.col("id").alias("t"))
     sizes = [r["count"] for r in scans.in_blocks(df, ["m"], "t", 20).groupBy("__block").count().collect()]
     assert len(sizes) == 20 and max(sizes) < 1400
+
+
+@pytest.mark.parametrize("most", [0, 3])
+@pytest.mark.parametrize("strategy", ["train_pooled", "unsupervised_per_machine"])
+def test_folds_by_subtraction(spark, most, strategy):
+    df = spark.range(200).select("id", (F.col("id") % 7).alias("machine"), (F.floor(F.col("id") / 5) % 4).alias("part"), F.when(F.col("id") % 7 == 1, "a").when(F.col("id") % 3 == 0, "b").otherwise("c").alias("label"), (F.col("id") * F.col("id") % 37).cast("double").alias("x"))
+    for group in ("machine", "part"):
+        folds = splits.group_folds(df, group, most=most)
+        roles = splits.fold_roles(df, folds, group)
+        rows = lambda out: sorted((r["fold"], r["id"], r["role"], round(r["x"], 8)) for r in out.collect())
+        assert rows(splits.normalised_folds(df, folds, group, ["x"], strategy)) == rows(splits.normalised(roles, ["x"], strategy))
+        table = lambda out: sorted(tuple(map(str, r.asDict().values())) for r in out.select(sorted(out.columns)).collect())
+        assert table(splits.fold_coverage(df, folds, group, "label")) == table(splits.label_coverage(roles, "label"))
+        assert table(splits.describe_group_folds(df, folds, group, "label")) == table(splits.describe_folds(roles, group, "label"))
+
+
+def test_trajectory_is_the_waveforms(spark):
+    for n in (3, 4, 7, 10):
+        x = [(-1.0) ** i * 0.3 + i * 0.2 - 0.9 for i in range(n)]
+        got = arrays.current_trajectory(spark.createDataFrame([(x,)], "x array<double>"), "x", 5.0).first()["current"]
+        want = {k: v for k, v in waveforms.trajectory(np.array(x), 5.0).items() if k.startswith("current_traj_")}
+        assert (got is None) == (not want) and (not want or got.asDict() == pytest.approx(want))
+
+
+def test_gate_features_find_order_features(spark):
+    out = arrays.order_features(spark.createDataFrame([([1.0] * 200,)], "s array<double>"), "s", 0.05).select("orders.*")
+    assert protocols.gate_features(out.columns) == protocols.GATE_SETS["order_spectrum"]
