@@ -10,8 +10,10 @@ of the record. Chunks hold CHUNK bytes at most.
 Archives lie in the shared folder and are written under a name of their own attempt, then
 moved, so a task that runs twice leaves one file. Of pages with equal payloads of at least
 ``min_bytes`` the smallest page_id is the response and the others revisit it; smaller
-payloads are all responses. Null html is an empty payload, null urls are empty. Pages with
-null ids sort last and each is a response. Rows that share the
+payloads are all responses. Null html is an empty payload, null urls are empty; urls and
+payloads may be of any length. Pages with null ids sort last: they revisit the page of the
+smallest id, or are all responses where no page of their payload has one. An empty table
+gives no archive. Further columns may have any name. Rows that share the
 smallest id of a payload are all responses; rows that share an id but not a payload are
 decided each for its own.
 """
@@ -55,14 +57,13 @@ def decisions(pages: DataFrame, scratch: Scratch, min_bytes: int = 0) -> DataFra
     """The pages that revisit another one: page_id, key of the payload and refers_to.
 
     Only the first page of each digest is gathered, by partial aggregation. The pages of a
-    digest meet it under SALTS salts of their id, so that those of a hot digest are spread.
+    digest meet it under SALTS salts of their id and url, so that those of a hot digest are spread.
     """
     body = F.coalesce("html", F.lit(""))
-    light = scratch.put(pages.where(F.octet_length(body) >= min_bytes).select("page_id", payload_key().alias("key")).where(F.col("page_id").isNotNull()), "warc_keys")
-    first = light.groupBy("key").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    light = scratch.put(pages.where(F.octet_length(body) >= min_bytes).select("page_id", payload_key().alias("key"), F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int").alias("salt")), "warc_keys")
+    first = light.groupBy("key").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 and refers_to is not null")
     first = scratch.put(first.select("key", "refers_to", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")), "warc_first")
-    salted = light.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
-    again = (salted.join(first, ["key", "salt"]).where(F.col("page_id") > F.col("refers_to")))
+    again = light.join(first, ["key", "salt"]).where("page_id is null or page_id > refers_to")
     return scratch.put(again.select("page_id", "key", "refers_to").distinct(), "warc_revisits")
 
 
@@ -234,7 +235,7 @@ def archived(pages: DataFrame, scratch: Scratch, min_bytes: int = 0) -> DataFram
     again = decisions(pages, scratch, min_bytes)
     right = again.select(F.col("page_id").alias("again_id"), F.col("key").alias("again_key"), "refers_to")
     pages = pages.select("page_id", "url", "html")
-    joined = pages.join(F.broadcast(right) if right.count() <= BROADCAST_ROWS else right, (F.col("page_id") == F.col("again_id")) & (payload_key() == F.col("again_key")), "left").drop("again_id", "again_key")
+    joined = pages.join(F.broadcast(right) if right.count() <= BROADCAST_ROWS else right, F.col("page_id").eqNullSafe(F.col("again_id")) & (payload_key() == F.col("again_key")), "left").drop("again_id", "again_key")
     root = scratch.root if ":/" in scratch.root else f"file://{scratch.root}"
     return scratch.put(write_archives(joined, f"{root}/archives"), "warc_archives")
 
@@ -258,7 +259,7 @@ WITH p AS (
 SELECT page_id, payload_bytes,
        array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
          ((('0x' || substr(x, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::BIGINT + 1, 1)), '') AS payload_digest,
-       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id <> first THEN first END AS refers_to
+       CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
 FROM h
 """

@@ -105,6 +105,8 @@ def test_warc_round_trip(spark):
         if p is not None:
             first[h or ""] = min(p, first.get(h or "", p))
     html = {p: (h or "").encode() for p, _, h in rows if p is not None}
+    lost = [c for c in chunks if c["page_id"] is None and c["last"]]
+    assert sorted((c["record_type"], c["refers_to"] or 0, c["payload_bytes"]) for c in lost) == [("response", 0, 4), ("revisit", 3, 4)]
     for (_, p), cs in whole.items():
         if p is None:
             continue
@@ -129,3 +131,10 @@ def test_warc_rows_that_share_an_id(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
     out = sorted(((c["page_id"], c["record_type"], c["refers_to"] or 0, bytes(c["data"])) for c in warc.read_archives(warc.archived(pages, Scratch(spark))).where("last").collect()))
     assert out == [(1, "response", 0, b"aa"), (2, "response", 0, b"bb"), (5, "response", 0, b"own"), (5, "revisit", 1, b""), (6, "revisit", 1, b""), (6, "revisit", 2, b""), (6, "revisit", 2, b"")]
+
+
+def test_warc_pages_without_ids(spark):
+    rows = [(5, "u", "aa"), (None, "u", "aa"), (None, "v", "aa"), (None, "w", "own"), (None, "w", "own")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    out = sorted((c["page_id"] or 0, c["record_type"], c["refers_to"] or 0, bytes(c["data"])) for c in warc.read_archives(warc.archived(pages, Scratch(spark))).where("last").collect())
+    assert out == [(0, "response", 0, b"own"), (0, "response", 0, b"own"), (0, "revisit", 5, b""), (0, "revisit", 5, b""), (5, "response", 0, b"aa")]
