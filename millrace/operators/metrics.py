@@ -8,6 +8,7 @@ spread over many tasks too.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -38,20 +39,20 @@ def per_class(counts: DataFrame) -> DataFrame:
     return out.withColumns({"precision": precision, "recall": recall, "f1": f1, "support": F.col("tp") + F.col("fn")})
 
 
-def report(df: DataFrame, true: str = "y_true", pred: str = "y_pred") -> DataFrame:
-    """One row: accuracy, macro and weighted F1, coverage and abstentions (E1), all from one count by class and prediction."""
-    counts = df.groupBy(F.col(true).alias("true"), F.col(pred).alias("pred")).agg(F.count(F.lit(1)).alias("n"))
+def report(df: DataFrame, true: str = "y_true", pred: str = "y_pred", key: Sequence[str] = ()) -> DataFrame:
+    """One row, or one a key: accuracy, macro and weighted F1, coverage and abstentions (E1), all from one count by class and prediction."""
+    counts = df.groupBy(*key, F.col(true).alias("true"), F.col(pred).alias("pred")).agg(F.count(F.lit(1)).alias("n"))
     gone, n = F.col("pred").eqNullSafe(ABSTAIN), F.col("n")
     same = F.col("true") == F.col("pred")
     own = F.struct(F.col("true").alias("class"), F.when(same, n).otherwise(0).alias("tp"), F.lit(0).cast("long").alias("fp"), F.when(~F.coalesce(same, F.lit(False)), n).otherwise(0).alias("fn"), n.alias("rows"), F.lit(0).cast("long").alias("gone"))
     other = F.struct(F.col("pred").alias("class"), F.lit(0).cast("long").alias("tp"), n.alias("fp"), F.lit(0).cast("long").alias("fn"), F.lit(0).cast("long").alias("rows"), F.lit(0).cast("long").alias("gone"))
     left = F.struct(F.lit(ABSTAIN).alias("class"), *[F.lit(0).cast("long").alias(c) for c in ("tp", "fp", "fn")], n.alias("rows"), n.alias("gone"))
     parts = F.when(gone, F.array(left)).when(F.col("pred").isNull() | same, F.array(own)).otherwise(F.array(own, other))
-    per = counts.select(F.inline(parts)).groupBy("class").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "rows", "gone")])
+    per = counts.select(*key, F.inline(parts)).groupBy(*key, "class").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "rows", "gone")])
     support, judged = F.col("tp") + F.col("fn"), (F.col("tp") + F.col("fp") + F.col("fn")) > 0
     f1 = F.when(judged, ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")))
-    total = per.agg(F.sum("tp").alias("right"), F.sum(support).alias("n"), F.avg(f1).alias("macro_f1"), F.sum(f1 * support).alias("weighted"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.coalesce(F.sum("gone"), F.lit(0)).alias("n_abstained"))
-    return total.select(ratio(F.col("right"), F.col("n")).alias("accuracy"), "macro_f1", ratio(F.col("weighted"), F.col("n")).alias("weighted_f1"), ratio(F.col("rows") - F.col("n_abstained"), F.col("rows")).alias("coverage"), "n_abstained")
+    total = per.groupBy(*key).agg(F.sum("tp").alias("right"), F.sum(support).alias("n"), F.avg(f1).alias("macro_f1"), F.sum(f1 * support).alias("weighted"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.coalesce(F.sum("gone"), F.lit(0)).alias("n_abstained"))
+    return total.select(*key, ratio(F.col("right"), F.col("n")).alias("accuracy"), "macro_f1", ratio(F.col("weighted"), F.col("n")).alias("weighted_f1"), ratio(F.col("rows") - F.col("n_abstained"), F.col("rows")).alias("coverage"), "n_abstained")
 
 
 def by_score(df: DataFrame, hit: Column, score: Column, key: list[str] | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ distance-weighted vote of a small reference table. Neither claims another librar
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
@@ -15,7 +15,7 @@ from pyspark.ml.feature import PCA, IndexToString, StandardScaler, StringIndexer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import metrics, splits
+from . import baseline, metrics, splits
 
 ABSTAIN = metrics.ABSTAIN
 CONTEXT_ROWS, MAX_CLASSES, LEAST_CONFIDENCE = 1000, 10, 0.45
@@ -65,10 +65,15 @@ class Estimator:
 
 
 class InContext:
-    """Distance-weighted vote of the nearest rows of a bounded reference table (M4, M5)."""
+    """Distance-weighted vote of the nearest rows of a bounded reference table (M4, M5).
 
-    def __init__(self, seed: int = 0, context: int = CONTEXT_ROWS, k: int = 15, abstain: bool = False):
-        self.seed, self.context, self.k, self.abstain = seed, context, k, abstain
+    With ``abstain``, unsure predictions are abstentions, and so are those of rows whose
+    Mahalanobis distance to the reference rows has a chance below alpha; with fewer than ten
+    reference rows a feature no distance is taken.
+    """
+
+    def __init__(self, seed: int = 0, context: int = CONTEXT_ROWS, k: int = 15, abstain: bool = False, alpha: float = 0.01):
+        self.seed, self.context, self.k, self.abstain, self.alpha = seed, context, k, abstain, alpha
 
     def fit_predict(self, train: DataFrame, test: DataFrame, features: list[str], label: str, row: str = "row") -> DataFrame:
         stats = train.agg(*[x for f in features for x in (F.avg(f).alias(f"m_{f}"), F.stddev_pop(f).alias(f"s_{f}"))]).first()
@@ -91,7 +96,13 @@ class InContext:
         total = F.aggregate("votes", F.lit(0.0), lambda a, s: a + s["w"])
         best = F.array_max("votes")
         out = out.withColumns({"confidence": best["w"] / total, "y_pred": best["c"]}).drop("votes")
-        return abstaining(out) if self.abstain else out
+        if not self.abstain:
+            return out
+        near_context = ref.select(*[F.get("v", F.lit(i)).alias(f) for i, f in enumerate(features)])
+        base = baseline.fit(near_context, [], features, self.alpha).select("mu", "factor", "threshold")  # one row
+        out = out.crossJoin(F.broadcast(base)).withColumns({f"__{f}": z(f) for f in features})
+        out = out.withColumn("far", baseline.distance([f"__{f}" for f in features], F.col("mu"), F.col("factor")) > F.col("threshold"))
+        return abstaining(out, far="far").drop("mu", "factor", "threshold", "far", *[f"__{f}" for f in features])
 
 
 def abstaining(df: DataFrame, least: float = LEAST_CONFIDENCE, far: str | None = None) -> DataFrame:
@@ -137,6 +148,56 @@ def evaluate(roles: DataFrame, factory: Callable, features: list[str], label: st
     return out
 
 
+def evaluate_repeated(df: DataFrame, factory: Callable, group: str, features: list[str], label: str, seeds: Sequence[int] = (0, 1, 2), strategy: str = "train_pooled", most: int = 10) -> DataFrame:
+    """Predictions over the folds of every seed (M9): seed, fold, row, y_true, y_pred, confidence. Seeds are few."""
+    out = None
+    for seed in seeds:
+        folds = splits.group_folds(df, group, seed, most)
+        scaled = splits.normalised_folds(df, folds, group, features, strategy, group).persist()
+        for fold in sorted(r["fold"] for r in folds.select("fold").distinct().collect()):
+            part = scaled.where(F.col("fold") == fold)
+            got = factory(seed=seed).fit_predict(part.where("role = 'train'"), part.where("role = 'test'"), features, label)
+            got = got.select(F.lit(seed).alias("seed"), "fold", "row", F.col(label).alias("y_true"), "y_pred", "confidence")
+            out = got if out is None else out.unionByName(got)
+    return out
+
+
+def fold_reports(predictions: DataFrame) -> DataFrame:
+    """Report of each seed and fold (M9), with the rows that it tests."""
+    n = predictions.groupBy("seed", "fold").agg(F.count(F.lit(1)).alias("n_test"))
+    return metrics.report(predictions, key=["seed", "fold"]).join(n, ["seed", "fold"])
+
+
+def seed_reports(predictions: DataFrame) -> DataFrame:
+    """Mean, deviation and range over seeds of each seed's report on all its folds (M9)."""
+    per = metrics.report(predictions, key=["seed"])
+    long = per.select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("accuracy", "macro_f1", "weighted_f1", "coverage")])))
+    return metrics.seed_spread(long, ["metric"], "value")
+
+
+def machine_probe(df: DataFrame, features: list[str], machine: str, row: str, margin: float = 0.25, seed: int = 0) -> DataFrame:
+    """Whether features tell machines apart (L13): one row of accuracy out of fold, chance and encodes.
+
+    A forest predicts the machine in three folds, or as many as the smallest machine has rows;
+    each machine's rows are dealt evenly to the folds by their hash. Below 20 rows, or with one
+    machine, nothing is fitted and accuracy is 0.
+    """
+    sizes = df.groupBy(machine).agg(F.count(F.lit(1)).alias("k")).agg(F.count(F.lit(1)).alias("machines"), F.sum("k").alias("n"), F.min("k").alias("least")).first()
+    folds, chance = min(3, sizes["least"] or 0), 1 / max(sizes["machines"], 1)
+    correct = None
+    if sizes["machines"] > 1 and sizes["n"] >= 20 and folds >= 2:
+        by = F.row_number().over(Window.partitionBy(machine).orderBy(splits.portable_hash(F.col(row), seed), row))
+        dealt = df.select(F.col(machine).cast("string").alias("__machine"), *features, (by % folds).alias("__fold")).persist()
+        for f in range(folds):
+            model = Estimator(_forest, seed)
+            got = model.fit_predict(dealt.where(F.col("__fold") != f), dealt.where(F.col("__fold") == f), features, "__machine")
+            own = got.agg(F.avg((F.col("y_pred") == F.col("__machine")).cast("double")).alias("accuracy"))
+            correct = own if correct is None else correct.unionByName(own)
+    else:
+        correct = df.sparkSession.range(1).select(F.lit(0.0).alias("accuracy"))
+    return correct.agg(F.avg("accuracy").alias("accuracy")).select("accuracy", F.lit(chance).alias("chance"), (F.col("accuracy") >= chance + margin).alias("encodes_machine"))
+
+
 def tuned(train: DataFrame, factory: Callable, grid: list[dict], features: list[str], label: str, machine: str = "machine", k: int = 3, seed: int = 0) -> dict:
     """The grid point with the best macro F1 over inner folds of machines (M8); the first of equals, no search without a choice."""
     roles = splits.inner_folds(train.withColumns({"fold": F.lit(0), "role": F.lit("train")}), machine, k, seed)
@@ -158,6 +219,7 @@ def model_pairs(names: list[str]) -> list[tuple[str, str]]:
     return [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
 
 
-def top_k(df: DataFrame, key: list[str], by: str, k: int) -> DataFrame:
-    """The k highest rows of each key."""
-    return df.withColumn("__r", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(by)))).where(F.col("__r") <= k).drop("__r")
+def top_k(df: DataFrame, key: list[str], by: str, k: int, tie: Sequence[str] = ()) -> DataFrame:
+    """The k highest rows of each key (J10), of equals the first by ``tie``, or by all columns that can be ordered."""
+    tie = list(tie) or [c for c, kind in df.dtypes if c not in (*key, by) and not kind.startswith("map")]
+    return df.withColumn("__r", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(by), *tie))).where(F.col("__r") <= k).drop("__r")

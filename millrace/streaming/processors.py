@@ -1,9 +1,10 @@
 """Stateful operators on streams: run state, CUSUM, dry-run trip, re-armed alarms, interlock.
 
 Each processor keeps one small value a machine and emits the row of the batch operator. Rows
-of a machine are put in event-time order within a micro-batch, and late rows (before the
-last one that the machine's state has seen) are dropped, as the batch order cannot be
-restored for them; the source should deliver a machine's rows in order.
+of a machine are put in event-time order within a micro-batch. Late rows (at or before the
+last one that the machine's state has seen) can't be put in their place: they leave the state
+as it is and come out flagged ``late``, without results, so that every row that goes in comes
+out once and a batch run over the late ones' machines can set them right.
 """
 
 from __future__ import annotations
@@ -31,13 +32,14 @@ class Ordered(StatefulProcessor):
         last, state, out = (pd.Timestamp(now[0]), now[1]), tuple(now[2:]), []
         for ts, event_id, load in zip(frame["ts"], frame["event_id"], frame["load"], strict=True):
             if (ts, event_id) <= last:
+                out.append((key[0], event_id, True, *[None] * len(self.out)))
                 continue
             state, row = self.step(state, None if pd.isna(load) else float(load))
             last = (ts, event_id)
-            out.append((key[0], event_id, *row))
+            out.append((key[0], event_id, False, *row))
         self.value.update((last[0].to_pydatetime(), int(last[1]), *state))
         if out:
-            yield pd.DataFrame(out, columns=["machine", "event_id", *self.out])
+            yield pd.DataFrame(out, columns=["machine", "event_id", "late", *self.out], dtype=object)
 
     def step(self, state: tuple, load: float | None) -> tuple[tuple, tuple]:
         raise NotImplementedError
@@ -148,7 +150,7 @@ TYPES = {"state": "string", "s_neg": "double", "s_pos": "double", "hit": "boolea
 
 def apply(stream: DataFrame, processor: Ordered) -> DataFrame:
     """The processor over a stream of (machine, ts, event_id, load); needs the RocksDB state store."""
-    schema = "machine long, event_id long, " + ", ".join(f"{c} {TYPES[c]}" for c in processor.out)
+    schema = "machine long, event_id long, late boolean, " + ", ".join(f"{c} {TYPES[c]}" for c in processor.out)
     return stream.groupBy("machine").transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="none")
 
 
