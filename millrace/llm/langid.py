@@ -9,7 +9,7 @@ Up to six languages have all splits as their bits; of more, codewords are drawn,
 the largest least distance of fifty, with bits in proportion to the logarithm of their number.
 
 The classifiers are fitted on the driver on a bounded sample: about ``per_lang`` labelled
-texts of each language, and ``most`` of all, chosen by a hash of doc_id. Of a text of more
+texts of each language, and ``most`` of all, chosen by a hash of doc_id and text. Of a text of more
 than ``max_chars`` characters, that many from its first letter on are taken.
 Prediction reads whole texts, lower-cased, with ASCII characters that are not letters taken
 as spaces. Texts that are null or have no letter, and all texts where nothing is labelled,
@@ -112,7 +112,7 @@ def trained(docs: DataFrame, per_lang: int = PER_LANG, max_chars: int = MAX_CHAR
     langs = counts.count()
     if not langs:
         return None
-    draw = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    draw = F.pmod(F.xxhash64(F.lit(11), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
     window = F.regexp_extract("text", rf"(?s)\p{{L}}.{{0,{max_chars - 1}}}", 0)
     text = F.when(F.char_length("text") <= max_chars, F.col("text")).otherwise(window)
     drawn = lookup(rows, counts, "lang", "inner").where(draw < min(per_lang, most / langs) / F.col("n_lang"))
