@@ -294,7 +294,7 @@ def test_language_of_rows_without_ids(spark):
     """A language whose labelled rows have no ids, or one id, is drawn from by text."""
     r = random.Random(8)
     say = lambda words: " ".join(r.choice(words) for _ in range(6))
-    rows = [(None, say("haus baum und der die".split()), "de", "s", 0) for _ in range(3000)] + [(3, say("house tree and the of".split()), "en", "s", 0) for _ in range(3000)]
+    rows = [(None, say("haus baum und der die".split()), "de", "s", 0) for _ in range(3000)] + [(7, say("house tree and the of".split()), "en", "s", 0) for _ in range(3000)]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     model = langid.trained(d, per_lang=50)
     assert model["names"] == ["de", "en"]
