@@ -8,11 +8,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import baseline, splits
-from .scans import meet
+from . import baseline, sequential, splits
+from .scans import kept, meet
 
 #: Features that a gate may use, by kind of data.
 GATE_SETS = {
@@ -131,6 +131,76 @@ def gate_ablation(df: DataFrame, key: list[str], features: list[str], label: str
     return rates.groupBy("size", "features").agg(F.avg(ceiling).alias("mean_ceiling"), F.min(ceiling).alias("worst_ceiling"), F.avg(field).alias("field"))
 
 
+def per_machine_gate(df: DataFrame, key: list[str], order: list[str], features: list[str], label: str, healthy: str, row: str, current: str | None = None, prevalence: float = 0.01, safety: float = 1.5) -> DataFrame:
+    """Each machine's composite gate, commissioned on half of its healthy rows and judged on the rest and all faults.
+
+    Features are z-scores by the commissioning rows (deviations below 1e-9 count as 1). Kept healthy
+    rows pass the gate first and faults after them, each in ``order``, as EWMA and CUSUM carry state.
+    One row a machine: status, n_fit, required, adequate, the rates of ``gate_rates``, and how many
+    rows each reason stood for. Machines with fewer than 10 healthy rows have the status ``few healthy``
+    and nulls; up to 10 rows a feature the distance is left out of the gate (``short``), which the other two still make.
+    """
+    need = math.ceil(10 * len(features) * safety)
+    known = df.select(*key).distinct()
+    parts = baseline.half_for_baseline(df, key, label, healthy, row)
+    per, fits = Window.partitionBy(*key), F.col("role") == "fit"
+    stats = {f"__{n}_{c}": of(F.when(fits, F.col(c))).over(per) for c in features for n, of in (("m", F.avg), ("s", F.stddev_pop))}
+    z = {c: (F.col(c) - F.col(f"__m_{c}")) / F.when(F.col(f"__s_{c}") < 1e-9, 1.0).otherwise(F.col(f"__s_{c}")) for c in features}
+    parts = parts.withColumns(stats).withColumns(z).withColumn("__fault", F.coalesce((F.col(label) != healthy).cast("int"), F.lit(1))).drop(*stats)
+    base = baseline.fit(parts.where(fits), key, features, strict=True)
+    judged = kept(baseline.composite(parts.where("role = 'evaluate'"), base, key, ["__fault", *order], features, current).select(*key, label, "escalate", "reasons"))
+    rates = baseline.gate_rates(judged, key, label, healthy, prevalence)
+    reasons = judged.groupBy(*key).agg(*[F.count(F.when(F.array_contains("reasons", r), 1)).alias(f"by_{r}") for r in ("ewma", "cusum_current", "mahalanobis")])
+    out = meet(meet(meet(known, base.select(*key, "status", F.col("n").alias("n_fit")), key), rates, key), reasons, key)
+    return out.withColumns({"status": F.coalesce("status", F.lit("few healthy")), "required": F.lit(need), "adequate": F.col("n_fit") >= need})
+
+
+#: Alarm rules of k of the last n windows.
+RULES = ((1, 1), (2, 3), (3, 5), (5, 10))
+
+
+def commissioning_protocol(windows: DataFrame, key: list[str], day: str, order: list[str], load: str, features: list[str], vibration: str, window_s: float = 60.0, rules: tuple = RULES, current: str | None = None, dwell: int = 2,
+                           safety: float = 1.5, hours_per_day: float = 3.0, most_growth: float = 2.0) -> DataFrame:
+    """Commission each machine of unlabelled plant data and count what it would have alarmed (W21), one row a machine.
+
+    ``windows`` are means of blocks of readings (``sequential.blocks``), read three times; running windows
+    and their escalations are checkpointed, as several branches read them. On and off levels come from all of a machine's loads, run states start
+    anew each day, the first day with enough running windows of its own commissions the composite gate,
+    and only strictly later days are judged, through which the gate's state carries on. Each rule's
+    alarms forget on firing; ``per_month_*`` are at ``hours_per_day``. Every escalation counts as a false
+    one, an upper bound that ``verdict`` calls undecidable where the median of ``vibration`` grew more
+    than ``most_growth`` times from the first running day to the last.
+
+    status: ``never runs`` or ``one mode`` (no levels), ``uncommissionable`` (no day has enough), ``no
+    later rows`` (nothing ran after it), else ``commissioned``. Rows without a machine or day are left out.
+    """
+    need = math.ceil(10 * len(features) * safety)
+    rows = windows.dropna(subset=[*key, day])
+    levels = sequential.run_thresholds(sequential.otsu(rows, key, load)).select(*key, "status", "on", "off")
+    loaded = rows.join(levels.where("status = 'ok'").select(*key, "on", "off"), key)
+    states = sequential.run_state(loaded, [*key, day], order, load, F.col("on"), F.col("off"), dwell, "__state")
+    running = kept(states.where("__state = 'running'").select(*dict.fromkeys([*key, day, *order, *features, vibration])))
+    days = running.groupBy(*key, day).agg(F.count(F.lit(1)).alias("__n"), F.percentile(vibration, F.lit(0.5)).alias("__m"))
+    enough, of_day = F.min(F.when(F.col("__n") >= need, F.struct(F.col(day).alias("day"), F.col("__n").alias("n")))), F.struct(F.col(day).alias("day"), F.col("__m").alias("m"))
+    chosen = days.groupBy(*key).agg(enough.alias("__c"), F.max("__n").alias("best"), F.min(of_day).alias("__d0"), F.max(of_day).alias("__d1"))
+    growth = F.when((F.col("__d0.day") < F.col("__d1.day")) & (F.col("__d0.m") != 0), F.col("__d1.m") / F.col("__d0.m"))
+    chosen = chosen.select(*key, F.col("__c.day").alias("commissioned_on"), F.col("__c.n").alias("n_commissioning"), "best", growth.alias("growth"))
+
+    since = running.join(chosen.where("commissioned_on is not null").select(*key, F.col("commissioned_on").alias("__on")), key)
+    base = baseline.fit(since.where(F.col(day) == F.col("__on")), key, features, strict=True)
+    judged = baseline.composite(since.where(F.col(day) > F.col("__on")), base, key, [day, *order], features, current)
+    judged = kept(judged.select(*key, day, *order, "escalate"))
+    rates = judged.groupBy(*key).agg(F.count(F.lit(1)).alias("n_evaluated"), F.avg(F.col("escalate").cast("double")).alias("escalation_rate"))
+    fired = sequential.alarms_of_rules(judged, key, [day, *order], "escalate", rules, blocks=0)
+    fired = fired.groupBy(*key).agg(*[F.max(F.when((F.col("k") == k) & (F.col("n") == n), F.col("alarms"))).alias(f"alarms_{k}of{n}") for k, n in rules])
+    out = meet(meet(meet(meet(rows.select(*key).distinct(), levels, key), chosen, key), rates, key), fired, key)
+    seen = F.col("n_evaluated").isNotNull()
+    status = F.when(F.col("status") != "ok", F.col("status")).when(F.col("status").isNull(), "never runs").when(F.col("commissioned_on").isNull(), "uncommissionable").when(~seen, "no later rows").otherwise("commissioned")
+    out = out.withColumns({"status": status, "required": F.lit(need), "best": F.coalesce("best", F.lit(0)), "hours": F.col("n_evaluated") * window_s / 3600})
+    monthly = {f"per_month_{k}of{n}": F.col(f"alarms_{k}of{n}") / F.col("hours") * (hours_per_day * 30) for k, n in rules}
+    return out.withColumns(monthly | {"verdict": F.when(seen, F.when(F.col("growth") > most_growth, "undecidable").otherwise("upper bound"))}).drop("on", "off")
+
+
 def markdown(df: DataFrame, most: int = 1000) -> str:
     """A report table (E17); reports have a few rows, and more than ``most`` raise."""
     rows = df.limit(most + 1).collect()

@@ -9,6 +9,7 @@ order's first column are in one block. Null keys are keys, nulls of the order co
 from __future__ import annotations
 
 from collections.abc import Sequence
+from tempfile import mkdtemp
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,6 +27,20 @@ def number(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("double")
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df as a written checkpoint, for what several branches of a plan read; it outlives lost executors.
+
+    It lies in ``spark.checkpoint.dir``, a folder that all executors share; a temporary one is set only in a local session without it.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if root is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(root or mkdtemp(prefix="millrace-"))
+    return df.checkpoint()
+
+
 def meet(left: DataFrame, right: DataFrame, on: Names) -> DataFrame:
     """Left join on columns of equal names; nulls meet."""
     right = right.withColumnsRenamed({c: f"__r_{c}" for c in on})

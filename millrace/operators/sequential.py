@@ -235,33 +235,40 @@ CHUNK = 4096  # of rows, or of tables, that are folded in one row
 
 
 def rearmed_alarms(df: DataFrame, key: Names, order: Names, flag: str, k: int, n: int, blocks: int = BLOCKS) -> DataFrame:
-    """Alarms of a k-of-the-last-n rule that forgets on firing (W16), one row a key; a null flag is none.
+    """Alarms of a k-of-the-last-n rule that forgets on firing (W16), one row a key; a null flag is none."""
+    return alarms_of_rules(df, key, order, flag, [(k, n)], blocks).select(*key, "alarms")
 
-    The rule can only fire at a row with the flag, if the k-th flag before it is less than n
+
+def alarms_of_rules(df: DataFrame, key: Names, order: Names, flag: str, rules: Sequence[tuple[int, int]], blocks: int = BLOCKS) -> DataFrame:
+    """``rearmed_alarms`` of several (k, n), one row a key and rule: key, k, n, alarms.
+
+    A rule can only fire at a row with the flag, if the k-th flag before it is less than n
     rows away and not used up by the last alarm. So among a key's flags the state is how many
     of the next ones can't be first of an alarm's k, and a stretch of flags is a table from each
     of the k states to the state after it and its alarms. Tables of bounded stretches are made
-    in parallel and composed.
+    in parallel and composed; all rules go through one scan, with the largest k's states.
     """
-    scan, one = Scan(key, order, blocks), F.coalesce(F.col(flag).cast("int"), F.lit(0))
+    scan, one, by = Scan(key, order, blocks), F.coalesce(F.col(flag).cast("int"), F.lit(0)), [*key, "__k", "__of"]
+    each = F.array(*[F.struct(F.lit(k).alias("__k"), F.lit(n).alias("__of")) for k, n in rules])
     df = scan.fold(scan.begin(df.withColumn("__f", one)), "__n", "sum", F.lit(1))
-    rows = scan.end(scan.fold(df, "__i", "sum", F.col("__f"))).where("__f = 1").select(*key, F.col("__i").cast("long").alias("__i"), F.col("__n").alias("__at"))
-    last = rows.select(*key, (F.col("__i") - (k - 1)).alias("__i"), F.col("__at").alias("__end"))
-    first = meet(rows, last, [*key, "__i"]).withColumn("__ok", F.coalesce(F.col("__end") - F.col("__at") < n, F.lit(False)))
+    rows = scan.end(scan.fold(df, "__i", "sum", F.col("__f"))).where("__f = 1").select(*key, F.col("__i").cast("long").alias("__i"), F.col("__n").alias("__at"), F.inline(each))
+    last = rows.select(*by, (F.col("__i") - (F.col("__k") - 1)).alias("__i"), F.col("__at").alias("__end"))
+    first = meet(rows, last, [*by, "__i"]).withColumn("__ok", F.coalesce(F.col("__end") - F.col("__at") < F.col("__of"), F.lit(False)))
 
     def over(table: Column, ok: Column) -> Column:  # one more flag: (blocked, alarms) of each starting state
-        return F.transform(table, lambda s: F.struct(F.when(s["b"] > 0, s["b"] - 1).when(ok, k - 1).otherwise(0).alias("b"), (s["a"] + ((s["b"] == 0) & ok).cast("long")).alias("a")))
+        return F.transform(table, lambda s: F.struct(F.when(s["b"] > 0, s["b"] - 1).when(ok, F.col("__k") - 1).otherwise(0).alias("b"), (s["a"] + ((s["b"] == 0) & ok).cast("long")).alias("a")))
 
     def after(table: Column, then: Column) -> Column:
         return F.transform(table, lambda s: F.struct(F.get(then, s["b"])["b"].alias("b"), (s["a"] + F.get(then, s["b"])["a"]).alias("a")))
 
-    same = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(0).cast("long").alias("a")) for b in range(k)])
+    same = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(0).cast("long").alias("a")) for b in range(max(k for k, _ in rules))])
     in_order = lambda column: F.transform(F.sort_array(F.collect_list(F.struct("__i", column))), lambda x: x[column])
     chunk = F.floor(F.col("__i") / CHUNK).alias("__i")
-    tables = first.groupBy(*key, chunk).agg(F.aggregate(in_order("__ok"), same, over).alias("__t"))
-    tables = tables.groupBy(*key, chunk).agg(F.aggregate(in_order("__t"), same, after).alias("__t"))
-    total = tables.groupBy(*key).agg(F.aggregate(in_order("__t"), same, after, lambda t: F.get(t, F.lit(0))["a"]).alias("__alarms"))
-    return meet(df.select(*key).distinct(), total, key).select(*key, F.coalesce("__alarms", F.lit(0)).cast("int").alias("alarms"))
+    tables = first.groupBy(*by, chunk).agg(F.aggregate(in_order("__ok"), same, over).alias("__t"))
+    tables = tables.groupBy(*by, chunk).agg(F.aggregate(in_order("__t"), same, after).alias("__t"))
+    total = tables.groupBy(*by).agg(F.aggregate(in_order("__t"), same, after, lambda t: F.get(t, F.lit(0))["a"]).alias("__alarms"))
+    whole = df.select(*key).distinct().select(*key, F.inline(each))
+    return meet(whole, total, by).select(*key, F.col("__k").alias("k"), F.col("__of").alias("n"), F.coalesce("__alarms", F.lit(0)).cast("int").alias("alarms"))
 
 
 def as_of(grid: DataFrame, samples: DataFrame, key: Names, at: str, value: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import baseline, protocols, sequential
 from ..tables import table
 from .base import query, rounded
+from .sequences import OTSU_SQL
 
 FEATURES = ["x", "y"]
 KEY, ORDER = ["machine"], ["ts", "row"]
@@ -119,3 +120,61 @@ def run_protocol(spark, sf_dir):
     days = days.withColumn("ready", F.min(F.when(F.col("seen") >= 15, F.col("day"))).over(Window.partitionBy("machine")))
     out = days.groupBy("machine", "ready").agg(F.coalesce(F.sum(F.when(F.col("day") > F.col("ready"), F.col("on_day"))), F.lit(0)).alias("n_later"))
     return out.select("machine", F.when(F.col("ready").isNull(), "uncommissionable").otherwise("ok").alias("status"), F.date_format("ready", "yyyy-MM-dd").alias("ready"), "n_later")
+
+
+# The gate over a table u (machine, pos, row, label, x, y and its machine's baseline b): escalations e1, e2, e3 in the order of pos.
+JUDGED = f"""l AS (SELECT *, list(x) OVER o AS lx, list(y) OVER o AS ly, sum(-(x - mx) / (sx + 1e-12) - 0.5) OVER o AS cs FROM u WINDOW o AS (PARTITION BY machine ORDER BY pos)),
+z AS (SELECT *, list_reduce(list_prepend(mx, lx), lambda p, q: q * 0.2 + p * 0.8) AS zx, list_reduce(list_prepend(my, ly), lambda p, q: q * 0.2 + p * 0.8) AS zy, cs - least(0, min(cs) OVER (PARTITION BY machine ORDER BY pos)) AS s FROM l),
+g AS (SELECT *, abs(zx - mx) / (sx * sqrt(0.2 / 1.8)) > {SIGMAS!r}::DOUBLE OR abs(zy - my) / (sy * sqrt(0.2 / 1.8)) > {SIGMAS!r}::DOUBLE AS e1, s >= 5 AS e2, n > 20 AND {D2} > {CUT!r}::DOUBLE AS e3 FROM z)"""
+
+
+@query("w19_gate_protocol", f"""WITH {ROWS}, k AS (SELECT *, count(*) FILTER (label = 'healthy') OVER (PARTITION BY machine) AS nh, row_number() OVER (PARTITION BY machine, label = 'healthy' ORDER BY {HASHED}, row) AS i FROM r),
+p0 AS (SELECT *, label = 'healthy' AND i <= nh // 2 AS fit FROM k WHERE nh >= 10),
+c AS (SELECT machine, avg(x) AS ax, avg(y) AS ay, stddev_pop(x) AS dx, stddev_pop(y) AS dy FROM p0 WHERE fit GROUP BY machine),
+p AS (SELECT machine, row, ts, label, fit, (x - ax) / CASE WHEN dx < 1e-9 THEN 1 ELSE dx END AS x, (y - ay) / CASE WHEN dy < 1e-9 THEN 1 ELSE dy END AS y FROM p0 JOIN c USING (machine)),
+h AS (SELECT * FROM p WHERE fit), {FIT.format(src='h')}, u AS (SELECT p.machine, label, row_number() OVER (PARTITION BY p.machine ORDER BY label <> 'healthy', ts, row) AS pos, x, y, b.* EXCLUDE (machine) FROM p JOIN b USING (machine) WHERE NOT fit), {JUDGED},
+q AS (SELECT machine, count(*) AS n, avg((e1 OR e2 OR e3)::INT) FILTER (label = 'healthy') AS hr, avg((e1 OR e2 OR e3)::INT) FILTER (label <> 'healthy') AS fr, count(*) FILTER (e1) AS b1, count(*) FILTER (e2) AS b2, count(*) FILTER (e3) AS b3 FROM g GROUP BY machine)
+SELECT m.machine, CASE WHEN b.n IS NULL THEN 'few healthy' WHEN b.n > 20 THEN 'ok' ELSE 'short' END AS status, b.n::BIGINT AS n_fit, b.n >= 30 AS adequate, q.n::BIGINT AS n, round(hr, 6) AS healthy_rate, round(fr, 6) AS fault_rate,
+       round(CASE WHEN q.n IS NOT NULL THEN coalesce(hr, 0) * 0.99 + coalesce(fr, 0) * 0.01 END, 6) AS field, b1::BIGINT AS by_ewma, b2::BIGINT AS by_cusum_current, b3::BIGINT AS by_mahalanobis FROM (SELECT DISTINCT machine FROM r) m LEFT JOIN b USING (machine) LEFT JOIN q USING (machine)""")
+def gate_protocol(spark, sf_dir):
+    """Each machine's composite gate on z-scores of half of its healthy rows, with rates and reasons."""
+    out = protocols.per_machine_gate(rows(spark, sf_dir), KEY, ORDER, FEATURES, "label", "healthy", "row", current="x")
+    return rounded(out.select("machine", "status", "n_fit", "adequate", "n", "healthy_rate", "fault_rate", "field", "by_ewma", "by_cusum_current", "by_mahalanobis"), "healthy_rate", "fault_rate", "field")
+
+
+NAMED = [f"{k}of{n}" for k, n in protocols.RULES]
+PER_MONTH = ", ".join(f"round(alarms_{r} / hours * 90, 6) AS per_month_{r}" for r in NAMED)
+
+
+@query("w21_commissioning", f"""WITH RECURSIVE e AS (SELECT l_suppkey AS machine, (year(l_shipdate) // 2)::INT AS day, l_shipdate, l_orderkey, l_linenumber, l_quantity::DOUBLE AS load,
+  l_extendedprice::DOUBLE * CASE WHEN l_suppkey % 5 = 0 THEN 1.0 + (year(l_shipdate) // 2 - 996) ELSE 1.0 END AS x, l_discount::DOUBLE * 100 + l_tax::DOUBLE * 10 AS y FROM lineitem),
+bl AS (SELECT *, (row_number() OVER (PARTITION BY machine, day ORDER BY l_shipdate, l_orderkey, l_linenumber) - 1) // 2 AS block FROM e),
+wi AS (SELECT machine, day, block, avg(load) AS load, avg(x) AS x, avg(y) AS y FROM bl GROUP BY ALL HAVING count(*) = 2),
+lv AS (WITH v AS (SELECT machine, load AS x FROM wi), {OTSU_SQL} SELECT machine, CASE WHEN hi = lo THEN 'never runs' WHEN separability < 0.5 THEN 'one mode' ELSE 'ok' END AS status,
+  threshold + 0.25 * least(threshold - lo, hi - threshold) AS up, threshold - 0.25 * least(threshold - lo, hi - threshold) AS down FROM f),
+a AS (SELECT wi.*, CASE WHEN load >= up THEN 1 WHEN load <= down THEN 0 ELSE -1 END AS asks FROM wi JOIN lv USING (machine) WHERE status = 'ok'),
+k AS (SELECT *, CASE WHEN asks IS DISTINCT FROM lag(asks) OVER (PARTITION BY machine, day ORDER BY block) THEN 1 ELSE 0 END AS turn FROM a),
+i AS (SELECT *, sum(turn) OVER (PARTITION BY machine, day ORDER BY block) AS run FROM k), nn AS (SELECT *, row_number() OVER (PARTITION BY machine, day, run ORDER BY block) AS nr FROM i),
+hs AS (SELECT *, coalesce(last_value(CASE WHEN asks <> -1 AND nr >= 2 THEN asks END IGNORE NULLS) OVER (PARTITION BY machine, day ORDER BY block), 0) AS held FROM nn),
+ru AS (SELECT machine, day, block, x, y FROM hs WHERE held = 1), dy AS (SELECT machine, day, count(*) AS n, quantile_cont(x, 0.5) AS m FROM ru GROUP BY ALL),
+ch AS (SELECT machine, min(day) FILTER (n >= 30) AS on_day, arg_min(n, day) FILTER (n >= 30) AS n_c, max(n) AS best, CASE WHEN count(*) > 1 THEN arg_max(m, day) / arg_min(m, day) END AS growth FROM dy GROUP BY machine),
+h AS (SELECT ru.* FROM ru JOIN ch USING (machine) WHERE day = on_day), {FIT.format(src='h')},
+u AS (SELECT ru.machine, row_number() OVER (PARTITION BY ru.machine ORDER BY day, block) AS pos, x, y, b.* EXCLUDE (machine) FROM ru JOIN ch USING (machine) JOIN b USING (machine) WHERE day > on_day), {JUDGED},
+es AS (SELECT machine, count(*) AS n_e, avg((e1 OR e3)::INT) AS rate, list((e1 OR e3)::INT ORDER BY pos) AS fl FROM g GROUP BY machine),
+rl AS (SELECT * FROM (VALUES {", ".join(f"({k}, {n})" for k, n in protocols.RULES)}) t(rk, rn)),
+st AS (SELECT machine, fl, rk, rn, 0 AS i, 0 AS fired, []::INT[] AS bf FROM es, rl
+  UNION ALL SELECT machine, fl, rk, rn, i + 1, fired + (CASE WHEN list_sum(list_prepend(fl[i + 1], bf)[1:rn]) >= rk THEN 1 ELSE 0 END), CASE WHEN list_sum(list_prepend(fl[i + 1], bf)[1:rn]) >= rk THEN []::INT[] ELSE list_prepend(fl[i + 1], bf)[1:rn] END FROM st WHERE i < len(fl)),
+al AS (SELECT machine, {", ".join(f"max(fired) FILTER (rk = {k} AND rn = {n})::INT AS alarms_{k}of{n}" for k, n in protocols.RULES)} FROM st GROUP BY machine),
+o AS (SELECT machine, CASE WHEN status <> 'ok' THEN status WHEN on_day IS NULL THEN 'uncommissionable' WHEN n_e IS NULL THEN 'no later rows' ELSE 'commissioned' END AS status, on_day, n_c, coalesce(best, 0) AS best, n_e, n_e / 60.0::DOUBLE AS hours, rate, growth, al.* EXCLUDE (machine) FROM lv LEFT JOIN ch USING (machine) LEFT JOIN es USING (machine) LEFT JOIN al USING (machine))
+SELECT machine, status, on_day AS commissioned_on, n_c::BIGINT AS n_commissioning, best::BIGINT AS best, n_e::BIGINT AS n_evaluated, round(hours, 6) AS hours, round(rate, 6) AS escalation_rate, {", ".join(f"alarms_{r}" for r in NAMED)}, {PER_MONTH}, round(growth, 6) AS growth,
+       CASE WHEN n_e IS NOT NULL THEN CASE WHEN growth > 2 THEN 'undecidable' ELSE 'upper bound' END END AS verdict FROM o""")
+def commissioning(spark, sf_dir):
+    """Suppliers as machines, spans of two years as days, means of two line items as windows; prices of every fifth one drift."""
+    span = F.expr("year(l_shipdate) div 2").cast("int")
+    drift = F.when(F.col("l_suppkey") % 5 == 0, 1.0 + (span - 996)).otherwise(1.0)
+    e = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("machine"), span.alias("day"), "l_shipdate", "l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("load"),
+                                                (F.col("l_extendedprice").cast("double") * drift).alias("x"), (F.col("l_discount").cast("double") * 100 + F.col("l_tax").cast("double") * 10).alias("y"))
+    w = sequential.blocks(e, ["machine", "day"], ["l_shipdate", "l_orderkey", "l_linenumber"], ["load", *FEATURES], 2)
+    out = protocols.commissioning_protocol(w, KEY, "day", ["block"], "load", FEATURES, "x")
+    names = ["hours", "escalation_rate", *[f"per_month_{r}" for r in NAMED], "growth"]
+    return rounded(out.select("machine", "status", "commissioned_on", "n_commissioning", "best", "n_evaluated", *[f"alarms_{r}" for r in NAMED], "verdict", *names), *names)
