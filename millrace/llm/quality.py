@@ -6,8 +6,13 @@ the 1001 values. Sketches merge by adding counts, so the sketches of a language
 corpus are merged from those of its sources, and a quantile is exact to a thousandth.
 A language's sketch gets the corpus's, scaled to PARENT documents, and a group's that of its
 language likewise: few documents say little against their parents, many say all, and no
-verdict jumps with the size of a group. A document of the base's is rejected where a ratio
-is above its group's ``q75 + 3 (q75 - q25)`` plus a margin.
+verdict jumps with the size of a group. A document of the base's is rejected where a ratio is
+above its group's limit, ``low + times (high - low)`` of two quantiles. Those of symbols, which
+running text hardly has, are the quartiles. Of the other ratios, which good documents have now
+and then and most have not, they are the median and the tail: q99, or the upper quartile of the
+values above 0 where that is more, so that a rare ratio is held against those who have it. No
+limit is a fixed cutoff; symbols alone have a resolution, below which shares of characters count
+as equal.
 
 Null and empty texts have no words and fail; very long texts are measured whole. Null
 languages and sources are groups of their own. Repeated rows count as often as they are
@@ -24,19 +29,40 @@ from pyspark.sql import functions as F
 from .common import Scratch, fresh, let, lookup, whole, words
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
+PACKED_WORDS = 1 << 16
 PARENT = 100  # documents that a group's parent counts for
-SPREAD = 3
-#: What a ratio may be above the spread of its group, in thousandths.
-MARGIN = {"symbols": 20, "dup_lines": 500, "repeats": 300, "capitals": 250, "marks": 60, "long_words": 60}
+RATIOS = ("symbols", "dup_lines", "repeats", "capitals", "marks", "long_words")
+#: Quantiles of a spread and how many times it a value may be above the lower one.
+QUARTILES, TAIL = (0.25, 0.75, 4), (0.5, 0.99, 3)
+ABOVE_ZERO = 0.75  # the least quantile, of values above 0, at which a tail begins
+RESOLUTION = 20  # thousandths of characters that symbols are told apart by
 
 
 def repeated_words(w: Column) -> Column:
     """Words in 3-word windows that the text has twice or more, the first included.
 
     Windows are sorted as one long each, the upper bits a hash and the lower bits the place;
-    neighbours of equal hash are then compared by their words. Linear but for that sort.
+    neighbours of equal hash are then compared by their words. Linear but for that sort. Beyond
+    2^16 words so few bits would be left to the hash that different windows could lie between
+    equal ones; these texts sort pairs of a whole hash and a place.
     """
     n = F.size(w)
+    same = lambda i, j: (F.get(w, i) == F.get(w, j)) & (F.get(w, i + 1) == F.get(w, j + 1)) & (F.get(w, i + 2) == F.get(w, j + 2))
+
+    def covered(at: Column) -> Column:
+        return F.aggregate(at, F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).cast("long").alias("end")),
+                           lambda s, i: F.struct((s["n"] + i + 3 - F.greatest(i, s["end"])).alias("n"), (i + 3).alias("end")), lambda s: s["n"])
+
+    def paired() -> Column:
+        pair = lambda x, i: F.struct(F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i"))
+        twins = lambda a, b: F.coalesce((a["h"] == b["h"]) & same(a["i"], b["i"]), F.lit(False))
+
+        def found(keys: Column) -> Column:
+            both = F.filter(keys, lambda x, k: twins(x, F.get(keys, k + 1)) | twins(F.get(keys, k - 1), x))
+            return F.sort_array(F.transform(both, lambda x: x["i"].cast("long")))
+
+        return let(let(F.sort_array(F.transform(F.slice(w, 1, n - 2), pair)), found), covered)
+
     bits = F.ceil(F.log2(n.cast("double") + 1)).cast("int")
     low = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
 
@@ -47,19 +73,15 @@ def repeated_words(w: Column) -> Column:
         def twins(a: Column, b: Column) -> Column:
             i, j = a.bitwiseAND(low).cast("int"), b.bitwiseAND(low).cast("int")
             alike = a.bitwiseXOR(b).bitwiseAND(F.bitwise_not(low)) == 0
-            return F.coalesce(alike & (F.get(w, i) == F.get(w, j)) & (F.get(w, i + 1) == F.get(w, j + 1)) & (F.get(w, i + 2) == F.get(w, j + 2)), F.lit(False))
+            return F.coalesce(alike & same(i, j), F.lit(False))
 
         def found(keys: Column) -> Column:
             both = F.filter(keys, lambda x, k: twins(x, F.get(keys, k + 1)) | twins(F.get(keys, k - 1), x))
             return F.sort_array(F.transform(both, lambda x: x.bitwiseAND(low)))
 
-        def covered(at: Column) -> Column:
-            return F.aggregate(at, F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).cast("long").alias("end")),
-                               lambda s, i: F.struct((s["n"] + i + 3 - F.greatest(i, s["end"])).alias("n"), (i + 3).alias("end")), lambda s: s["n"])
-
         return let(let(keys, found), covered)
 
-    return F.when(n < 4, F.lit(0).cast("long")).otherwise(let(low, marked))
+    return F.when(n < 4, F.lit(0).cast("long")).when(n <= PACKED_WORDS, let(low, marked)).otherwise(paired())
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -117,10 +139,13 @@ def thresholds(m: DataFrame, q: str, scratch: Scratch) -> DataFrame:
         upto, total = F.sum(count).over(part.orderBy("value")), F.sum(count).over(part)
         own = own.withColumn("share", (upto.cast("double") + before * weight) / (total.cast("double") + weight))
         share = scratch.put(own.select(*keys, "ratio", "value", "share"), f"quality_share{len(keys)}")
+    zero = F.coalesce(F.max(F.when(F.col("value") == 0, F.col("share"))).over(Window.partitionBy("g_lang", "g_source", "ratio")), F.lit(0.0))
+    share = share.withColumn("some", zero + (1.0 - zero) * ABOVE_ZERO)
     at = lambda p: F.min(F.when(F.col("share") >= p, F.col("value")))
-    margin = F.create_map(*[F.lit(x) for kv in MARGIN.items() for x in kv])
-    limit = share.groupBy("g_lang", "g_source", "ratio").agg((at(0.75) + (at(0.75) - at(0.25)) * SPREAD).alias("limit")).withColumn("limit", F.col("limit") + margin[F.col("ratio")])
-    limits = limit.groupBy("g_lang", "g_source").agg(F.struct(*[F.max(F.when(F.col("ratio") == k, F.col("limit"))).alias(k) for k in MARGIN]).alias("limits"))
+    symbols = at(QUARTILES[0]) + (at(QUARTILES[1]) - at(QUARTILES[0])) * QUARTILES[2] + RESOLUTION
+    others = at(TAIL[0]) + (F.greatest(at(TAIL[1]), at(F.col("some"))) - at(TAIL[0])) * TAIL[2]
+    limit = share.groupBy("g_lang", "g_source", "ratio").agg(F.when(F.col("ratio") == "symbols", symbols).otherwise(others).alias("limit"))
+    limits = limit.groupBy("g_lang", "g_source").agg(F.struct(*[F.max(F.when(F.col("ratio") == k, F.col("limit"))).alias(k) for k in RATIOS]).alias("limits"))
     return scratch.put(limits, "quality_limits")
 
 
@@ -182,25 +207,28 @@ WITH d AS (
 ), f AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m
 ), x AS (
-  SELECT r, lang, source, base_failed, unnest(['symbols', 'dup_lines', 'repeats', 'capitals', 'marks', 'long_words']) AS ratio, unnest([20, 500, 300, 250, 60, 60]) AS margin,
+  SELECT r, lang, source, base_failed, unnest(['symbols', 'dup_lines', 'repeats', 'capitals', 'marks', 'long_words']) AS ratio,
          unnest([least(n_symbols * 1000 // greatest(word_chars, 1), 1000), least(n_dup_lines * 1000 // greatest(n_lines, 1), 1000),
                  least(n_repeat_words * 1000 // greatest(n_words, 1), 1000), least(capitals * 1000 // greatest(word_chars, 1), 1000),
                  least(marks * 1000 // greatest(n_words, 1), 1000), least(long_words * 1000 // greatest(n_words, 1), 1000)]) AS value
   FROM f
 ), n AS (
-  SELECT lang, source, ratio, margin, value, count(*) AS n FROM x WHERE NOT base_failed GROUP BY ALL
+  SELECT lang, source, ratio, value, count(*) AS n FROM x WHERE NOT base_failed GROUP BY ALL
 ), a AS (
-  SELECT ratio, margin, value, (sum(sum(n)) OVER (PARTITION BY ratio ORDER BY value))::DOUBLE / (sum(sum(n)) OVER (PARTITION BY ratio))::DOUBLE AS share FROM n GROUP BY ratio, margin, value
+  SELECT ratio, value, (sum(sum(n)) OVER (PARTITION BY ratio ORDER BY value))::DOUBLE / (sum(sum(n)) OVER (PARTITION BY ratio))::DOUBLE AS share FROM n GROUP BY ratio, value
 ), l AS (
-  SELECT g.lang, a.ratio, a.value, a.margin, ((sum(coalesce(c.n, 0)) OVER o)::DOUBLE + a.share * 100.0::DOUBLE) / ((sum(coalesce(c.n, 0)) OVER p)::DOUBLE + 100.0::DOUBLE) AS share
+  SELECT g.lang, a.ratio, a.value, ((sum(coalesce(c.n, 0)) OVER o)::DOUBLE + a.share * 100.0::DOUBLE) / ((sum(coalesce(c.n, 0)) OVER p)::DOUBLE + 100.0::DOUBLE) AS share
   FROM (SELECT DISTINCT lang FROM n) g CROSS JOIN a LEFT JOIN (SELECT lang, ratio, value, sum(n) AS n FROM n GROUP BY ALL) c ON c.lang IS NOT DISTINCT FROM g.lang AND c.ratio = a.ratio AND c.value = a.value
   WINDOW o AS (PARTITION BY g.lang, a.ratio ORDER BY a.value), p AS (PARTITION BY g.lang, a.ratio)
 ), q AS (
-  SELECT g.lang, g.source, l.ratio, l.value, l.margin, ((sum(coalesce(n.n, 0)) OVER o)::DOUBLE + l.share * 100.0::DOUBLE) / ((sum(coalesce(n.n, 0)) OVER p)::DOUBLE + 100.0::DOUBLE) AS share
+  SELECT g.lang, g.source, l.ratio, l.value, ((sum(coalesce(n.n, 0)) OVER o)::DOUBLE + l.share * 100.0::DOUBLE) / ((sum(coalesce(n.n, 0)) OVER p)::DOUBLE + 100.0::DOUBLE) AS share
   FROM (SELECT DISTINCT lang, source FROM n) g JOIN l ON l.lang IS NOT DISTINCT FROM g.lang LEFT JOIN n ON n.lang IS NOT DISTINCT FROM g.lang AND n.source IS NOT DISTINCT FROM g.source AND n.ratio = l.ratio AND n.value = l.value
   WINDOW o AS (PARTITION BY g.lang, g.source, l.ratio ORDER BY l.value), p AS (PARTITION BY g.lang, g.source, l.ratio)
 ), k AS (
-  SELECT lang, source, ratio, margin + 4 * min(value) FILTER (share >= 0.75) - 3 * min(value) FILTER (share >= 0.25) AS top FROM q GROUP BY lang, source, ratio, margin
+  SELECT lang, source, ratio, CASE WHEN ratio = 'symbols' THEN 20 + 4 * q75 - 3 * q25 ELSE 3 * greatest(q99, some) - 2 * q50 END AS top FROM (
+    SELECT lang, source, ratio, min(value) FILTER (share >= 0.25) AS q25, min(value) FILTER (share >= 0.5) AS q50, min(value) FILTER (share >= 0.75) AS q75,
+           min(value) FILTER (share >= 0.99) AS q99, min(value) FILTER (share >= zero + (1.0::DOUBLE - zero) * 0.75::DOUBLE) AS some
+    FROM (SELECT *, coalesce(max(share) FILTER (value = 0) OVER (PARTITION BY lang, source, ratio), 0.0::DOUBLE) AS zero FROM q) GROUP BY lang, source, ratio)
 ), v AS (
   SELECT x.r, bool_and(coalesce(value <= top, true)) AS within FROM x LEFT JOIN k
     ON x.lang IS NOT DISTINCT FROM k.lang AND x.source IS NOT DISTINCT FROM k.source AND x.ratio = k.ratio GROUP BY x.r

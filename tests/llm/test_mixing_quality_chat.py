@@ -153,11 +153,34 @@ def test_quality_limits_blend_groups_by_their_documents(spark):
     top = share(lambda g: True, None)
     for lang, source in got:
         at = share(lambda g: g == [lang, source], share(lambda g: g[0] == lang, top))
-        low, high = (min(v for v in seen if at[v] >= p - 1e-12) for p in (0.25, 0.75))
-        assert got[lang, source] == high + 3 * (high - low) + quality.MARGIN["marks"]
+        none = at[0]
+        low, high, some = (min(v for v in seen if at[v] >= p - 1e-12) for p in (0.5, 0.99, none + (1 - none) * 0.75))
+        assert got[lang, source] == low + 3 * (max(high, some) - low)
     assert len(got) == 5
 
 
+def test_quality_limits_of_rare_ratios_come_from_those_that_have_them(spark):
+    """Of 200 documents two have a line twice: no cutoff rejects them, and one with far more than they goes."""
+    r = random.Random(6)
+    clean = lambda: " ".join("".join(r.choice("aeioustrn") for _ in range(5)) for _ in range(80))
+    twice = lambda lines, copies: "\n".join([clean() for _ in range(lines)] + ["next page"] * (copies + 1))
+    rows = [(i, clean(), "en", "s", 0) for i in range(200)] + [(300, twice(18, 1), "en", "s", 0), (301, twice(18, 1), "en", "s", 0), (302, twice(18, 1), "en", "s", 0), (400, twice(2, 7), "en", "s", 0)]
+    kept = {x["doc_id"] for x in quality.good_documents(docs(spark, rows), Scratch(spark)).collect()}
+    assert kept == {*range(200), 300, 301, 302}
+
+
+def test_quality_of_very_long_texts(spark):
+    """Beyond PACKED_WORDS places are sorted beside whole hashes."""
+    r = random.Random(8)
+    words = [f"{r.randrange(3000)}" for _ in range(quality.PACKED_WORDS + 5000)]
+    words[70_000:70_010] = words[10:20]
+    text = " ".join(words)
+    for n in (quality.PACKED_WORDS, len(words)):
+        row = quality.measured(docs(spark, [(1, " ".join(words[:n]), "en", "s", 0)])).select("quality_.*").first()
+        assert (row["n_words"], row["n_repeat_words"]) == (n, repeated(words[:n]))
+    assert repeated(words) >= 10 and len(text) > 300_000
+
+
 def test_chat_round_trips_hostile_texts(spark):
     bits = ["<|im_end|>", "<|im_start|>", "\n", "<\\|im_end|>", "<\\\\|im_start|>", "<", "|im_end|>", "assistant", "%0A", "%", "é", ""]
     r = random.Random(2)
