@@ -191,6 +191,9 @@ def rules() -> list[tuple[str, str, str, int]]:
 STEMS = ("licen", "gpl", "mpl", "apache", "bsd", "cecill", "eupl", "wtfpl", "cc0", "commons", "public domain", "proprietary", "rights reserved", "permission", "redistribut", "unencumbered", "endorse", "mit", "perl", "nasa")
 
 
+BLOCK = 256  # places gathered at a time
+
+
 def n_words(text: Column) -> Column:
     return F.size(F.array_remove(F.split(whole(text), NOT_WORD), "")).cast("long")
 
@@ -216,15 +219,19 @@ def worth_a_look(text: Column) -> Column:
 
 
 def detections(s: Column) -> Column:
-    """(start, -end, -priority, rule number, label) of all places of the rules whose keyword s has."""
+    """(start, -end, -priority, rule number, label) of all places of the rules whose keyword s has.
+
+    Places of a rule are gathered in blocks, as appending to an array copies it: a match costs
+    BLOCK / 2 copied references at most, however many there are.
+    """
     table = rules()
     keys = F.array(*[F.lit(k) for k in dict.fromkeys(r[1] for r in table)])
     as_rows = F.array(*[F.struct(F.lit(a).alias("label"), F.lit(b).alias("key"), F.lit(f"(?<= )(?:{c})(?= )").alias("rx"), F.lit(d).alias("priority"), F.lit(i).alias("rule")) for i, (a, b, c, d) in enumerate(table)])
 
     def places(r: Column) -> Column:
-        def walk(parts: Column) -> Column:
-            found = F.regexp_extract_all(s, r["rx"], F.lit(0))
-            none = F.array().cast("array<struct<start:int,neg_end:int,neg_priority:int,rule:int,label:string>>")
+        def walk(parts: Column, found: Column) -> Column:
+            kind = "struct<start:int,neg_end:int,neg_priority:int,rule:int,label:string>"
+            count = F.size(parts) - 1
 
             def step(acc: Column, i: Column) -> Column:
                 start = acc["at"] + F.char_length(F.get(parts, i))
@@ -232,10 +239,17 @@ def detections(s: Column) -> Column:
                 one = F.struct(start.alias("start"), (-end).alias("neg_end"), (-r["priority"]).alias("neg_priority"), r["rule"].alias("rule"), r["label"].alias("label"))
                 return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-            every = F.when(F.size(parts) > 1, F.sequence(F.lit(0), F.size(parts) - 2)).otherwise(F.array().cast("array<int>"))
-            return F.aggregate(every, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"])
+            def block(acc: Column, k: Column) -> Column:
+                run = F.sequence(k * BLOCK, F.least((k + 1) * BLOCK, count) - 1)
+                own = F.aggregate(run, F.struct(acc["at"].alias("at"), F.array().cast(f"array<{kind}>").alias("out")), step)
+                return let(own, lambda b: F.struct(b["at"].alias("at"), F.concat(acc["out"], F.array(b["out"])).alias("out")))
+
+            blocks = F.when(count > 0, F.sequence(F.lit(0), F.floor((count - 1) / BLOCK).cast("int"))).otherwise(F.array().cast("array<int>"))
+            start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+            return F.aggregate(blocks, start, block, lambda a: F.flatten(a["out"]))
 
-        return let(F.split(s, r["rx"]), walk)
+        # both bound, or each step would search the text again
+        return let(F.split(s, r["rx"]), lambda parts: let(F.regexp_extract_all(s, r["rx"], F.lit(0)), lambda found: walk(parts, found)))
 
     live = let(F.filter(keys, lambda k: F.contains(s, k)), lambda on: F.filter(as_rows, lambda r: F.array_contains(on, r["key"]) & F.rlike(s, r["rx"])))
     return F.flatten(F.transform(live, places))

@@ -68,6 +68,14 @@ def test_detections_match_brute_force(spark):
     assert licenses.scanned(d).count() == 0
 
 
+def test_places_of_very_long_texts(spark):
+    """More places than a block holds, at its edges and well beyond it."""
+    for n in (licenses.BLOCK - 1, licenses.BLOCK, licenses.BLOCK + 1, 20_000):
+        d = spark.createDataFrame([(" " + "mit license x " * n,)], "t string").select(F.explode(licenses.detections(F.col("t"))).alias("d")).select("d.*")
+        got = sorted((x["start"], -x["neg_end"]) for x in d.where("label = 'mit'").collect())
+        assert got == sorted({(1 + 14 * i, 12 + 14 * i) for i in range(n)}), n
+
+
 def test_the_first_of_tied_rules_stands(spark, monkeypatch):
     table = [("zz", "mit ", "mit licen[sc]e", 2), ("aa", "mit ", "mit license", 2)]
     monkeypatch.setattr(licenses, "rules", lambda: table)
