@@ -225,9 +225,9 @@ WITH d AS (
   FROM (SELECT DISTINCT lang, source FROM n) g JOIN l ON l.lang IS NOT DISTINCT FROM g.lang LEFT JOIN n ON n.lang IS NOT DISTINCT FROM g.lang AND n.source IS NOT DISTINCT FROM g.source AND n.ratio = l.ratio AND n.value = l.value
   WINDOW o AS (PARTITION BY g.lang, g.source, l.ratio ORDER BY l.value), p AS (PARTITION BY g.lang, g.source, l.ratio)
 ), k AS (
-  SELECT lang, source, ratio, CASE WHEN ratio = 'symbols' THEN 20 + 4 * q75 - 3 * q25 ELSE 3 * greatest(q99, some) - 2 * q50 END AS top FROM (
+  SELECT lang, source, ratio, CASE WHEN ratio = 'symbols' THEN 20 + 4 * q75 - 3 * q25 ELSE 3 * greatest(q99, q_some) - 2 * q50 END AS top FROM (
     SELECT lang, source, ratio, min(value) FILTER (share >= 0.25) AS q25, min(value) FILTER (share >= 0.5) AS q50, min(value) FILTER (share >= 0.75) AS q75,
-           min(value) FILTER (share >= 0.99) AS q99, min(value) FILTER (share >= zero + (1.0::DOUBLE - zero) * 0.75::DOUBLE) AS some
+           min(value) FILTER (share >= 0.99) AS q99, min(value) FILTER (share >= zero + (1.0::DOUBLE - zero) * 0.75::DOUBLE) AS q_some
     FROM (SELECT *, coalesce(max(share) FILTER (value = 0) OVER (PARTITION BY lang, source, ratio), 0.0::DOUBLE) AS zero FROM q) GROUP BY lang, source, ratio)
 ), v AS (
   SELECT x.r, bool_and(coalesce(value <= top, true)) AS within FROM x LEFT JOIN k
