@@ -10,9 +10,8 @@ verdict jumps with the size of a group. A document of the base's is rejected whe
 above its group's limit, ``low + times (high - low)`` of two quantiles. Those of symbols, which
 running text hardly has, are the quartiles. Of the other ratios, which good documents have now
 and then and most have not, they are the median and the tail: q99, or the upper quartile of the
-values above 0 where that is more, so that a rare ratio is held against those who have it. No
-limit is a fixed cutoff; symbols alone have a resolution, below which shares of characters count
-as equal.
+values above 0 where that is more, so that a rare ratio is held against those who have it.
+Symbols also have a fixed resolution, which is their limit where most documents have none.
 
 Null and empty texts have no words and fail; very long texts are measured whole. Null
 languages and sources are groups of their own. Repeated rows count as often as they are
