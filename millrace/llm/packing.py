@@ -21,6 +21,7 @@ number is its task's and one of its own; reruns over the same files agree.
 from __future__ import annotations
 
 import os
+import struct
 import unicodedata
 import zlib
 from array import array
@@ -49,18 +50,21 @@ class WordIds(dict):
     """Ids of words, and of texts, as bytes, little-endian and four a token.
 
     Only distinct words are tokenized: letters and the punctuation after them are words of
-    their own to the tokenizer, and case is lost, so "Word," shares the entry of "word". The
-    words of letters that a text brings are tokenized by one call, as a call costs more than
-    a word; all others by one each. Long words are not kept.
+    their own to the tokenizer, and case is lost, so "Word," shares the entry of "word". Words
+    of letters go to the tokenizer's model at once, as its normalizer and splitter would leave
+    them as they are; all others take the whole way. Long words are not kept.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         super().__init__({"": b""})
         self.older: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.bytewise = ByteLevel(add_prefix_space=False, use_regex=False)
 
     def __missing__(self, w: str) -> bytes:
         if len(w) > LONG_WORD:
@@ -68,41 +72,28 @@ class WordIds(dict):
         ids = self.older.get(w)
         if ids is None:
             stem = w.rstrip(AFTER)
-            ids = self[stem] + self[w[len(stem) :]] if stem != w and plain(stem) else self.encoded(w)
-        return self.kept(w, ids)
-
-    def encoded(self, w: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def kept(self, w: str, ids: bytes) -> bytes:
-        """Enter a word; of a full cache the words that were used since the last turn are found again."""
-        if len(self) >= CACHE_WORDS:
+            if not plain(stem):
+                ids = self.encoded(w)
+            elif stem != w:
+                ids = self[stem] + self[w[len(stem) :]]
+            else:
+                pieces = self.model.tokenize(w if w.isascii() else self.bytewise.pre_tokenize_str(w)[0][0])
+                ids = struct.pack(f"<{len(pieces)}I", *[x.id for x in pieces])
+        if len(self) >= CACHE_WORDS:  # of a full cache the words that were used since the last turn are found again
             self.older = dict(self)
             self.clear()
             self[""] = b""
         self[w] = ids
         return ids
 
-    def learn(self, words: list[str]) -> None:
-        """Enter the words of letters that aren't there, by one call."""
-        stems = dict.fromkeys(w.rstrip(AFTER) for w in dict.fromkeys(words) if w not in self and w not in self.older)
-        new = [w for w in stems if w not in self and w not in self.older and len(w) <= LONG_WORD and plain(w)]
-        if len(new) < 2:
-            return
-        found = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
-        ids, of = np.asarray(found.ids, "<u4"), np.asarray(found.word_ids)
-        starts = np.flatnonzero(np.diff(of, prepend=-1))
-        if len(starts) == len(new):
-            raw, ends = ids.tobytes(), [*(starts[1:] * 4).tolist(), len(ids) * 4]
-            for w, i, j in zip(new, (starts * 4).tolist(), ends, strict=True):
-                self.kept(w, raw[i:j])
+    def encoded(self, w: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
 
     def of(self, text: str) -> bytes:
         # the tokenizer lowers each letter by itself, which is what lower() does but for the final sigma
         text = text if "\u03a3" in text else text.lower()
         # these four are white space to the tokenizer; rarer kinds stay inside a word
         words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        self.learn(words)
         return b"".join(map(self.__getitem__, words))
 
 

@@ -299,3 +299,14 @@ def test_language_of_rows_without_ids(spark):
     model = langid.trained(d, per_lang=50)
     assert model["names"] == ["de", "en"]
     assert {(x["lang"], x["lang_pred"]) for x in langid.predicted(d, model).select("lang", "language.lang_pred").distinct().collect()} == {("de", "de"), ("en", "en")}
+
+
+def test_words_of_letters_skip_the_tokenizers_text_path(path):
+    """The library's way from texts to ids, offsets and all, was most of the packing's time."""
+    ids, texts = packing.WordIds(path), ["Plain words, and MORE words. été über ñandú!", "été, über; łódź straße words%%% 12 o'clock", "日本語 テキスト οδος ﬁn éa ẞ ǅ"]
+    texts += [" ".join(f"{a}{b}{c}" for c in ("x", "é", "ß")) for a in "abcdeéü" for b in "fghñ"]
+    want = [e.ids for e in ids.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    calls, real = [], ids.tokenizer
+    ids.tokenizer = type("Counted", (), {"encode": lambda self, w, **k: calls.append(w) or real.encode(w, **k)})()
+    assert [np.frombuffer(ids.of(t), "<u4").tolist() for t in texts] == want
+    assert calls and not any(" " in w or packing.plain(w) for w in calls)
