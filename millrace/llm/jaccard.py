@@ -24,13 +24,13 @@ by which nobody looks is dropped.
 Equal sets are one node from the start. A key's nodes are linked in rounds: each node tries
 one partner a round, and only keys whose nodes are still in several components stay open;
 a large group of near copies thus costs a few pairs a node. Groups that stay open after
-ROUNDS hold sets that are alike but mostly don't link, and share the keys of what they have
+ROUNDS, or after a round that closed hardly any key, hold sets that are alike but mostly don't link, and share the keys of what they have
 in common. There each set is taken as its differences from the group's consensus, the
 shingles that more than half of its sets have: that keeps all distances, and leaves what a
 set has of its own. Sets at distances d and e from the consensus that link share (d + e - H) / 2
 differences or more, so that, from the rarest on, one of the first H / 2 + 1 of the nearer set
 is among the first H + 1 of the other; where d + e is H or less, both link with the set
-nearest to the consensus. Candidates are sifted by sizes and parity bitmaps (which can't
+nearest to the consensus, which joins them before any pair is made. Candidates are sifted by sizes and parity bitmaps (which can't
 differ in more bits than the sets in shingles) and every link is verified on the whole sets;
 components are found by contraction in written tables. The results are exact but for
 collisions of 64-bit shingle hashes within a pair; colliding set digests are detected, and
@@ -59,6 +59,7 @@ from .common import BROADCAST_ROWS, Scratch, fresh
 
 BAND = 13, 10  # a band's upper end over its lower one
 ROUNDS = 4
+PAYS = 0.9  # a round that leaves a larger share of the open keys is the last
 CACHE_WORDS = 50_000  # about 10 MB
 FLUSH_KEYS = 100_000
 SEEDS = 3
@@ -370,7 +371,10 @@ class Join:
         return self.scratch.put(rows.select("key", "node", "looks", "comp", "lo", "hi"), tag)
 
     def candidates(self, rows: DataFrame) -> DataFrame:
-        """(u, v, nu, nv) of pairs in several components of an open group that may link, by their differences from its consensus."""
+        """(u, v, nu, nv) of pairs in several components of an open group that may link, by their differences from its consensus.
+
+        Sets near the consensus are linked first, without a pair each, so that their pairs aren't made.
+        """
         s, den, num = self.scratch, self.den, self.num
         edges = s.put(rows.select(F.col("lo.node").alias("a"), F.col("node").alias("b")).where("a <> b").distinct(), "group_edges")
         groups = components(edges, s, "group").select(F.col("x").alias("node"), F.col("root").alias("g"))
@@ -384,6 +388,14 @@ class Join:
         differ = sets.join(common, "g", "left").withColumn("differ", F.concat(F.array_except("shingles", none), F.array_except(none, "shingles")))
         differ = s.put(differ.drop("shingles", "common").withColumn("d", F.size("differ")), "differ")
 
+        # sets whose distances from the consensus add up to H or less link with the nearest, whatever they hold
+        out = F.expr(f"d * {den + num} - n * {den - num}").alias("out")
+        least = differ.select("g", "node", "comp", out)
+        head = least.groupBy("g").agg(F.min(F.struct("out", "node", "comp")).alias("z"))
+        star = least.join(head, "g").where("comp <> z.comp and out + z.out <= 0").select(F.col("node").alias("a"), F.col("z.node").alias("b"))
+        self.relabelled(s.put(star, "star"), "star")
+        differ = differ.drop("comp").join(self.labels, "node")
+
         each = differ.select("g", "node", F.explode("differ").alias("e"))
         shared = each.groupBy("g", "e").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
         ranked = each.join(shared, ["g", "e"]).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "e"))).alias("rare"))
@@ -396,11 +408,7 @@ class Join:
         nearer = (F.col("dv") < F.col("du")) | ((F.col("dv") == F.col("du")) & (F.col("v") < F.col("u")))
         pairs = side("u", first).join(side("v", first.where("near")), ["g", "e"]).where(nearer & (F.col("cu") != F.col("cv")) & self.may_link()).select("u", "v", "nu", "nv")
 
-        out = F.expr(f"d * {den + num} - n * {den - num}").alias("out")
-        least = differ.select("g", "node", "n", "comp", out)
-        head = least.groupBy("g").agg(F.min(F.struct("out", "node", "n", "comp")).alias("z"))
-        star = least.join(head, "g").where("comp <> z.comp and out + z.out <= 0").select(F.col("node").alias("u"), F.col("z.node").alias("v"), F.col("n").alias("nu"), F.col("z.n").alias("nv"))
-        return pairs.unionByName(star).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "nu", "nv").dropDuplicates(["u", "v"])
+        return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "nu", "nv").dropDuplicates(["u", "v"])
 
     def run(self) -> DataFrame:
         """(node, comp, component_id) of all nodes: a node that stands for the component, and the smallest id of its documents."""
@@ -415,12 +423,9 @@ class Join:
         self.whole = whole_sets(self.docs, s.put(self.nodes.join(met, "node").select("node", "first"), "wanted"), self.k, self.seed, s)
         self.labels = s.put(met.select("node", F.col("node").alias("comp")), "labels")
         tries = shared.where("node <> lo").groupBy("node", F.col("lo").alias("other")).agg(F.count(F.lit(1)).alias("c"))
-        tested, rows = None, shared
-        for r in range(ROUNDS):
+        tested, rows, r, left = None, shared, 0, shared.count()
+        while left:
             if r:
-                rows = self.still_open(rows, f"open{r}")
-                if rows.isEmpty():
-                    break
                 other = F.when(F.col("comp") != F.col("lo.comp"), F.col("lo.node")).otherwise(F.when(F.col("comp") != F.col("hi.comp"), F.col("hi.node")))
                 tries = rows.withColumn("other", other).where("other is not null").groupBy("node", "other").agg(F.count(F.lit(1)).alias("c"))
             tries = tries.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v"), "node", "c")
@@ -430,11 +435,13 @@ class Join:
             best = s.put(best, f"try{r}")
             tested = best if tested is None else tested.unionByName(best)
             self.relabelled(self.verified(self.sifted(best), f"links{r}"), f"round{r}")
-        else:
-            rows = self.still_open(rows, "open_last")
-            if not rows.isEmpty():
+            r, before = r + 1, left
+            rows = self.still_open(rows, f"open{r}")
+            left = rows.count()
+            if left and (r == ROUNDS or left > PAYS * before):
                 pairs = self.candidates(rows).join(tested, ["u", "v"], "left_anti")
                 self.relabelled(self.verified(pairs, "links_last"), "last")
+                break
         named = self.nodes.select("node", F.col("first.doc_id").alias("doc_id")).join(self.labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         named = s.put(named, "named")
         smallest = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))

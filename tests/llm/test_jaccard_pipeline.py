@@ -191,3 +191,33 @@ def test_first_of_each_decides_by_row(spark):
     assert out.columns == docs.columns
     assert got == sorted([(3, a), (5, b), (9, c), (9, d), (7, e), (1, None), (2, "")], key=str)
     assert [x["text"] in (f, f + " z") for x in out.where("doc_id is null").collect()] == [True]
+
+
+def count_tried(monkeypatch, made):
+    plain = jaccard.Join.sifted
+    monkeypatch.setattr(jaccard.Join, "sifted", lambda self, pairs: made.append(pairs.count()) or plain(self, pairs))
+
+
+def test_rounds_end_when_they_link_nothing(spark, monkeypatch):
+    """A group that stays open as it is isn't tried again and again, which made nodes times keys of rows a round."""
+    rows, tried = list(enumerate(near_copies(150, (4, 10), 3))), []
+    count_tried(monkeypatch, tried)
+    out = jaccard.linked(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark), 3, 9, 10).collect()
+    assert sorted((str(x["doc_id"]), x["n_shingles"], str(x["component_id"])) for x in out) == components(rows, 3, 9, 10)
+    assert len(tried) < 3
+
+
+def test_sets_near_the_consensus_link_without_pairs(spark, monkeypatch):
+    """Copies that lack the same passages: the pairs of those that share one grow with the square of the group."""
+    monkeypatch.setattr(jaccard, "ROUNDS", 1)
+    r, texts, made = random.Random(5), [], []
+    for i in range(160):
+        now = [f"b{j}" for j in range(140)]
+        for at in sorted(r.sample(range(140), r.randint(1, 2) if i % 2 else r.randint(3, 5)), reverse=True):
+            now[at] = f"e{i}x{at}"
+        texts.append(" ".join(now))
+    rows, plain = list(enumerate(texts)), jaccard.Join.candidates
+    monkeypatch.setattr(jaccard.Join, "candidates", lambda self, rows: made.append((pairs := plain(self, rows)).count()) or pairs)
+    out = jaccard.linked(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark), 5, 4, 5).collect()
+    assert sorted((str(x["doc_id"]), x["n_shingles"], str(x["component_id"])) for x in out) == components(rows, 5, 4, 5)
+    assert len(made) == 1 and made[0] < 150  # 189 with the pairs of sets that link with the nearest anyway
