@@ -67,7 +67,8 @@ def fit(df: DataFrame, key: list[str], features: list[str], alpha: float = 0.01,
     """One baseline a key: n, mu, sigma (population), factor (rows of the inverse Cholesky factor), threshold, status.
 
     The covariance is the sample's with a small ridge. ``status`` is 'ok' from
-    10 rows a feature (more than that if strict), else 'short', without a factor.
+    10 rows a feature (more than that if strict), else 'short', without a factor. With
+    ``least_per_feature=0`` no key is short, but one row has no covariance and no factor.
     """
     p = len(features)
     pairs = [(i, j) for i in range(p) for j in range(i + 1)]
@@ -87,7 +88,12 @@ def fit(df: DataFrame, key: list[str], features: list[str], alpha: float = 0.01,
             m = np.zeros((p, p))
             for (i, j), v in zip(pairs, c, strict=True):
                 m[i, j] = m[j, i] = v
-            return np.linalg.inv(np.linalg.cholesky(m + RIDGE * np.eye(p))).tolist()
+            m += RIDGE * np.eye(p)
+            try:
+                return np.linalg.inv(np.linalg.cholesky(m)).tolist()
+            except np.linalg.LinAlgError:  # rounding may leave the covariance of two or three rows indefinite
+                w, v = np.linalg.eigh(m)
+                return (v / np.sqrt(np.maximum(w, RIDGE))).T.tolist()
 
         return cov.map(one)
 
