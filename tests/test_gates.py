@@ -38,3 +38,9 @@ def test_every_machine_with_a_covariance_has_distances(spark, few):
     assert [r[:2] + r[3:] for r in got] == [r[:2] + r[3:] for r in want]
     assert [r[2] for r in got] == [x if x is None else pytest.approx(x, abs=1e-5) for x in (r[2] for r in want)]
     assert {r[0] for r in got if r[2] is None} == {1}  # one row has no covariance
+
+
+def test_the_composite_gate_judges_every_machine(spark, few):
+    got, want = both(spark, few, "w9_composite_gate")
+    assert got == want
+    assert {r[0] for r in got if "mahalanobis" in r[3]} == set(HEALTHY) - {1}
