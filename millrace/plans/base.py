@@ -26,8 +26,10 @@ def query(name: str, sql: str | None = None):
 
 
 def r(x: Column, places: int = 6) -> Column:
-    """Rounded, without a negative zero."""
-    return F.round(x.cast("double"), places) + F.lit(0.0)
+    """Rounded as the SQL rounds: the scaled double, not its shortest decimal, so that both take the same side of a tie. Without a negative zero."""
+    scaled = x.cast("double") * 10.0**places
+    near = F.round(scaled) / 10.0**places
+    return F.when(F.abs(scaled) == float("inf"), x.cast("double")).otherwise(near) + F.lit(0.0)
 
 
 def rounded(df: DataFrame, *names: str, places: int = 6) -> DataFrame:

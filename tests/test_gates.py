@@ -4,8 +4,10 @@ from datetime import datetime, timedelta
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from millrace.plans.base import r as rounding
 
 HEALTHY = {1: 1, 2: 4, 3: 12, 4: 19, 5: 20, 6: 21, 7: 30}  # healthy rows by machine
 
@@ -44,3 +46,16 @@ def test_the_composite_gate_judges_every_machine(spark, few):
     got, want = both(spark, few, "w9_composite_gate")
     assert got == want
     assert {r[0] for r in got if "mahalanobis" in r[3]} == set(HEALTHY) - {1}
+
+
+def test_gate_rates_of_every_machine(spark, few):
+    got, want = both(spark, few, "w11_gate_rates")
+    assert got == want and len(got) == len(HEALTHY)
+
+
+def test_rates_are_rounded_as_in_sql(spark):
+    ties = spark.createDataFrame([(i, i / 20 * 0.99 + j / 32 * 0.01) for i in range(21) for j in range(33)] + [(99, x) for x in (1e305, -1e-9, 2.5e-7, float("inf"))], "i long, x double").repartition(1)
+    rows = [(r["x"], r["y"]) for r in ties.withColumn("y", rounding(F.col("x"))).collect()]
+    with duckdb.connect() as db:
+        want = [db.execute("SELECT round(?::DOUBLE, 6) + 0.0", [x]).fetchall()[0][0] for x, _ in rows]
+    assert [y for _, y in rows] == want
