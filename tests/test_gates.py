@@ -59,3 +59,8 @@ def test_rates_are_rounded_as_in_sql(spark):
     with duckdb.connect() as db:
         want = [db.execute("SELECT round(?::DOUBLE, 6) + 0.0", [x]).fetchall()[0][0] for x, _ in rows]
     assert [y for _, y in rows] == want
+
+
+def test_gate_summary_of_every_machine(spark, few):
+    got, want = both(spark, few, "w20_gate_summary")
+    assert got == want and got[0][4] == 0
