@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
@@ -69,7 +71,8 @@ class InContext:
 
     With ``abstain``, unsure predictions are abstentions, and so are those of rows whose
     Mahalanobis distance to the reference rows has a chance below alpha; with fewer than ten
-    reference rows a feature no distance is taken.
+    reference rows a feature no distance is taken. Each batch of rows meets the table as
+    blocks of distances; a row that lacks a feature has no vote and no prediction.
     """
 
     def __init__(self, seed: int = 0, context: int = CONTEXT_ROWS, k: int = 15, abstain: bool = False, alpha: float = 0.01):
@@ -78,31 +81,46 @@ class InContext:
     def fit_predict(self, train: DataFrame, test: DataFrame, features: list[str], label: str, row: str = "row") -> DataFrame:
         stats = train.agg(*[x for f in features for x in (F.avg(f).alias(f"m_{f}"), F.stddev_pop(f).alias(f"s_{f}"))]).first()
         z = lambda f: (F.col(f) - (stats[f"m_{f}"] or 0.0)) / (stats[f"s_{f}"] or 1.0)
-        ref = splits.stratified_context(train, label, row, self.context, self.seed).select(F.col(label).alias("c"), F.array(*map(z, features)).alias("v"))
-        classes = sorted(r["c"] for r in ref.select("c").distinct().limit(MAX_CLASSES + 1).collect())
+        ref = splits.stratified_context(train.select(row, label, *features), label, row, self.context, self.seed).select(F.col(label).alias("c"), F.array(*map(z, features)).alias("v"))
+        held = ref.collect()  # at most `context` rows, by construction
+        classes = sorted({r["c"] for r in held})
         if len(classes) > MAX_CLASSES:
             raise ValueError(f"more than {MAX_CLASSES} classes")
-        table = ref.agg(F.collect_list(F.struct("v", "c")).alias("ref"))  # at most `context` rows, by construction
-        out = test.withColumn("q", F.array(*map(z, features))).crossJoin(F.broadcast(table))
-        apart = lambda v: F.aggregate(F.zip_with(v, F.col("q"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-        near = F.slice(F.sort_array(F.transform("ref", lambda s: F.struct(apart(s["v"]).alias("d"), s["c"].alias("c")))), 1, self.k)
-        out = out.withColumn("near", near).drop("ref", "q")
-
-        def vote(c: str):
-            return F.struct(F.aggregate(F.filter("near", lambda s: s["c"] == c), F.lit(0.0), lambda a, s: a + 1 / (s["d"] + 1e-9)).alias("w"), F.lit(c).alias("c"))
-
-        votes = F.array(*map(vote, classes))
-        out = out.withColumn("votes", votes).drop("near")
-        total = F.aggregate("votes", F.lit(0.0), lambda a, s: a + s["w"])
-        best = F.array_max("votes")
-        out = out.withColumns({"confidence": best["w"] / total, "y_pred": best["c"]}).drop("votes")
-        if not self.abstain:
-            return out
-        near_context = ref.select(*[F.get("v", F.lit(i)).alias(f) for i, f in enumerate(features)])
-        base = baseline.fit(near_context, [], features, self.alpha).select("mu", "factor", "threshold")  # one row
-        out = out.crossJoin(F.broadcast(base)).withColumns({f"__{f}": z(f) for f in features})
-        out = out.withColumn("far", baseline.distance([f"__{f}" for f in features], F.col("mu"), F.col("factor")) > F.col("threshold"))
-        return abstaining(out, far="far").drop("mu", "factor", "threshold", "far", *[f"__{f}" for f in features])
+        points, codes = np.array([r["v"] for r in held], float), np.array([classes.index(r["c"]) for r in held])
+        k, n = min(self.k, len(held)), len(classes)
+        mu = inverse = threshold = None
+        if self.abstain:
+            near_context = train.sparkSession.createDataFrame([tuple(r["v"]) for r in held], ", ".join(f"`{f}` double" for f in features))
+            base = baseline.fit(near_context, [], features, self.alpha).first()  # the one row of no key
+            if base["factor"] is not None:
+                mu, inverse, threshold = np.array(base["mu"]), np.array(base["factor"]), base["threshold"]
+
+        @F.pandas_udf("confidence double, best int, far boolean")
+        def vote(*columns: pd.Series) -> pd.DataFrame:
+            q, votes = np.column_stack([c.to_numpy(float) for c in columns]), np.zeros((len(columns[0]), n))
+            for at in range(0, len(q), 64):  # a block's distances fit in a core's cache
+                part = q[at : at + 64]
+                d = np.zeros((len(part), len(points)))
+                for j in range(points.shape[1]):
+                    apart = points[:, j] - part[:, j : j + 1]
+                    apart *= apart
+                    d += apart
+                rows, refs = np.divmod(np.flatnonzero(d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k]), len(points))
+                far, own = d[rows, refs], codes[refs]
+                order = np.lexsort((own, far, rows))  # of equal distances the first class
+                rows, far, own = rows[order], far[order], own[order]
+                near = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+                votes[at : at + 64] = np.bincount(rows[near] * n + own[near], 1 / (far[near] + 1e-9), len(part) * n).reshape(-1, n)
+            total = votes.sum(axis=1)
+            voted = total > 0  # not so where a feature is missing
+            best = n - 1 - votes[:, ::-1].argmax(axis=1)  # of equal votes the last class
+            sure = np.where(voted, votes.max(axis=1) / np.where(voted, total, 1.0), np.nan)
+            outside = (((q - mu) @ inverse.T) ** 2).sum(axis=1) > threshold if inverse is not None else np.zeros(len(q), bool)
+            return pd.DataFrame({"confidence": sure, "best": pd.Series(best).where(voted).astype("Int32"), "far": outside})
+
+        out = test.withColumn("__vote", vote(*map(z, features)))
+        out = out.withColumns({"confidence": F.col("__vote.confidence"), "y_pred": F.get(F.array(*map(F.lit, classes)), F.col("__vote.best")), "__far": F.col("__vote.far")}).drop("__vote")
+        return (abstaining(out, far="__far") if self.abstain else out).drop("__far")
 
 
 def abstaining(df: DataFrame, least: float = LEAST_CONFIDENCE, far: str | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: Knuth's multiplicative hash and a second multiplier for the seed.
 MULTIPLIER, SEED_STEP, MODULUS = 2654435761, 40503, 1 << 32
+BROADCAST_GROUPS = 200_000
 
 
 def portable_hash(x: Column, seed: int = 0) -> Column:
@@ -58,8 +59,10 @@ def fold_roles(df: DataFrame, folds: DataFrame, group: str) -> DataFrame:
 
     That is rows times folds. What only needs counts or moments of training rows takes
     ``fold_counts``, ``fold_coverage`` and ``normalised_folds``, which subtract a fold's own from the whole.
+    Folds of up to ``BROADCAST_GROUPS`` groups go to the rows, as few groups would crowd all rows into few tasks.
     """
-    own = df.join(folds.select(F.col("group").alias("__group"), F.col("fold").alias("__own")), F.col(group) == F.col("__group")).drop("__group")
+    few = F.broadcast(folds) if folds.count() <= BROADCAST_GROUPS else folds
+    own = with_fold(df, few, group)
     every = folds.select("fold").distinct()
     return own.crossJoin(every).withColumn("role", F.when(F.col("__own") == F.col("fold"), "test").otherwise("train")).drop("__own")
 
@@ -182,7 +185,7 @@ def normalised(roles: DataFrame, features: list[str], strategy: str, machine: st
     else:
         raise ValueError(f"unknown strategy {strategy}")
     stats = roles.groupBy(*key).agg(*[x for c in features for x in (mu(c).alias(f"__m_{c}"), sd(c).alias(f"__s_{c}"))])
-    out = roles.join(stats, key)
+    out = roles.join(F.broadcast(stats) if key == ["fold"] else stats, key)  # a row a fold
     scale = lambda c: F.when(F.col(f"__s_{c}") < 1e-9, 1.0).otherwise(F.col(f"__s_{c}"))
     return out.withColumns({c: (F.col(c) - F.col(f"__m_{c}")) / scale(c) for c in features}).drop(*[f"__{x}_{c}" for c in features for x in "ms"])
 
@@ -203,7 +206,10 @@ def dominant_share(df: DataFrame, machine: str, label: str) -> DataFrame:
 
 
 def stratified_context(df: DataFrame, label: str, row: str, cap: int, seed: int = 0) -> DataFrame:
-    """At most ``cap`` rows, evenly by class, what small classes leave going to the largest."""
+    """At most ``cap`` rows, evenly by class, what small classes leave going to the largest.
+
+    No class has a quota above ``cap``, so each partition sends its first ``cap`` rows of a class at most.
+    """
     n = df.groupBy(label).agg(F.count(F.lit(1)).alias("c"))
     n = n.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy()))
     n = n.withColumn("base", F.least(F.floor(F.lit(cap) / F.col("k")), F.col("c")))
@@ -211,8 +217,8 @@ def stratified_context(df: DataFrame, label: str, row: str, cap: int, seed: int
     n = n.withColumns({"room": F.col("c") - F.col("base"), "spare": cap - F.sum("base").over(Window.partitionBy())})
     n = n.withColumn("earlier", F.coalesce(F.sum("room").over(order), F.lit(0)))
     quota = F.col("base") + F.greatest(F.lit(0), F.least(F.col("room"), F.col("spare") - F.col("earlier")))
-    ranked = df.join(n.select(label, quota.alias("__q")), label).withColumn("__r", F.row_number().over(Window.partitionBy(label).orderBy(portable_hash(F.col(row), seed), row)))
-    return ranked.where("__r <= __q").drop("__r", "__q")
+    ranked = df.withColumn("__r", F.row_number().over(Window.partitionBy(label).orderBy(portable_hash(F.col(row), seed), row))).where(F.col("__r") <= cap)
+    return ranked.join(n.select(label, quota.alias("__q")), label).where("__r <= __q").drop("__r", "__q")
 
 
 def inner_folds(roles: DataFrame, machine: str, k: int = 3, seed: int = 0) -> DataFrame:
